@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, language, packing, runtime, secrets, sharding, toxicity
+from gridloom.llm import decontaminate, jaccard, language, packing, runtime, secrets, sharding, substrings, toxicity
 
 
 def fold(n: int):
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(n))
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(runtime.table(spark, sf_dir, "documents"), 20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = runtime.table(spark, sf_dir, "documents"), runtime.table(spark, sf_dir, "labels")
     docs = docs.select("doc_id", "text")
@@ -32,6 +37,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_classes(runtime.table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(runtime.table(spark, sf_dir, "documents"), 24)
 
@@ -49,5 +58,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_secrets, op5_language, op7_sharding, op8_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_toxicity, op3_secrets, op5_language, op6_jaccard, op7_sharding, op8_packing, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -11,7 +11,6 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,8 +81,8 @@ def bloom_bits(keys: DataFrame, key: str) -> np.ndarray:
     return bits
 
 
-def maybe_in(df: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
-    """Rows whose key may be in the filter. Only the key's hashes go through Arrow with the row; no false negatives."""
+def maybe_in(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
+    """df with a boolean column: may the key be in the filter? No false negatives. Only the key's hashes go through Arrow."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(bits)
 
@@ -97,13 +96,7 @@ def maybe_in(df: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
         return pd.Series(out)
 
     slots = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(BLOOM_BITS)) for i in (1, 2, 3)]
-    return df.filter(test(*slots))
-
-
-def rows_of(it, schema: pa.Schema, kernel):
-    """mapInArrow helper: kernel yields dicts of columns."""
-    for cols in kernel(it):
-        yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in schema], schema=schema)
+    return df.withColumn(name, test(*slots))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

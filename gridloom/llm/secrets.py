@@ -20,6 +20,7 @@ from bisect import bisect_left, bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.llm import runtime
 
@@ -97,13 +98,18 @@ def scan_text(text: str | None, reach: int = 200) -> tuple[list[tuple[int, int,
 SCHEMA = pa.schema([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])
 
 
-def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 200, redact: bool = False) -> DataFrame:
-    """A row for each row: key, counts, digest and spans of the findings; with ``redact`` the text with findings masked."""
+def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 200, redact: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row: key, counts, digest and spans of the findings; with ``redact`` the text with findings masked.
+
+    carry: columns that are passed on as they are, behind the key.
+    """
     runtime.prepare(df.sparkSession)
-    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = df.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__carry_{c}") for c in carry), F.col(text).alias("__text"))
     fields = [f for f in SCHEMA if redact or f.name != "redacted"]
-    kind = rows.schema["__key"].dataType.simpleString()
-    out_schema = f"__key {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * redact
+    names = rows.columns[:-1]
+    schema = StructType(rows.schema.fields[:-1])
+    for f in fields:
+        schema = schema.add(f.name, "long" if f.type == pa.int64() else "string")
 
     def kernel(it):
         for batch in it:
@@ -116,9 +122,10 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", reach:
                 out["spans"].append(",".join(f"{k}:{s}:{e}" for s, k, e in spans))
                 if redact:
                     out["redacted"].append(None if t is None else mask(t, spans))
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), *(pa.array(out[f.name], f.type) for f in fields)], names=["__key", *(f.name for f in fields)])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *(pa.array(out[f.name], f.type) for f in fields)], names=[*names, *(f.name for f in fields)])
 
-    return rows.mapInArrow(kernel, out_schema).withColumnRenamed("__key", key)
+    found = rows.mapInArrow(kernel, schema)
+    return found.select(F.col("__key").alias(key), *(F.col(f"__carry_{c}").alias(c) for c in carry), *(f.name for f in fields))
 
 
 def mask(text: str, spans: list[tuple[int, str, int]]) -> str:

@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Counts by class of every hashed n-gram are taken over all labelled training rows. Those n-grams whose counts differ most
-between the classes are the features, with values 0 or the log-count ratio; a logistic model is fitted on a bounded
-sample (``sample`` rows, chosen by a hash of the id) and scores every whole text. Features that are not selected weigh
+The model is fitted on a bounded sample of the labelled rows (``sample``, chosen by a hash of the id), which is found from the
+labels alone, so that no text is shuffled. Those n-grams whose counts by class differ most are the features, with values 0 or
+the log-count ratio; a logistic model over them scores every whole text. Features that are not selected weigh
 nothing, so scoring is one table look-up for each n-gram.
 
 Defined results: null and empty texts get the model's score for no features; without both labels the score is the share
@@ -56,7 +56,7 @@ class Model:
 
 
 def _class_counts(rows: DataFrame, bits: int) -> np.ndarray:
-    """n-gram counts by class over all rows: summed in each task, then by block of n-grams."""
+    """n-gram counts by class over the rows: summed in each task, then by block of n-grams."""
     size, blocks = 1 << bits, 64
 
     def kernel(it):
@@ -85,11 +85,13 @@ def _class_counts(rows: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(2, -1)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, features: int = 4096, sample: int = 16_000, penalty: float = 1e-3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, features: int = 4096, sample: int = 20_000, penalty: float = 1e-3) -> Model:
     """Learn from the rows of docs that have a 0 or 1 label."""
     runtime.prepare(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(known, "k")
+    part = min(1.0, sample / max(1, known.count()))
+    picked = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(part * (1 << 30)))  # about `sample` rows: may be broadcast
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k")
     rows = runtime.cut(rows)
     by_class = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(by_class.values())
@@ -105,8 +107,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     table = np.full(1 << bits, -1, np.int32)
     table[chosen] = np.arange(len(chosen))
     model = Model(bits, 0.0, table, ratio[chosen])
-    part = min(1.0, sample / total)
-    picked = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(part * (1 << 30)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(it):
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             f = f.astype(np.uint16 if features <= 65536 else np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([f[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["y", "f"])
 
-    got = picked.mapInArrow(kernel, "y int, f binary").collect()  # about `sample` rows of feature numbers
+    got = rows.mapInArrow(kernel, "y int, f binary").collect()  # about `sample` rows of feature numbers
     got.sort(key=lambda r: (r["y"], bytes(r["f"])))
     cols = [np.frombuffer(bytes(r["f"]), np.uint16 if features <= 65536 else np.uint32).astype(np.int64) for r in got]
     y = np.array([r["y"] for r in got]) * 2.0 - 1

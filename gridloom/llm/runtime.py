@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import math
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -11,11 +12,13 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
+_libc = None
 
 
 def prepare(spark: SparkSession) -> None:
@@ -36,6 +39,7 @@ def prepare(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,18 +50,51 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle() -> None:
+    """Let a Python worker give memory back: large arrays are mapped and unmapped instead of growing the heap."""
+    global _libc
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+            _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            _libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+        except (OSError, AttributeError):
+            _libc = False
+
+
+def lean(kernel):
+    """A kernel for mapInArrow that leaves a small worker behind."""
+
+    @functools.wraps(kernel)
+    def run(it):
+        settle()
+        try:
+            yield from kernel(it)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _libc:
+                _libc.malloc_trim(0)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks of an exchange: the session's own setting, so that a cluster's sizing carries over."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def exchange(df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartition(partitions(df.sparkSession), *keys)
+
+
 def buckets(spark: SparkSession) -> int:
     """Hash buckets of a packed exchange: a power of two, a few for each task, so that tasks are even."""
-    return 1 << max(3, math.ceil(math.log2(4 * partitions(spark))))
+    return 1 << max(3, (4 * partitions(spark) - 1).bit_length())
 
 
-def exchange(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(partitions(df.sparkSession), *keys)
+def to_tasks(df: DataFrame, bucket: str) -> DataFrame:
+    """A packed exchange: bucket k goes to task k, so hash buckets make even tasks. There are ``partitions`` buckets."""
+    return df.repartitionById(partitions(df.sparkSession), F.col(bucket).cast("int"))
 
 
 BLOOM_BITS = 1 << 23

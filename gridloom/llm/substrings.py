@@ -32,7 +32,7 @@ from gridloom.llm.tokens import U, mix, pieces, windows, words_of
 
 # Period and perfect difference set modulo that period.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-LOAD = 2_000_000
+LOAD = 1_200_000
 NULL_ID = -(1 << 63)
 
 BLOCK = "kind int, bucket long, h32 binary, h16 binary, more binary, docs array<long>, ties array<long>, counts binary, pos binary, body binary"
@@ -97,9 +97,9 @@ def _anchor_kernel(period: int, cover: tuple[int, ...], size: int, window: int,
         s = np.flatnonzero(again)  # repeats within this chunk need no comparison
         yield from _packed(1, _home(ids[doc[s]], ties[doc[s]], nb), nb, doc[s], ids, ties, pos[s])
         s = np.flatnonzero(once)
-        yield from _packed(0, (h[s] & U(nb - 1)).astype(np.int64), nb, doc[s], ids, ties, pos[s], (h[s] >> U(32)).astype(np.uint32), (h[s] >> U(16)).astype(np.uint16), again[s])
+        yield from _packed(0, (h[s] % U(nb)).astype(np.int64), nb, doc[s], ids, ties, pos[s], (h[s] >> U(32)).astype(np.uint32), (h[s] >> U(16)).astype(np.uint16), again[s])
 
-    def kernel(it):
+    def anchors_by_bucket(it):
         held, load, ndoc = [], 0, 0
         for batch in it:
             for part in pieces(batch):
@@ -116,13 +116,13 @@ def _anchor_kernel(period: int, cover: tuple[int, ...], size: int, window: int,
         if held:
             yield _batch(list(flush(held)))
 
-    return kernel
+    return anchors_by_bucket
 
 
 def _repeated_anchors_kernel(nb: int):
     """Of anchors by bucket: those that occur more than once, by home bucket of their documents."""
 
-    def kernel(it):
+    def repeated_anchors(it):
         held = []
         for batch in it:
             known = batch.filter(pa.compute.equal(batch.column("kind"), 1))
@@ -151,7 +151,7 @@ def _repeated_anchors_kernel(nb: int):
         for i in range(0, len(rows), 256):
             yield _batch(rows[i : i + 256])
 
-    return kernel
+    return repeated_anchors
 
 
 class _Marks:
@@ -174,7 +174,7 @@ class _Marks:
 def _texts_kernel(nb: int):
     """Texts, compressed, for their home buckets."""
 
-    def kernel(it):
+    def texts_by_home(it):
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
@@ -186,7 +186,7 @@ def _texts_kernel(nb: int):
             home = _home(d, t, nb)
             yield _batch([(2, h, None, None, None, [a], [b], None, None, c) for h, a, b, c in zip(home.tolist(), d.tolist(), t.tolist(), body, strict=True)])
 
-    return kernel
+    return texts_by_home
 
 
 def _at_home(it):
@@ -240,9 +240,9 @@ def _window_kernel(window: int, period: int, nb: int):
         first, later = first[np.argsort(dp[first])], later[np.argsort(dp[later])]
         r = rank[doc[later]]
         yield from _packed(1, _home(rids[r], rties[r], nb), nb, r, rids, rties, pos[later])
-        yield from _packed(0, (h[first] & U(nb - 1)).astype(np.int64), nb, rank[doc[first]], rids, rties, pos[first], h32=g[first], body=h[first])
+        yield from _packed(0, (h[first] % U(nb)).astype(np.int64), nb, rank[doc[first]], rids, rties, pos[first], h32=g[first], body=h[first])
 
-    def kernel(it):
+    def windows_by_bucket(it):
         held, load, ndoc = [], 0, 0
         for marks, ids, ties, bodies in _at_home(it):
             for i, t, b in _split(ids, ties, bodies):
@@ -267,13 +267,13 @@ def _window_kernel(window: int, period: int, nb: int):
         if held:
             yield _batch(list(flush(held)))
 
-    return kernel
+    return windows_by_bucket
 
 
 def _repeated_windows_kernel(nb: int):
     """Of windows by bucket: all but the first of each, by home bucket of their documents."""
 
-    def kernel(it):
+    def repeated_windows(it):
         held = []
         for batch in it:
             known = batch.filter(pa.compute.equal(batch.column("kind"), 1))
@@ -294,11 +294,11 @@ def _repeated_windows_kernel(nb: int):
         for i in range(0, len(rows), 256):
             yield _batch(rows[i : i + 256])
 
-    return kernel
+    return repeated_windows
 
 
 def _result_kernel(window: int):
-    def kernel(it):
+    def kept_words(it):
         for marks, ids, ties, bodies in _at_home(it):
             out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept")}
             for a, c, body in zip(ids.tolist(), ties.tolist(), bodies, strict=True):
@@ -315,7 +315,7 @@ def _result_kernel(window: int):
                 out["kept"].append(b" ".join(kept).decode())
             yield pa.RecordBatch.from_arrays([pa.array([None if x == NULL_ID else x for x in ids.tolist()], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return kernel
+    return kept_words
 
 
 def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -325,14 +325,14 @@ def remove_repeats(df: DataFrame, window: int = 20, key: str = "doc_id", text: s
     period = max(v for v in COVERS if v <= max(min(COVERS), window * 2 // 3))
     if window <= period:
         raise ValueError("windows of 8 words at least")
-    nb = runtime.buckets(spark)
+    nb = runtime.partitions(spark)
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("tie"))
-    packed = lambda x, kernel: x.mapInArrow(kernel, BLOCK)
-    apart = lambda x: runtime.exchange(x, "bucket")
+    packed = lambda x, kernel: x.mapInArrow(runtime.lean(kernel), BLOCK)
+    apart = lambda x: runtime.to_tasks(x, "bucket")
     anchors = packed(rows, _anchor_kernel(period, COVERS[period], window - period + 1, window, nb))
     twice = runtime.cut(packed(apart(anchors), _repeated_anchors_kernel(nb)))
     texts = packed(rows, _texts_kernel(nb))
     at_home = lambda marks: apart(marks.unionByName(texts)).sortWithinPartitions("kind")
     found = packed(at_home(twice), _window_kernel(window, period, nb))
     repeats = runtime.cut(packed(apart(found), _repeated_windows_kernel(nb)))
-    return at_home(repeats).mapInArrow(_result_kernel(window), "doc_id long, n_words long, n_removed long, kept string")
+    return at_home(repeats).mapInArrow(runtime.lean(_result_kernel(window)), "doc_id long, n_words long, n_removed long, kept string")

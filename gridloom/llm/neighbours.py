@@ -149,7 +149,7 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     common = rows.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dims = common["n"] if common else 0
-    parts = runtime.cut(rows.mapInArrow(_distinct_kernel(every, top, dims), "v binary, ids array<long>, queries array<long>"))
+    parts = runtime.cut(rows.mapInArrow(runtime.lean(_distinct_kernel(every, top, dims)), "v binary, ids array<long>, queries array<long>"))
     known = parts.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, top + 1).alias("ids"), F.max(F.size("queries") > 0).alias("asked"))
     known = runtime.cut(known.select(F.element_at("ids", 1).alias("vid"), "v", "ids", "asked"))
 
@@ -162,7 +162,7 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
 
     if dims == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    got = known.select("v").mapInArrow(longest, "n long, most double").agg(F.sum("n").alias("n"), F.max("most").alias("most")).first()
+    got = known.select("v").mapInArrow(runtime.lean(longest), "n long, most double").agg(F.sum("n").alias("n"), F.max("most").alias("most")).first()
     n, most = got["n"] or 0, got["most"] or 1.0
     share = min(1.0, sample / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vid", "v").collect()  # about `sample` vectors
@@ -217,7 +217,7 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
         return pa.table({"q": pa.array(who, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64()))})
 
     spread = known.select("vid", "v", "asked").repartition(runtime.partitions(spark))
-    hits = spread.mapInArrow(dealt, "kind int, leaf long, block long, vid long, v binary").groupBy("leaf", "block").applyInArrow(scored, "q long, ids array<long>, scores array<double>")
+    hits = spread.mapInArrow(runtime.lean(dealt), "kind int, leaf long, block long, vid long, v binary").groupBy("leaf", "block").applyInArrow(scored, "q long, ids array<long>, scores array<double>")
 
     def merged(table: pa.Table) -> pa.Table:
         ids, s = table["ids"].combine_chunks().flatten().to_numpy(), table["scores"].combine_chunks().flatten().to_numpy()
@@ -253,13 +253,14 @@ def recall(found: DataFrame, rows: DataFrame, top: int = 20, key: str = "vec_id"
     def kernel(it):
         for b in it:
             keep, x = _matrix(b.column("v"))
-            vid = b.column("id").to_numpy()[keep]
-            s = q @ np.asarray(x).T
+            fits = [i for i, v in enumerate(x) if len(v) == q.shape[1]]
+            vid = b.column("id").to_numpy()[keep[fits]]
+            s = q @ np.array([x[i] for i in fits]).reshape(len(fits), q.shape[1]).T
             for i in range(len(q)):
                 at = np.lexsort((vid, -s[i]))[: top + 1]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(at), pa.int64()), pa.array(vid[at], pa.int64()), pa.array(s[i][at])], names=["q", "id", "s"])
 
-    scores = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(kernel, "q long, id long, s double").where("id <> q")
+    scores = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(runtime.lean(kernel), "q long, id long, s double").where("id <> q")
     truth = scores.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("l"), "id"))), 1, top).alias("t"))
     truth = truth.select(F.col("q").alias("query_id"), F.explode("t.id").alias("vec_id"))
     hit = truth.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()

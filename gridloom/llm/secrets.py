@@ -29,7 +29,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 # weak parts
-IDENTIFIER = re.compile(r"""\b(?:user(?:name|id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.IGNORECASE | re.ASCII)
+IDENTIFIER = re.compile(r"""\b(?:user_?(?:name|id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.IGNORECASE | re.ASCII)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""\b(?:https?|ftps?|s3|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::\d+)?)""", re.IGNORECASE | re.ASCII)
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
@@ -124,7 +124,7 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", reach:
                     out["redacted"].append(None if t is None else mask(t, spans))
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), *(pa.array(out[f.name], f.type) for f in fields)], names=[*names, *(f.name for f in fields)])
 
-    found = rows.mapInArrow(kernel, schema)
+    found = rows.mapInArrow(runtime.lean(kernel), schema)
     return found.select(F.col("__key").alias(key), *(F.col(f"__carry_{c}").alias(c) for c in carry), *(f.name for f in fields))
 
 

@@ -49,8 +49,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url:
     asked = rows.withColumn("pattern", F.explode(keys)).withColumn("month", F.explode(F.array(F.lit(-1), _month(F.col("day")))))
     live = (F.col("c.pattern") == F.col("l.pattern")) & (F.col("c.month") == F.col("l.month")) & (F.col("c.day") >= F.col("l.since")) & (F.col("l.until").isNull() | (F.col("c.day") < F.col("l.until")))
     met = asked.select("page_id", "url", "host", "day", "pattern", "month").alias("c").join(listed.alias("l"), live, "left")
-    best = F.max(F.when(F.col("l.rule").isNotNull(), F.struct(F.length("l.pattern").alias("n"), F.col("l.rule").alias("rule"))))  # allow < block
-    found = met.groupBy("page_id", "url", "c.host", "c.day").agg(
-        F.count("l.pattern").alias("n_active"), F.array_join(F.array_sort(F.collect_set("l.category")), ",").alias("categories"), best.alias("best")
-    )
-    return found.select("page_id", F.coalesce("host", F.lit("")).alias("host"), "day", "n_active", "categories", F.coalesce("best.rule", F.lit("allow")).alias("verdict"))
+    entry = F.struct(F.length("l.pattern").alias("n"), F.col("l.rule").alias("rule"), F.col("l.pattern").alias("pattern"), F.col("l.category").alias("category"))
+    found = met.groupBy("page_id", "url", "c.host", "c.day").agg(F.collect_set(F.when(F.col("l.rule").isNotNull(), entry)).alias("live"))
+    categories = F.array_join(F.array_sort(F.array_distinct(F.transform("live", lambda e: e["category"]))), ",")
+    longest = F.array_max(F.transform("live", lambda e: F.struct(e["n"].alias("n"), e["rule"].alias("rule"))))["rule"]  # allow < block
+    return found.select("page_id", F.coalesce("host", F.lit("")).alias("host"), "day", F.size("live").cast("long").alias("n_active"), categories.alias("categories"), F.coalesce(longest, F.lit("allow")).alias("verdict"))

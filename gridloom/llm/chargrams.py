@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 _M = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
-GROUP = 1 << 19
+GROUP = 1 << 18
 
 
 def groups(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -77,7 +77,7 @@ def item_windows(items: DataFrame, key: str, text: str, window: int) -> list[tup
                     out["k"].append(ids[w.doc[i]])
             yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["s"], pa.list_(pa.int64())), pa.array(out["k"], pa.string())], names=["a", "b", "n", "s", "k"])
 
-    return rows.mapInArrow(kernel, "a long, b long, n int, s array<long>, k string").groupBy("a", "b", "n").agg(F.first("s").alias("s"), F.sort_array(F.collect_set("k")).alias("k"))
+    return rows.mapInArrow(runtime.lean(kernel), "a long, b long, n int, s array<long>, k string").groupBy("a", "b", "n").agg(F.first("s").alias("s"), F.sort_array(F.collect_set("k")).alias("k"))
 
 
 def _blocks(found: DataFrame, window: int, block: int):
@@ -119,7 +119,7 @@ def _count(docs: DataFrame, text: str, block: Block) -> dict[int, int]:
 
     if not len(block.lengths):
         return {}
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(kernel, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).collect()
+    rows = docs.select(F.col(text).alias("t")).mapInArrow(runtime.lean(kernel), "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).collect()
     return {int(np.int64(r["s"]).astype(np.uint64)): r["c"] for r in rows}
 
 
@@ -214,7 +214,7 @@ def _pass(docs: DataFrame, text: str, shared) -> DataFrame:
                     ids.append(sorted(owner.get(d, set()) | set(old[d] or ())))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(w.count.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array(ids, pa.list_(pa.string()))], names=fields)
 
-    return docs.select(*names, "__n_words", "__hit", "__items").mapInArrow(kernel, schema)
+    return docs.select(*names, "__n_words", "__hit", "__items").mapInArrow(runtime.lean(kernel), schema)
 
 
 def digest(ids: list[str]) -> str:

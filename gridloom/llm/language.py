@@ -105,7 +105,7 @@ class Model:
         return out, score
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", bits: int = 14, sample: int = 1000, penalty: float = 1e-4) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", bits: int = 14, sample: int = 500, penalty: float = 1e-4) -> Model:
     """Learn from the rows of docs with a language and a letter in the text."""
     spark = docs.sparkSession
     runtime.prepare(spark)
@@ -128,7 +128,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                         out.append((langs[first + i], at.astype(np.uint16).tobytes() if bits <= 16 else at.astype(np.uint32).tobytes(), (c[at] / c.sum()).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["l", "i", "v"])
 
-    got = picked.mapInArrow(kernel, "l string, i binary, v binary").collect()  # about `sample` rows for each language
+    got = picked.mapInArrow(runtime.lean(kernel), "l string, i binary, v binary").collect()  # about `sample` rows for each language
     got.sort(key=lambda r: (r["l"], bytes(r["i"]), bytes(r["v"])))
     langs = sorted({r["l"] for r in got})
     width = 1 << bits
@@ -170,6 +170,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lan
 
     @F.pandas_udf("l string, s double")
     def run(t: pd.Series) -> pd.DataFrame:
+        runtime.settle()
         langs, s = shared.value.predict([x if isinstance(x, str) else None for x in t])
         return pd.DataFrame({"l": langs, "s": s})
 

@@ -30,7 +30,7 @@ from gridloom.llm import runtime
 from gridloom.llm.tokens import U, _powers, mix, ragged
 
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-KNOWN = 600_000
+KNOWN = 200_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -215,7 +215,7 @@ def cut_pieces(df: DataFrame, spec: str, capacity: int, closing: int, key: str,
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(kernel, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, __task int, __at long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(runtime.lean(kernel), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, __task int, __at long" + ", ids array<int>" * with_ids)
 
 
 def pack(df: DataFrame, vocabulary: str, capacity: int = 1024, closing: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

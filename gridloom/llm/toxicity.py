@@ -78,7 +78,7 @@ def _class_counts(rows: DataFrame, bits: int) -> np.ndarray:
         v = sum(np.frombuffer(x, np.int64) for x in table["v"].to_pylist())
         return pa.table({"b": table["b"][:1], "v": pa.array([v.tobytes()])})
 
-    got = rows.mapInArrow(kernel, "b int, v binary").groupBy("b").applyInArrow(add, "b int, v binary").collect()  # 64 rows
+    got = rows.mapInArrow(runtime.lean(kernel), "b int, v binary").groupBy("b").applyInArrow(add, "b int, v binary").collect()  # 64 rows
     out = np.zeros((2, blocks, size // blocks), np.int64)
     for r in got:
         out[:, r["b"]] = np.frombuffer(bytes(r["v"]), np.int64).reshape(2, -1)
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             f = f.astype(np.uint16 if features <= 65536 else np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([f[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["y", "f"])
 
-    got = rows.mapInArrow(kernel, "y int, f binary").collect()  # about `sample` rows of feature numbers
+    got = rows.mapInArrow(runtime.lean(kernel), "y int, f binary").collect()  # about `sample` rows of feature numbers
     got.sort(key=lambda r: (r["y"], bytes(r["f"])))
     cols = [np.frombuffer(bytes(r["f"]), np.uint16 if features <= 65536 else np.uint32).astype(np.int64) for r in got]
     y = np.array([r["y"] for r in got]) * 2.0 - 1
@@ -135,6 +135,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def run(t):
         import pandas as pd
 
+        runtime.settle()
         return pd.Series(shared.value.score([x if isinstance(x, str) else None for x in t]))
 
     return docs.withColumn(name, run(F.col(text)))

@@ -6,11 +6,11 @@ allow the overlap (positional filter), and have similar sizes (length filter). F
 fragments; every set is stored by fragment; a fragment's overlap is counted apart from the others', and the partial counts
 are summed for each pair and compared with the exact bound.
 
-Equal sets are one class from the start. Candidates come in two rounds. First each member of a posting list is paired
-with the list's leader, which joins groups of near copies along stars. What such links connect needs no more tests; the
-second round pairs only members that are still in different components, so a group of n near copies does not make n*n
-pairs, and no link between components is lost. Lists of shingles that are known to be frequent are dealt out in blocks, their
-leaders meet in a round of their own, and the second round goes over pairs of blocks.
+Equal sets are one class from the start. Candidates come in three rounds. First each member of a posting list is paired
+with the list's leader, which joins groups of near copies along stars. What links connect needs no more tests: the second
+round pairs each member with the nearest one that is still in another component, and the third all that are left in
+different components. So a group of n near copies does not make n*n pairs, and no link between components is lost. Lists of shingles that are known to be frequent are dealt out in blocks, their
+leaders meet in a round of their own, and later rounds go over pairs of blocks.
 
 Any order gives the same result; the list of frequent shingles is bounded (``listed``) and only an aid.
 
@@ -21,6 +21,8 @@ id; a null id belongs to its row's component but is never its smallest id; an em
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +32,8 @@ from gridloom.llm import runtime
 from gridloom.llm.components import components
 from gridloom.llm.tokens import U, mix, pieces, windows, words_of
 
-LOAD = 1_500_000
-FRAGMENTS = 8
+LOAD = 1_000_000
+FRAGMENTS = 4
 SPREAD = 4096
 
 
@@ -58,6 +60,12 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
     return int(ends[0]), int(ends[1])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 512 hash cells, as 8 longs. Two sets differ in as many shingles at least as in cells."""
+    cell = (mix(s + U(0x2545F4914F6CDD1D)) >> U(55)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=512) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _chunks(it, k: int):
     """Stretches of rows as (ids, sets), of about LOAD shingles."""
     ids, sets, load = [], [], 0
@@ -93,23 +101,23 @@ def _arrow(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 
 L, B, I = pa.int64(), pa.binary(), pa.int32()
-FIRST = [("kind", I), ("h1", L), ("h2", L), ("n", L), ("docs", pa.list_(L)), ("bucket", L), ("tokens", B), ("counts", B)]
+FIRST = [("kind", I), ("h1", L), ("h2", L), ("n", L), ("docs", pa.list_(L)), ("cells", pa.list_(L)), ("bucket", L), ("tokens", B), ("counts", B)]
 POSTING = [("bucket", L), ("tokens", B), ("members", B), ("sizes", B), ("places", B)]
 
 
 def _sets_kernel(k: int, nb: int):
     """Kind 0: the distinct sets of a chunk with their documents. Kind 1: shingles that occur in several of them."""
 
-    def kernel(it):
+    def sets_of_chunks(it):
         for ids, sets in _chunks(it, k):
             found = _distinct(ids, sets)
-            rows = [(0, a, b, len(s), docs, None, None, None) for (a, b), (s, docs) in found.items()]
+            rows = [(0, a, b, len(s), docs, parities(s), None, None, None) for (a, b), (s, docs) in found.items()]
             u, n = np.unique(np.concatenate([s for s, _ in found.values()]), return_counts=True)
             u, n = u[n > 1], n[n > 1].astype(np.uint32)
-            rows += [(1, None, None, None, None, b, u[at].tobytes(), n[at].tobytes()) for b, at in _by_bucket((u & U(nb - 1)).astype(np.int64), nb)]
+            rows += [(1, None, None, None, None, None, b, u[at].tobytes(), n[at].tobytes()) for b, at in _by_bucket((u % U(nb)).astype(np.int64), nb)]
             yield _arrow(rows, FIRST)
 
-    return kernel
+    return sets_of_chunks
 
 
 def _frequent(first: DataFrame, nb: int, listed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +138,8 @@ def _frequent(first: DataFrame, nb: int, listed: int) -> tuple[np.ndarray, np.nd
             rows.append((u[top].tobytes(), n[top].tobytes()))
         yield _arrow(rows, [("tokens", B), ("counts", B)])
 
-    rows = runtime.exchange(first.where("kind = 1").select("bucket", "tokens", "counts"), "bucket")
-    got = rows.mapInArrow(kernel, "tokens binary, counts binary").collect()  # `listed` shingles at most
+    rows = runtime.to_tasks(first.where("kind = 1").select("bucket", "tokens", "counts"), "bucket")
+    got = rows.mapInArrow(runtime.lean(kernel), "tokens binary, counts binary").collect()  # `listed` shingles at most
     u = np.concatenate([np.frombuffer(bytes(r["tokens"]), U) for r in got] or [np.zeros(0, U)])
     n = np.concatenate([np.frombuffer(bytes(r["counts"]), np.int64) for r in got] or [np.zeros(0, np.int64)])
     order = np.argsort(u)
@@ -158,7 +166,7 @@ def _blocks(freq: np.ndarray) -> np.ndarray:
 def _prefix_kernel(k: int, nb: int, percent: int, shared):
     """Prefix postings of a chunk's distinct sets by bucket of (shingle, block)."""
 
-    def kernel(it):
+    def prefix_postings(it):
         known, counts = shared.value
         for ids, sets in _chunks(it, k):
             t, m, n, p = [], [], [], []
@@ -176,10 +184,10 @@ def _prefix_kernel(k: int, nb: int, percent: int, shared):
                 continue
             t, m, n, p = map(np.concatenate, (t, m, n, p))
             salt = (mix(m.astype(U)) % _blocks(_rank(t, known, counts)).astype(U)).astype(U)
-            bucket = ((t ^ mix(salt)) & U(nb - 1)).astype(np.int64)
+            bucket = ((t ^ mix(salt)) % U(nb)).astype(np.int64)
             yield _arrow([(b, t[at].tobytes(), m[at].tobytes(), n[at].tobytes(), p[at].tobytes()) for b, at in _by_bucket(bucket, nb)], POSTING)
 
-    return kernel
+    return prefix_postings
 
 
 def _entries(batches):
@@ -205,9 +213,9 @@ PAIRS = [("kind", I), ("a", L), ("b", L), *POSTING]
 
 
 def _star_kernel(nb: int, percent: int, shared, again: bool):
-    """Kind 0: pairs of a list's leader and its members. Kind 1: lists that need the second round. Kind 2: leaders of blocks."""
+    """Kind 0: pairs of a list's leader and its members. Kind 1: lists that need later rounds. Kind 2: leaders of blocks."""
 
-    def kernel(it):
+    def leaders_and_members(it):
         known, counts = shared.value
         got = _entries(it)
         if got is None:
@@ -222,24 +230,24 @@ def _star_kernel(nb: int, percent: int, shared, again: bool):
         if not again:
             many = _blocks(_rank(t[first], known, counts)) > 1
             keep = np.repeat((size > 2) | (many & (size > 0)), size)
-            for b, at in _by_bucket((t[keep] & U(nb - 1)).astype(np.int64), nb):
+            for b, at in _by_bucket((t[keep] % U(nb)).astype(np.int64), nb):
                 at = np.flatnonzero(keep)[at]
                 rows.append((1, None, None, b, t[at].tobytes(), m[at].tobytes(), n[at].astype(np.uint32).tobytes(), p[at].astype(np.uint32).tobytes()))
             at = first[many]
-            for b, x in _by_bucket((t[at] & U(nb - 1)).astype(np.int64), nb):
+            for b, x in _by_bucket((t[at] % U(nb)).astype(np.int64), nb):
                 x = at[x]
                 rows.append((2, None, None, b, t[x].tobytes(), m[x].tobytes(), n[x].astype(np.uint32).tobytes(), p[x].astype(np.uint32).tobytes()))
         for i in range(0, len(rows), 20_000):
             yield _arrow(rows[i : i + 20_000], PAIRS)
 
-    return kernel
+    return leaders_and_members
 
 
 ENTRY = "token long, member long, size long, place long, block int, blocks int"
 
 
 def _unpack_kernel(shared):
-    def kernel(it):
+    def list_entries(it):
         known, counts = shared.value
         for batch in it:
             for row in range(batch.num_rows):
@@ -248,20 +256,24 @@ def _unpack_kernel(shared):
                 salt = (mix(m.astype(U)) % s.astype(U)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(m), pa.array(n), pa.array(p), pa.array(salt), pa.array(s.astype(np.int32))], names=[x.split()[0] for x in ENTRY.split(", ")])
 
-    return kernel
+    return list_entries
 
 
-def _cross_kernel(percent: int):
-    """Pairs of members in different components, from entries grouped by (token, pair of blocks)."""
+def _cross_kernel(percent: int, nearest: bool):
+    """Plausible pairs of members in different components, from entries grouped by (token, pair of blocks).
 
-    def kernel(it):
+    nearest: of each member only the pair with the fewest differing parity cells; else all.
+    """
+
+    def pairs_across(it):
         held = [b for b in it if b.num_rows]
         if not held:
             return
         col = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held])
         t, lo, hi, block, m, n, p, c = (col(x) for x in ("token", "lo", "hi", "block", "member", "size", "place", "label"))
+        cells = np.concatenate([b.column("cells").flatten().to_numpy(zero_copy_only=False) for b in held]).reshape(-1, 8).view(U)
         order = np.lexsort((mix(m.astype(U)), hi, lo, t))
-        t, lo, hi, block, m, n, p, c = (x[order] for x in (t, lo, hi, block, m, n, p, c))
+        t, lo, hi, block, m, n, p, c, cells = (x[order] for x in (t, lo, hi, block, m, n, p, c, cells))
         cuts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
         out: set[tuple[int, int]] = set()
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(t)], strict=True):
@@ -271,9 +283,14 @@ def _cross_kernel(percent: int):
             for i in range(a, b):
                 if not same and block[i] != lo[a]:
                     continue
-                j = np.arange(i + 1, b) if same else np.flatnonzero(block[a:b] == hi[a]) + a
-                ok = (c[j] != c[i]) & _possible(n[i], p[i], n[j], p[j], percent)
-                x = m[j[ok]]
+                j = np.arange(a if nearest else i + 1, b) if same else np.flatnonzero(block[a:b] == hi[a]) + a
+                j = j[(c[j] != c[i]) & _possible(n[i], p[i], n[j], p[j], percent)]
+                apart = np.bitwise_count(cells[j] ^ cells[i]).sum(1, dtype=np.int64)
+                ok = (100 + percent) * (n[i] + n[j] - apart) >= 2 * percent * (n[i] + n[j])
+                j = j[ok]
+                if nearest and len(j) > 1:
+                    j = j[np.argmin(apart[ok])][None]
+                x = m[j]
                 out.update(zip(np.minimum(x, m[i]).tolist(), np.maximum(x, m[i]).tolist(), strict=True))
                 if len(out) > 100_000:
                     yield _arrow([(x, y) for x, y in out], [("a", L), ("b", L)])
@@ -281,13 +298,13 @@ def _cross_kernel(percent: int):
         if out:
             yield _arrow([(x, y) for x, y in out], [("a", L), ("b", L)])
 
-    return kernel
+    return pairs_across
 
 
 def _fragment_kernel(k: int, shared):
     """Every set by fragment of the global order."""
 
-    def kernel(it):
+    def fragments(it):
         known, counts = shared.value
         half = FRAGMENTS // 2
         levels = np.quantile(counts, np.linspace(0, 1, half + 1)[1:-1]) if len(counts) else np.zeros(half - 1)
@@ -299,22 +316,24 @@ def _fragment_kernel(k: int, shared):
                 rows += [(a, b, len(s), f, s[at].tobytes()) for f, at in _by_bucket(part, FRAGMENTS)]
             yield _arrow(rows, [("h1", L), ("h2", L), ("n", L), ("part", I), ("tokens", B)])
 
-    return kernel
+    return fragments
 
 
 def _overlap_kernel(it):
     for batch in it:
         over = [len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True)) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "a2", "na", "b", "b2", "nb")), pa.array(over, L)], names=["a", "a2", "na", "b", "b2", "nb", "o"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "a2", "na", "b", "b2", "nb", "part")), pa.array(over, L)], names=["a", "a2", "na", "b", "b2", "nb", "part", "o"])
 
 
 def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Links: pairs whose summed partial overlaps reach the bound."""
     left = parts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta"))
     right = parts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "a2", "na", "ta", "b", "b2", "nb", "tb")
-    partial = both.mapInArrow(_overlap_kernel, "a long, a2 long, na long, b long, b2 long, nb long, o long")
-    total = partial.groupBy("a", "a2", "na", "b", "b2", "nb").agg(F.sum("o").alias("o"))
+    both = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "a2", "na", "ta", "b", "b2", "nb", "part", "tb")
+    partial = both.mapInArrow(runtime.lean(_overlap_kernel), "a long, a2 long, na long, b long, b2 long, nb long, part int, o long")
+    sets = ["a", "a2", "na", "b", "b2", "nb"]
+    once = partial.groupBy(*sets, "part").agg(F.max("o").alias("o"))  # rows that repeat a document are equal
+    total = once.groupBy(*sets).agg(F.sum("o").alias("o"))
     return total.where(F.expr(f"100 * o >= {percent} * (na + nb - o)")).select("a", "b").distinct()
 
 
@@ -322,39 +341,57 @@ def similar_classes(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     """doc_id, n_shingles and component_id (the smallest id that links reach) of every row."""
     spark = df.sparkSession
     runtime.prepare(spark)
-    nb = runtime.buckets(spark)
+    nb = runtime.partitions(spark)
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = runtime.cut(rows.mapInArrow(_sets_kernel(k, nb), "kind int, h1 long, h2 long, n long, docs array<long>, bucket long, tokens binary, counts binary"))
-    sets = first.where("kind = 0").select("h1", "h2", "n", "docs")
+    first = runtime.cut(rows.mapInArrow(runtime.lean(_sets_kernel(k, nb)), "kind int, h1 long, h2 long, n long, docs array<long>, cells array<long>, bucket long, tokens binary, counts binary"))
+    sets = first.where("kind = 0").select("h1", "h2", "n", "docs", "cells")
     shared = spark.sparkContext.broadcast(_frequent(first, nb, listed))
 
     posting = "bucket long, tokens binary, members binary, sizes binary, places binary"
-    postings = runtime.exchange(rows.mapInArrow(_prefix_kernel(k, nb, percent, shared), posting), "bucket")
-    star = runtime.cut(postings.mapInArrow(_star_kernel(nb, percent, shared, False), f"kind int, a long, b long, {posting}"))
-    leaders = runtime.exchange(star.where("kind = 2").select("bucket", "tokens", "members", "sizes", "places"), "bucket")
-    between = leaders.mapInArrow(_star_kernel(nb, percent, shared, True), f"kind int, a long, b long, {posting}")
-    pairs = runtime.cut(star.where("kind = 0").select("a", "b").union(between.select("a", "b")).distinct())
-
-    entries = star.where("kind = 1").select("bucket", "tokens", "members", "sizes", "places").mapInArrow(_unpack_kernel(shared), ENTRY)
-    members = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).union(entries.select(F.col("member").alias("h1"))).distinct()
-    reps = runtime.cut(sets.groupBy("h1", "h2", "n").agg(F.min(F.array_min("docs")).alias("rep")))
-    needed = members.join(reps, "h1").select(F.col("rep").alias("doc_id")).distinct()
-    parts = runtime.cut(
-        rows.join(needed, rows["doc_id"].eqNullSafe(needed["doc_id"]), "left_semi").mapInArrow(_fragment_kernel(k, shared), "h1 long, h2 long, n long, part int, tokens binary")
-        .dropDuplicates(["h1", "h2", "part"])
-    )
-    links = runtime.cut(_verified(pairs, parts, percent))
+    postings = runtime.to_tasks(rows.mapInArrow(runtime.lean(_prefix_kernel(k, nb, percent, shared)), posting), "bucket")
+    star = runtime.cut(postings.mapInArrow(runtime.lean(_star_kernel(nb, percent, shared, False)), f"kind int, a long, b long, {posting}"))
+    leaders = runtime.to_tasks(star.where("kind = 2").select("bucket", "tokens", "members", "sizes", "places"), "bucket")
+    between = leaders.mapInArrow(runtime.lean(_star_kernel(nb, percent, shared, True)), f"kind int, a long, b long, {posting}")
+    reps = runtime.cut(sets.groupBy("h1", "h2", "n").agg(F.min(F.array_min("docs")).alias("rep"), F.first("cells").alias("cells")))
+
+    def plausible(found: DataFrame) -> DataFrame:
+        """Pairs whose sets can overlap enough, by the cells in which their parities differ."""
+        one = lambda c: reps.select(F.col("h1").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}"))
+        apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+        both = found.join(one("a"), "a").join(one("b"), "b").withColumn("apart", apart)
+        return both.where(F.expr(f"{100 + percent} * (na + nb - apart) >= {2 * percent} * (na + nb)")).select("a", "b").distinct()
+
+    pairs = runtime.cut(plausible(star.where("kind = 0").select("a", "b").union(between.select("a", "b")).distinct()))
+
+    entries = star.where("kind = 1").select("bucket", "tokens", "members", "sizes", "places").mapInArrow(runtime.lean(_unpack_kernel(shared)), ENTRY)
+
+    def parts_of(found: DataFrame) -> DataFrame:
+        """Fragments of the sets in some pairs. Texts of other documents are not shuffled: a Bloom filter sorts out most."""
+        members = found.select(F.col("a").alias("h1")).union(found.select(F.col("b").alias("h1"))).distinct()
+        needed = runtime.cut(members.join(reps, "h1").select(F.col("rep").alias("doc_id")).distinct())
+        near = runtime.maybe_in(rows, "doc_id", runtime.bloom_bits(needed, "doc_id"), "maybe").where("maybe").drop("maybe")
+        near = runtime.exchange(near, "doc_id")  # so that no task runs two Python workers
+        some = near.join(needed, near["doc_id"].eqNullSafe(needed["doc_id"]), "left_semi")
+        return runtime.cut(some.mapInArrow(runtime.lean(_fragment_kernel(k, shared)), "h1 long, h2 long, n long, part int, tokens binary"))
+
+    links = runtime.cut(_verified(pairs, parts_of(pairs), percent))
     labels = components(links)
 
-    labelled = entries.join(labels.select(F.col("node").alias("member"), "label"), "member", "left").withColumn("label", F.coalesce("label", "member"))
-    mixed = labelled.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
-    open_lists = labelled.join(mixed, "token")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = open_lists.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    cross = runtime.exchange(dealt.select("token", "lo", "hi", "block", "member", "size", "place", "label"), "token", "lo", "hi")
-    more = cross.mapInArrow(_cross_kernel(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    extra = runtime.cut(_verified(more, parts, percent))
-    labels = components(links.union(extra))
+    links, tested = [links], [pairs]
+    cells = reps.select(F.col("h1").alias("member"), "cells").dropDuplicates(["member"])
+    for nearest in (True, False):
+        labelled = entries.join(labels.select(F.col("node").alias("member"), "label"), "member", "left").withColumn("label", F.coalesce("label", "member"))
+        mixed = labelled.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = labelled.join(mixed, "token").join(cells, "member").withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        cross = runtime.exchange(dealt.select("token", "lo", "hi", "block", "member", "size", "place", "label", "cells"), "token", "lo", "hi")
+        more = cross.mapInArrow(runtime.lean(_cross_kernel(percent, nearest)), "a long, b long").distinct()
+        for old in tested:
+            more = more.join(old, ["a", "b"], "left_anti")
+        more = runtime.cut(more)
+        tested.append(more)
+        links.append(runtime.cut(_verified(more, parts_of(more), percent)))
+        labels = components(functools.reduce(DataFrame.union, links))
 
     named = reps.join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("least"))

@@ -87,11 +87,6 @@ def exchange(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *keys)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Hash buckets of a packed exchange: a power of two, a few for each task, so that tasks are even."""
-    return 1 << max(3, (4 * partitions(spark) - 1).bit_length())
-
-
 def to_tasks(df: DataFrame, bucket: str) -> DataFrame:
     """A packed exchange: bucket k goes to task k, so hash buckets make even tasks. There are ``partitions`` buckets."""
     return df.repartitionById(partitions(df.sparkSession), F.col(bucket).cast("int"))

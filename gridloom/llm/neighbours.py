@@ -4,9 +4,16 @@ Vectors are lifted by one component so that all have equal length, which turns t
 distance. Trees are grown on the driver on a bounded sample (``sample`` vectors): a node takes the one of several random
 directions between sample points along which its points spread most, and splits at the median. Every vector is
 routed through every tree to a leaf. A query searches all trees through one shared priority queue, ordered by the sum
-of squared margins crossed so far, until it has ``probes`` leaves; within leaves, all candidates are scored exactly, in
+of squared margins crossed so far, until it has enough leaves; within leaves, all candidates are scored exactly, in
 double precision on the original vectors, and the best of all leaves are merged.
 
+How many leaves are enough follows the table: the true nearest of CALIBRATE queries are found by brute force, and the
+search goes on to the leaf count at which the share GOAL of them is reached, ``probes`` leaves at least. Where vectors have
+little structure this count grows with the table, and so does the work.
+
+Leaves that follow each other in a tree are near each other and travel as one bin, so that a query is sent once to a bin
+and one list of results comes back.
+
 Equal vectors are indexed once, with the smallest ``top + 1`` of their ids, which are all that any result can hold. A leaf
 that is expected to hold more than BLOCK vectors is dealt out in blocks that all of its queries visit. So no task gets an
 unbounded group. ``recall`` measures results against brute force.
@@ -19,6 +26,7 @@ the smaller id; with few candidates all are returned; an empty table gives none.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +36,9 @@ from pyspark.sql import functions as F
 from gridloom.llm import runtime
 
 BLOCK = 8192
+BIN = 65_536
+CALIBRATE = 150
+GOAL = 0.96
 
 
 def _matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +135,24 @@ class Forest:
             out.append(found)
         return out
 
+    def bins(self, n: int, most: float) -> np.ndarray:
+        """The bin of each leaf: leaves of one tree in sequence, of about ``most`` of the n vectors together."""
+        out, at = [], 0
+        for t in self.trees:
+            each = max(1, int(most * t.leaves / max(1, n)))
+            out.append(at + np.arange(t.leaves) // each)
+            at = int(out[-1][-1]) + 1
+        return np.concatenate(out)
+
+    def enough(self, queries: np.ndarray, truth: list[np.ndarray], goal: float) -> int:
+        """Leaves to search for finding the share ``goal`` of true neighbours, given by query as rows of their leaves."""
+        need = []
+        for found, leaves in zip(self.search(queries, int(self.base[-1])), truth, strict=True):
+            place = np.empty(len(found), np.int64)
+            place[found] = np.arange(1, len(found) + 1)
+            need += place[leaves].min(1).tolist()
+        return sorted(need)[max(0, math.ceil(goal * len(need)) - 1)] if need else 0
+
 
 def _distinct_kernel(every: int, top: int, dims: int):
     """Distinct vectors of a batch with their smallest ids, and the ids that are queries."""
@@ -142,8 +171,38 @@ def _distinct_kernel(every: int, top: int, dims: int):
     return kernel
 
 
+def _calibrated(known: DataFrame, shared, tested: list, top: int, dims: int) -> int:
+    """Leaves that find the share GOAL of the true nearest of the tested queries, which come from brute force over all vectors."""
+    if not tested:
+        return 0
+    own = np.array([r["vid"] for r in tested], np.int64)
+    q = np.frombuffer(b"".join(bytes(r["v"]) for r in tested), "<f8").reshape(-1, dims)
+
+    def truth(it):
+        best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, dims)))] * len(q)
+        for b in it:
+            vid = b.column("vid").to_numpy()
+            x = np.frombuffer(b"".join(b.column("v").to_pylist()), "<f8").reshape(len(vid), dims)
+            s = q @ x.T
+            s[own[:, None] == vid[None]] = -np.inf
+            for i in range(len(q)):
+                at = np.argpartition(-s[i], top - 1)[:top] if len(vid) > top else np.arange(len(vid))
+                all_s, all_v, all_x = (np.concatenate([o, y]) for o, y in zip(best[i], (s[i, at], vid[at], x[at]), strict=True))
+                at = np.lexsort((all_v, -all_s))[:top]
+                best[i] = all_s[at], all_v[at], all_x[at]
+        for i, (s, v, x) in enumerate(best):
+            at = np.isfinite(s)
+            if at.any():
+                leaves = shared.value.leaves_of(x[at])
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(leaves), pa.int64()), pa.array(-s[at]), pa.array(v[at]), pa.array(leaves.tolist(), pa.list_(pa.int64()))], names=["q", "less", "vid", "leaves"])
+
+    near = known.select("vid", "v").mapInArrow(runtime.lean(truth), "q long, less double, vid long, leaves array<long>")
+    got = near.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("less", "vid", "leaves"))), 1, top).alias("found")).collect()
+    return shared.value.enough(q[[r["q"] for r in got]], [np.array([e["leaves"] for e in r["found"]], np.int64) for r in got], GOAL)
+
+
 def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = 8, leaf: int = 512, probes: int = 144, sample: int = 20_000, seed: int = 1) -> DataFrame:
-    """query_id, rank, vec_id and score: the nearest found of each row whose id is divisible by ``every``."""
+    """query_id, rank, vec_id and score: the nearest found of each row whose id is divisible by ``every``. ``probes``: the least number of leaves."""
     spark = df.sparkSession
     runtime.prepare(spark)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
@@ -171,8 +230,12 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
     forest = Forest(points, most, share, trees, leaf, seed)
     shared = spark.sparkContext.broadcast(forest)
 
+    tested = known.where("asked").orderBy(F.xxhash64("v"), "vid").limit(CALIBRATE).select("vid", "v").collect()
+    probes = max(probes, _calibrated(known, shared, tested, top, dims))
+    bin_of = forest.bins(n, min(BIN, max(BLOCK / 4, trees * n / runtime.partitions(spark))))
+
     def dealt(it):
-        """Kind 0: vectors by (leaf, block). Kind 1: queries by the leaves that they probe, for each block."""
+        """Kind 0: vectors by (bin, block) with their leaf. Kind 1: queries with the leaves that they probe, for each bin and block."""
         f = shared.value
         for b in it:
             for at in range(0, b.num_rows, 500):
@@ -180,44 +243,56 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
                 vid = part.column("vid").to_numpy()
                 raw = part.column("v").to_pylist()
                 x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), dims)
-                kind, place, block, who = [], [], [], []
                 leaves = f.leaves_of(x)
-                for i in range(len(raw)):
-                    kind += [0] * leaves.shape[1]
-                    place += leaves[i].tolist()
-                    block += [int(vid[i]) % f.blocks] * leaves.shape[1]
-                    who += [i] * leaves.shape[1]
+                each = leaves.shape[1]
+                place, who = bin_of[leaves].ravel().tolist(), np.repeat(np.arange(len(raw)), each).tolist()
+                kind, block, inside = [0] * len(place), (vid[who] % f.blocks).tolist(), [[y] for y in leaves.ravel().tolist()]
                 asked = np.flatnonzero(part.column("asked").to_numpy(zero_copy_only=False))
                 for i, found in zip(asked.tolist(), f.search(x[asked], probes) if len(asked) else [], strict=True):
+                    found = np.sort(np.array(found, np.int64))
+                    u, first = np.unique(bin_of[found], return_index=True)
+                    lists = [y.tolist() for y in np.split(found, first[1:])]
                     for k in range(f.blocks):
-                        kind += [1] * len(found)
-                        place += found
-                        block += [k] * len(found)
-                        who += [i] * len(found)
+                        kind += [1] * len(u)
+                        place += u.tolist()
+                        block += [k] * len(u)
+                        who += [i] * len(u)
+                        inside += lists
                 take = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(place, pa.int64()), pa.array(block, pa.int64()), part.column("vid").take(take), part.column("v").take(take)], names=["kind", "leaf", "block", "vid", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(place, pa.int64()), pa.array(block, pa.int64()), pa.array(inside, pa.list_(pa.int32())), part.column("vid").take(take), part.column("v").take(take)], names=["kind", "bin", "block", "leaves", "vid", "v"])
 
     def scored(table: pa.Table) -> pa.Table:
+        """The best of a bin for each query, ties to the smaller id."""
         kind = table["kind"].to_numpy()
         vid = table["vid"].to_numpy()
+        lists = table["leaves"].combine_chunks()
+        row, leaf = np.repeat(np.arange(len(vid)), pa.compute.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
         x = np.frombuffer(b"".join(table["v"].to_pylist()), "<f8").reshape(len(vid), dims)
-        c, q = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        c = c[np.argsort(vid[c])]
-        who, ids, scores = [], [], []
-        for i in range(0, len(q) if len(c) else 0, 256):
-            s = x[q[i : i + 256]] @ x[c].T
-            for row, a in zip(s, q[i : i + 256], strict=True):
-                m = min(top + 1, len(row))
-                edge = np.partition(row, len(row) - m)[len(row) - m]
-                at = np.flatnonzero(row >= edge)
-                at = at[np.argsort(-row[at], kind="stable")][:m]
-                who.append(int(vid[a]))
+        order = np.argsort(leaf, kind="stable")
+        row, leaf = row[order], leaf[order]
+        cuts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+        who, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(leaf)], strict=True):
+            here = row[a:b]
+            c, q = here[kind[here] == 0], here[kind[here] == 1]
+            for i in range(0, len(q) if len(c) else 0, 256):
+                s = x[q[i : i + 256]] @ x[c].T
+                m = min(top + 1, s.shape[1])
+                edge = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+                r, at = np.nonzero(s >= edge[:, None])
+                who.append(vid[q[i : i + 256]][r])
                 ids.append(vid[c[at]])
-                scores.append(row[at])
-        return pa.table({"q": pa.array(who, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64()))})
+                scores.append(s[r, at])
+        who, ids, scores = map(np.concatenate, (who, ids, scores))
+        order = np.lexsort((ids, -scores, who))
+        who, ids, scores = who[order], ids[order], scores[order]
+        u, first, size = np.unique(who, return_index=True, return_counts=True)
+        keep = np.arange(len(who)) - np.repeat(first, size) <= top
+        cut = pa.array(np.append(0, np.cumsum(np.minimum(size, top + 1))), pa.int32())
+        return pa.table({"q": pa.array(u, pa.int64()), "ids": pa.ListArray.from_arrays(cut, pa.array(ids[keep], pa.int64())), "scores": pa.ListArray.from_arrays(cut, pa.array(scores[keep], pa.float64()))})
 
     spread = known.select("vid", "v", "asked").repartition(runtime.partitions(spark))
-    hits = spread.mapInArrow(runtime.lean(dealt), "kind int, leaf long, block long, vid long, v binary").groupBy("leaf", "block").applyInArrow(scored, "q long, ids array<long>, scores array<double>")
+    hits = spread.mapInArrow(runtime.lean(dealt), "kind int, bin long, block long, leaves array<int>, vid long, v binary").groupBy("bin", "block").applyInArrow(scored, "q long, ids array<long>, scores array<double>")
 
     def merged(table: pa.Table) -> pa.Table:
         ids, s = table["ids"].combine_chunks().flatten().to_numpy(), table["scores"].combine_chunks().flatten().to_numpy()

@@ -48,6 +48,15 @@ def test_neighbours_few_and_none(spark):
     assert neighbours.nearest(df.where("false")).count() == 0
 
 
+def test_neighbours_search_goes_on_in_large_forests(spark):
+    """Many small leaves, of which the least number of probes is a small share."""
+    x = np.random.default_rng(2).normal(size=(6000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, 20, 20, leaf=16, probes=40)
+    assert got.count() == 300 * 20
+    assert neighbours.recall(got, df) >= 0.9
+
+
 def test_urls_match_sql_and_handle_odd_rows(spark):
     start = date(2024, 1, 1)
     rows = [(i, u, start + timedelta(days=(i * 37) % 366)) for i, u in enumerate(["http://adult-x.example.com/a?b", "https://u:p@m.ADS-track.example.com.:8080/x", "http://free-bets.example.net/en/7", "http://xfree-bets.example.net/en", None, "", "no url", "http://tionsh.example.net/fr", "http://tionsh.example.net/fra"] * 40)]

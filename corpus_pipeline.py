@@ -23,20 +23,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group connected by a similarity of 0.8 on five-word shingles, the document with the smallest id stays.
 
-    Rows that repeat id and text stay once. Documents without an id stay unless they are in a group with one that has.
+    Each row is judged by its own text. Rows that repeat id and text stay once. Documents without an id stay unless they are in a group with one that has.
     """
     runtime.prepare(spark)
-    classes = runtime.cut(jaccard.similar_classes(docs, 5, 80))
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    marked = runtime.cut(gone.withColumn("gone", F.lit(1)).unionByName(again.withColumn("gone", F.lit(0))).groupBy("doc_id").agg(F.max("gone").alias("gone")))
-    bits = runtime.bloom_bits(marked, "doc_id")
-    flagged = runtime.maybe_in(docs, "doc_id", bits, "__maybe")
+    classes = runtime.cut(jaccard.similar_classes(docs, 5, 80, marked=True))
+    row = ["doc_id", "text_hash"]
+    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*row).distinct()
+    again = classes.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*row)
+    marked = runtime.cut(gone.withColumn("gone", F.lit(1)).unionByName(again.withColumn("gone", F.lit(0))).groupBy(*row).agg(F.max("gone").alias("gone")))
+    bits = runtime.bloom_bits(marked, "text_hash")
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    flagged = runtime.maybe_in(hashed, "__hash", bits, "__maybe")
     clear = flagged.where(~F.col("__maybe"))
-    m = marked.select(F.col("doc_id").alias("__id"), "gone")
-    suspect = flagged.where("__maybe").join(m, flagged["doc_id"].eqNullSafe(m["__id"]), "left")
-    once = suspect.where("gone = 0").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return clear.select(*docs.columns).unionByName(once).unionByName(suspect.where("gone is null").select(*docs.columns))
+    m = marked.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("gone").alias("__gone"))
+    suspect = flagged.where("__maybe").join(m, (F.col("__hash") == F.col("__text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    once = suspect.where("__gone = 0").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return clear.select(*docs.columns).unionByName(once).unionByName(suspect.where("__gone is null").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

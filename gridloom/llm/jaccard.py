@@ -67,12 +67,13 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 
 def _chunks(it, k: int):
-    """Stretches of rows as (ids, sets), of about LOAD shingles."""
+    """Stretches of rows as (ids, sets), of about LOAD shingles. Where rows have a ``mark``, ids are (id, mark)."""
     ids, sets, load = [], [], 0
     for batch in it:
         for part in pieces(batch):
             got = shingle_sets(part.column("text"), k)
-            ids += part.column("doc_id").to_pylist()
+            these = part.column("doc_id").to_pylist()
+            ids += zip(these, part.column("mark").to_pylist(), strict=True) if "mark" in part.schema.names else these
             sets += got
             load += sum(map(len, got))
             if load >= LOAD:
@@ -101,7 +102,7 @@ def _arrow(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 
 L, B, I = pa.int64(), pa.binary(), pa.int32()
-FIRST = [("kind", I), ("h1", L), ("h2", L), ("n", L), ("docs", pa.list_(L)), ("cells", pa.list_(L)), ("bucket", L), ("tokens", B), ("counts", B)]
+FIRST = [("kind", I), ("h1", L), ("h2", L), ("n", L), ("docs", pa.list_(L)), ("marks", pa.list_(L)), ("cells", pa.list_(L)), ("bucket", L), ("tokens", B), ("counts", B)]
 POSTING = [("bucket", L), ("tokens", B), ("members", B), ("sizes", B), ("places", B)]
 
 
@@ -111,10 +112,10 @@ def _sets_kernel(k: int, nb: int):
     def sets_of_chunks(it):
         for ids, sets in _chunks(it, k):
             found = _distinct(ids, sets)
-            rows = [(0, a, b, len(s), docs, parities(s), None, None, None) for (a, b), (s, docs) in found.items()]
+            rows = [(0, a, b, len(s), [d for d, _ in docs], [x for _, x in docs], parities(s), None, None, None) for (a, b), (s, docs) in found.items()]
             u, n = np.unique(np.concatenate([s for s, _ in found.values()]), return_counts=True)
             u, n = u[n > 1], n[n > 1].astype(np.uint32)
-            rows += [(1, None, None, None, None, None, b, u[at].tobytes(), n[at].tobytes()) for b, at in _by_bucket((u % U(nb)).astype(np.int64), nb)]
+            rows += [(1, None, None, None, None, None, None, b, u[at].tobytes(), n[at].tobytes()) for b, at in _by_bucket((u % U(nb)).astype(np.int64), nb)]
             yield _arrow(rows, FIRST)
 
     return sets_of_chunks
@@ -337,14 +338,14 @@ def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(F.expr(f"100 * o >= {percent} * (na + nb - o)")).select("a", "b").distinct()
 
 
-def similar_classes(df: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", listed: int = 400_000) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) of every row."""
+def similar_classes(df: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", listed: int = 400_000, marked: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links reach) of every row; marked: with text_hash, xxhash64 of the text."""
     spark = df.sparkSession
     runtime.prepare(spark)
     nb = runtime.partitions(spark)
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = runtime.cut(rows.mapInArrow(runtime.lean(_sets_kernel(k, nb)), "kind int, h1 long, h2 long, n long, docs array<long>, cells array<long>, bucket long, tokens binary, counts binary"))
-    sets = first.where("kind = 0").select("h1", "h2", "n", "docs", "cells")
+    first = runtime.cut(rows.withColumn("mark", F.xxhash64("text")).mapInArrow(runtime.lean(_sets_kernel(k, nb)), "kind int, h1 long, h2 long, n long, docs array<long>, marks array<long>, cells array<long>, bucket long, tokens binary, counts binary"))
+    sets = first.where("kind = 0").select("h1", "h2", "n", F.arrays_zip("docs", "marks").alias("rows"), "docs", "cells")
     shared = spark.sparkContext.broadcast(_frequent(first, nb, listed))
 
     posting = "bucket long, tokens binary, members binary, sizes binary, places binary"
@@ -396,6 +397,7 @@ def similar_classes(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     named = reps.join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("least"))
     classes = named.join(smallest, "label").select("h1", "h2", "least")
-    return sets.join(classes, ["h1", "h2"]).select(F.explode("docs").alias("doc_id"), F.col("n").alias("n_shingles"), "least").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    )
+    found = sets.select("h1", "h2", "n", "rows").join(classes, ["h1", "h2"]).select(F.explode("rows").alias("row"), F.col("n").alias("n_shingles"), "least")
+    found = found.select(F.col("row.docs").alias("doc_id"), "n_shingles", "least", F.col("row.marks").alias("text_hash"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+    return found.select("doc_id", "n_shingles", component, *(["text_hash"] if marked else []))

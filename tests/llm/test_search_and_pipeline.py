@@ -99,6 +99,14 @@ def test_near_duplicate_stage_keeps_one_row_of_repeats(spark):
     assert got == [(1, t), (1, "other words that are not near at all"), (3, "")]
 
 
+def test_near_duplicate_stage_judges_rows_by_their_own_text(spark):
+    t = "a b c d e f g h"
+    rows = [(1, t), (2, t), (2, "unrelated words of the repeated id stay here"), (None, t), (None, "a clean text without any id stays"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert got == {rows[0], rows[2], rows[4], rows[5]}
+
+
 def test_queries_run_on_driver_tables(spark):
     sf = "/root/testdata/sf0.001"
     for name in ("op7_sharding", "op9_urls", "op10_decontamination"):

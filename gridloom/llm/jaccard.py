@@ -34,6 +34,7 @@ from gridloom.llm.tokens import U, mix, pieces, windows, words_of
 
 LOAD = 1_000_000
 FRAGMENTS = 4
+CROWD = 256
 SPREAD = 4096
 
 
@@ -326,6 +327,53 @@ def _overlap_kernel(it):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "a2", "na", "b", "b2", "nb", "part")), pa.array(over, L)], names=["a", "a2", "na", "b", "b2", "nb", "part", "o"])
 
 
+def _whole_kernel(k: int):
+    """Every distinct set of a chunk with its shingles."""
+
+    def whole_sets(it):
+        for ids, sets in _chunks(it, k):
+            yield _arrow([(a, b, s.tobytes()) for (a, b), (s, _) in _distinct(ids, sets).items()], [("h1", L), ("h2", L), ("tokens", B)])
+
+    return whole_sets
+
+
+def _degree_kernel(percent: int):
+    """For each set of a pair of a component's blocks, the number of similar sets in that pair, by exact overlaps."""
+
+    def degrees(it):
+        held = [b for b in it if b.num_rows]
+        if not held:
+            return
+        held = pa.Table.from_batches(held)
+        label, lo, hi, block, h1, h2 = (held[c].to_numpy() for c in ("label", "lo", "hi", "block", "h1", "h2"))
+        sets = held["tokens"].to_pylist()
+        order = np.lexsort((h2, h1, block, hi, lo, label))
+        key = np.stack([label, lo, hi], 1)[order]
+        cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            at = order[a:b]
+            at = at[np.append(True, (h1[at][1:] != h1[at][:-1]) | (h2[at][1:] != h2[at][:-1]))]  # a set of several documents counts once
+            got = [np.frombuffer(sets[i], U) for i in at.tolist()]
+            n = np.array([len(x) for x in got])
+            start = np.append(0, np.cumsum(n))
+            _, place = np.unique(np.concatenate(got), return_inverse=True)
+            flag = np.zeros(int(place.max()) + 1, np.int64)
+            side, links = block[at], np.zeros(len(at), np.int64)
+            for i in range(len(at)):
+                mine = place[start[i] : start[i + 1]]
+                flag[mine] = 1
+                over = np.add.reduceat(flag[place], start[:-1])
+                flag[mine] = 0
+                ok = 100 * over >= percent * (n + n[i] - over)
+                ok[i] = False
+                if key[a, 1] != key[a, 2]:
+                    ok &= side != side[i]
+                links[i] = ok.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(links)], names=["h1", "h2", "links"])
+
+    return degrees
+
+
 def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Links: pairs whose summed partial overlaps reach the bound."""
     left = parts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta"))
@@ -338,8 +386,11 @@ def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(F.expr(f"100 * o >= {percent} * (na + nb - o)")).select("a", "b").distinct()
 
 
-def similar_classes(df: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", listed: int = 400_000, marked: bool = False) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) of every row; marked: with text_hash, xxhash64 of the text."""
+def similar_classes(df: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", listed: int = 400_000, marked: bool = False, linked: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links reach) of every row; marked: with text_hash, xxhash64 of the text.
+
+    linked: with n_links, the number of other distinct sets that are similar to the row's own.
+    """
     spark = df.sparkSession
     runtime.prepare(spark)
     nb = runtime.partitions(spark)
@@ -397,7 +448,22 @@ def similar_classes(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     named = reps.join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("least"))
     classes = named.join(smallest, "label").select("h1", "h2", "least")
-    found = sets.select("h1", "h2", "n", "rows").join(classes, ["h1", "h2"]).select(F.explode("rows").alias("row"), F.col("n").alias("n_shingles"), "least")
-    found = found.select(F.col("row.docs").alias("doc_id"), "n_shingles", "least", F.col("row.marks").alias("text_hash"))
+    if linked:
+        # A link lies within a component: all pairs of a component's sets are compared, block by block.
+        crowds = named.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("label", (1 + F.floor(F.col("m") / CROWD)).cast("int").alias("blocks"))
+        crowded = runtime.cut(named.join(crowds, "label").select("h1", "h2", "rep", "label", "blocks", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int").alias("block")))
+        needed = runtime.cut(crowded.select(F.col("rep").alias("doc_id")).distinct())
+        near = runtime.exchange(runtime.maybe_in(rows, "doc_id", runtime.bloom_bits(needed, "doc_id"), "maybe").where("maybe").drop("maybe"), "doc_id")
+        some = near.join(needed, near["doc_id"].eqNullSafe(needed["doc_id"]), "left_semi")
+        whole = some.mapInArrow(runtime.lean(_whole_kernel(k)), "h1 long, h2 long, tokens binary")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = whole.join(crowded, ["h1", "h2"]).withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        dealt = runtime.exchange(dealt.select("label", "lo", "hi", "block", "h1", "h2", "tokens"), "label", "lo", "hi")
+        degree = runtime.cut(dealt.mapInArrow(runtime.lean(_degree_kernel(percent)), "h1 long, h2 long, links long").groupBy("h1", "h2").agg(F.sum("links").alias("links")))
+        classes = classes.join(degree, ["h1", "h2"], "left")
+    else:
+        classes = classes.withColumn("links", F.lit(0).cast("long"))
+    found = sets.select("h1", "h2", "n", "rows").join(classes, ["h1", "h2"]).select(F.explode("rows").alias("row"), F.col("n").alias("n_shingles"), "least", "links")
+    found = found.select(F.col("row.docs").alias("doc_id"), "n_shingles", "least", F.col("row.marks").alias("text_hash"), F.coalesce("links", F.lit(0)).alias("n_links"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    return found.select("doc_id", "n_shingles", component, *(["text_hash"] if marked else []))
+    return found.select("doc_id", "n_shingles", component, *(["n_links"] if linked else []), *(["text_hash"] if marked else []))

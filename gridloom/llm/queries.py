@@ -42,7 +42,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_classes(runtime.table(spark, sf_dir, "documents"), 4, 85)
+    return jaccard.similar_classes(runtime.table(spark, sf_dir, "documents"), 4, 85, linked=True)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,20 @@ def test_jaccard_blocks_of_a_frequent_shingle(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.similar_classes(df, 4, 85).collect())) == plain
 
 
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    """Links inside a group of near copies, over several blocks, against all pairs."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: 60 - int(rng.integers(0, 16))] + [f"x{int(v)}" for v in rng.integers(0, 9, 2)]) for _ in range(40)] + ["far from all of the others here", ""]
+    texts.append(texts[0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if (w := t.split()) else frozenset() for t in texts]
+    want = {i: sum(x != y and 100 * len(x & y) >= 85 * len(x | y) for y in set(sets) if x) for i, x in enumerate(sets)}
+    assert max(want.values()) > 2
+    monkeypatch.setattr(jaccard, "CROWD", 8)
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.similar_classes(df, 4, 85, linked=True).collect()} == want
+
+
 def test_jaccard_empty_and_null_ids(spark, empty):
     assert jaccard.similar_classes(empty).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (8, None), (7, "z")], "doc_id long, text string")

@@ -1,67 +1,174 @@
-"""Sums that do not depend on order: exact partial sums, merged exactly, rounded once."""
+"""Sums that depend neither on order nor on partitioning: integer digits in the JVM, rounded once.
+
+A double is three whole digits to the base 2**30 at a place that follows its exponent. Digits of equal place are summed
+as longs, which is exact for up to 2**32 values of a group, so tasks pre-aggregate and partial sums merge in any
+order. Only the totals of a group, a few rows, reach the kernel that rounds them.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from fractions import Fraction
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BASE = 30
+PART = 5  # longs of a part: which sum, place, three digits
+
+
+def power(k: Column) -> Column:
+    return F.pow(F.lit(2.0), k.cast("double"))
+
+
+def exponent(x: Column) -> Column:
+    """The binary exponent, at most one off; null for zero."""
+    return F.floor(F.log2(F.abs(x))).cast("int")
+
+
+def shifted(x: Column, k: Column) -> Column:
+    """x * 2**k, exact unless the result is out of range; in two steps, as 2**k alone may be."""
+    half = F.floor(k / 2).cast("int")
+    return x * power(half) * power(k - half)
 
-def expansion(values) -> list[float]:
-    """The exact sum as a few doubles that do not overlap."""
-    parts: list[float] = []
-    for x in values:
-        i = 0
-        for y in parts:
-            if abs(x) < abs(y):
-                x, y = y, x
-            hi = x + y
-            lo = y - (hi - x)
-            if lo:
-                parts[i] = lo
-                i += 1
-            x = hi
-        parts[i:] = [x]
-    return parts
 
+def digits(x: Column, at: Column, k: Column) -> list[Column]:
+    """Whole digits of x * 2**k at place ``at`` and the two below."""
+    y = shifted(x, k - at * BASE)
+    d0 = y.cast("long")
+    r = (y - d0.cast("double")) * float(1 << BASE)
+    d1 = r.cast("long")
+    return [d0, d1, ((r - d1.cast("double")) * float(1 << BASE)).cast("long")]
+
+
+def two_product(a: Column, b: Column) -> tuple[Column, Column]:
+    """a * b as a rounded product and its error, for numbers whose squares are in range."""
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        c = v * 134217729.0
+        hi = c - (c - v)
+        return hi, v - hi
+
+    p = a * b
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def gather(df: DataFrame, keys: list, sums: Sequence[Sequence[tuple[Column, Column | int]]], value: Column | None = None) -> DataFrame:
+    """By key: ``parts`` (array of longs, PART for each sum and place), ``n``, ``lo`` and ``hi``.
+
+    sums: each a list of terms (x, k), which stand for x * 2**k; null terms count as nothing. n, lo and hi are the number
+    and extrema of ``value`` where it is not null, or n the number of rows. Every key of df gets a row.
+    """
+    names, kept = [], []
+    for k in keys:
+        name = k if isinstance(k, str) else df.select(k).columns[0]
+        names.append(name)
+        kept.append(F.col(k) if isinstance(k, str) else k)
+    terms = [(i, x, k) for i, some in enumerate(sums) for x, k in some]
+    plain = df.select(*kept, (F.lit(1.0) if value is None else value).alias("__v"), *(F.when(x != 0, x).alias(f"__x{j}") for j, (_, x, _) in enumerate(terms)), *(F.lit(k).cast("int").alias(f"__k{j}") if isinstance(k, int) else k.cast("int").alias(f"__k{j}") for j, (_, _, k) in enumerate(terms)))
+    at = {f"__a{j}": F.floor((exponent(F.col(f"__x{j}")) + F.col(f"__k{j}")) / BASE).cast("int") for j in range(len(terms))}
+    placed = plain.withColumns(at) if at else plain
+    nothing = [F.lit(0).cast("long")] * 3
+    entry = lambda which, place, d, v: F.struct(F.lit(which).alias("which"), place.alias("at"), *(x.alias(f"d{i}") for i, x in enumerate(d)), v.alias("v"))
+    rows = [entry(-1, F.lit(0), nothing, F.col("__v"))]
+    for j, (i, _, _) in enumerate(terms):
+        x = F.col(f"__x{j}")
+        finite = F.when(x.isNull() | (F.abs(x) < F.lit(math.inf)), x).otherwise(F.raise_error(F.lit("a sum is not finite")).cast("double"))
+        rows.append(entry(i, F.col(f"__a{j}"), digits(finite, F.col(f"__a{j}"), F.col(f"__k{j}")), F.lit(None).cast("double")))
+    each = placed.select(*names, F.inline(F.array(*rows))).where("which = -1 or at is not null")
+    return merge(each, names)
+
+
+def merge(each: DataFrame, names: list[str]) -> DataFrame:
+    """Parts by key from single digits (which, at, d0, d1, d2, v)."""
+    by_place = each.groupBy(*names, "which", "at").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(3)), F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    part = F.when(F.col("which") >= 0, F.array(F.col("which").cast("long"), F.col("at").cast("long"), "d0", "d1", "d2"))
+    return by_place.groupBy(*names).agg(F.flatten(F.array_sort(F.collect_list(part))).alias("parts"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def again(gathered: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge rows of ``gather`` (parts, n, lo, hi) by fewer keys."""
+    named = lambda i: F.element_at("p", i)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size("parts") / PART).cast("int") - 1), lambda i: F.slice("parts", i * PART + 1, PART))
+    entries = F.when(F.size("parts") > 0, chunks).otherwise(F.array().cast("array<array<long>>"))
+    parts = gathered.select(*keys, F.explode(entries).alias("p")).select(*keys, named(1).alias("which"), named(2).alias("at"), *(named(3 + i).alias(f"d{i}") for i in range(3)), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("n"))
+    zero = F.lit(0).cast("long")
+    heads = gathered.select(*keys, F.lit(-1).cast("long").alias("which"), zero.alias("at"), *(zero.alias(f"d{i}") for i in range(3)), "lo", "hi", "n")
+    by_place = parts.unionByName(heads).groupBy(*keys, "which", "at").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(3)), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    part = F.when(F.col("which") >= 0, F.array("which", "at", "d0", "d1", "d2"))
+    return by_place.groupBy(*keys).agg(F.flatten(F.array_sort(F.collect_list(part))).alias("parts"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def whole(parts, sums: int) -> tuple[list[int], int]:
+    """The exact totals as integers, and the power of two that scales them all."""
+    p = [int(x) for x in parts]
+    low = min((p[i + 1] for i in range(0, len(p), PART)), default=0) - 2
+    out = [0] * sums
+    for i in range(0, len(p), PART):
+        which, at, d0, d1, d2 = p[i : i + PART]
+        out[which] += (((d0 << BASE) + d1 << BASE) + d2) << BASE * (at - 2 - low)
+    return out, BASE * low
+
+
+def nearest(n: int, k: int) -> float:
+    """n * 2**k, rounded once."""
+    try:
+        return float(n << k) if k >= 0 else n / (1 << -k)
+    except OverflowError:
+        raise OverflowError("a sum is not finite") from None
+
+
+def nearest_ratio(x: Fraction) -> float:
+    """A fraction, rounded once."""
+    try:
+        return x.numerator / x.denominator
+    except OverflowError:
+        raise OverflowError("a result is not finite") from None
+
+
+def rounded(parts: Column, sums: int, first: int | None = None) -> Column:
+    """The totals of the first sums (of all, if not given) as doubles."""
+
+    @F.pandas_udf("array<double>")
+    def run(column):
+        import pandas as pd
+
+        out = []
+        for parts in column:
+            totals, k = whole(parts, sums)
+            out.append([nearest(n, k) for n in totals[:first]])
+        return pd.Series(out)
 
-def exact_sums(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Correctly rounded sums by key (null values are skipped). Tasks keep exact partial sums; a sum that overflows fails."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    part_schema = kinds + "".join(f", `{v}` array<double>" for v in values)
-
-    def partial(it):
-        held: dict[tuple, list[list[float]]] = {}
-        for batch in it:
-            ks = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            where: dict[tuple, list[int]] = {}
-            for i, k in enumerate(ks):
-                where.setdefault(k, []).append(i)
-            cols = [batch.column(v).to_numpy(zero_copy_only=False).astype(float) for v in values]
-            nulls = [batch.column(v).is_null().to_numpy(zero_copy_only=False) for v in values]
-            for k, at in where.items():
-                slots = held.setdefault(k, [[] for _ in values])
-                for slot, c, null in zip(slots, cols, nulls, strict=True):
-                    x = c[at][~null[at]]
-                    slot[:] = expansion([*slot, *x.tolist()])
-        if held:
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in held], batch.schema.field(name).type) for i, name in enumerate(keys)), *(pa.array([s[j] for s in held.values()], pa.list_(pa.float64())) for j in range(len(values)))], names=[*keys, *values])
-
-    parts = df.select(*keys, *values).mapInArrow(partial, part_schema).groupBy(*keys).agg(*(F.flatten(F.collect_list(v)).alias(v) for v in values))
-
-    @F.pandas_udf("double")
-    def rounded(c):
-        import pandas as pd
+    return run(parts)
+
+
+def span(df: DataFrame, x: Column) -> tuple[int, int]:
+    """The lowest and highest place that digits of x take: one pass that returns two numbers."""
+    e = df.select(F.floor(exponent(x) / BASE).cast("int").alias("a")).agg(F.min("a").alias("lo"), F.max("a").alias("hi")).first()
+    return (0, 0) if e["lo"] is None else (e["lo"] - 2, e["hi"])
 
-        out = [math.fsum(x) for x in c]
-        if not np.isfinite(out).all():
-            raise OverflowError("a sum is not finite")
-        return pd.Series(out, dtype=float)
 
-    return parts.withColumns({v: rounded(F.col(v)) for v in values})
+def spread_digits(x: Column, low: int, high: int) -> list[Column]:
+    """The digits of x at each of the places low..high, 0 where it has none."""
+    at = F.floor(exponent(x) / BASE).cast("int")
+    d = digits(x, at, F.lit(0))
+    zero = F.lit(0).cast("long")
+    return [F.coalesce(F.when(at == j, d[0]).when(at == j + 1, d[1]).when(at == j + 2, d[2]), zero) for j in range(low, high + 1)]
+
+
+def product_terms(c: Column, n: Column, k: int) -> list[tuple[Column, int]]:
+    """Terms for ``gather`` of c * n * 2**k, without rounding, for a long n and a c of moderate size."""
+    high = F.shiftright(n, 31)
+    low = (n - F.shiftleft(high, 31)).cast("double")
+    return [(x, k + more) for v, more in ((high.cast("double"), 31), (low, 0)) for x in two_product(c, v)]
+
+
+def exact_sums(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Correctly rounded sums by key (null values are skipped). A sum that overflows fails."""
+    got = gather(df, keys, [[(F.col(v), 0)] for v in values]).withColumn("r", rounded(F.col("parts"), len(values)))
+    return got.select(*keys, *(F.col("r")[i].alias(v) for i, v in enumerate(values)))
 
 
 def compensated(values: Column) -> Column:

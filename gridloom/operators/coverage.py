@@ -107,12 +107,13 @@ def _area(pts) -> Fraction:
     return sum((pts[i - 1][0] * q[1] - q[0] * pts[i - 1][1] for i, q in enumerate(pts)), Fraction(0)) / 2
 
 
-def clipped(zones: DataFrame, grid: Grid) -> DataFrame:
-    """The direct strategy: clip every cell of each zone exactly."""
+def clipped(zones: DataFrame, grid: Grid, only_thin: bool = False) -> DataFrame:
+    """The direct strategy: clip every cell of each zone (or of thin ones alone) exactly."""
 
     def kernel(it):
         for batch in it:
-            out = [(z, *cell) for z, g in zip(batch.column("zone_id").to_pylist(), batch.column("geometry").to_pylist(), strict=True) for cell in clip_cells(g, grid)]
+            pairs = zip(batch.column("zone_id").to_pylist(), batch.column("geometry").to_pylist(), strict=True)
+            out = [(z, *cell) for z, g in pairs if not only_thin or G.describe(g, grid)[2] for cell in clip_cells(g, grid)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[2] + 1 for r in out], pa.int32()), pa.array([r[3] for r in out], pa.float64())], names=["zone_id", "row", "col_start", "col_end", "fraction"])
 
     return zones.select("zone_id", "geometry").mapInArrow(kernel, SELECTION)
@@ -124,10 +125,7 @@ def select_cells(zones: DataFrame, grid: Grid, strategy: str = "scanline") -> Da
         return merged(clipped(zones, grid))
     if strategy != "scanline":
         raise ValueError("strategy is scanline or direct")
-    facts = G.zone_facts(zones, grid)
-    thin = zones.join(facts.where("thin"), "zone_id", "left_semi")
-    plain = zones.join(facts.where("thin"), "zone_id", "left_anti")
-    return merged(runs(G.edges_of(plain, grid), grid).unionByName(clipped(thin, grid)))
+    return merged(runs(G.edges_of(zones, grid, thin=False), grid).unionByName(clipped(zones, grid, only_thin=True)))
 
 
 def cells_of(selection: DataFrame) -> DataFrame:

@@ -128,12 +128,15 @@ def describe(geometry: str | dict, grid: Grid) -> tuple[list[tuple], float, bool
     return edges, area, area < 1e-4 or area < around * 1e-7
 
 
-def edges_of(zones: DataFrame, grid: Grid) -> DataFrame:
-    """Edges in pixel space of zones (zone_id, geometry). An invalid polygon fails the job."""
+def edges_of(zones: DataFrame, grid: Grid, thin: bool = True) -> DataFrame:
+    """Edges in pixel space of zones (zone_id, geometry), or of those that are not too thin. An invalid polygon fails the job."""
 
     def kernel(it):
         for batch in it:
-            out = [(z, *e) for z, g in zip(batch.column("zone_id").to_pylist(), batch.column("geometry").to_pylist(), strict=True) for e in describe(g, grid)[0]]
+            out = []
+            for z, g in zip(batch.column("zone_id").to_pylist(), batch.column("geometry").to_pylist(), strict=True):
+                edges, _, is_thin = describe(g, grid)
+                out += [(z, *e) for e in edges] if thin or not is_thin else []
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.float64()) for i in range(2, 7))], names=[x.split()[0] for x in EDGES.split(", ")])
 
     return zones.select("zone_id", "geometry").mapInArrow(kernel, EDGES)

@@ -9,33 +9,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import numerics
 from gridloom.model import Grid, Options, require
 from gridloom.operators import zonal
 from gridloom.operators.coverage import tile_cover, tiled
 
 STATE = ["fractional_sum", "valid_cell_count", "min", "max"]
+TILE = ["slice_id", "band", "level", "ty", "tx"]
 
 
-def _aggregate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sum("fractional_sum").alias("fractional_sum"), F.sum("valid_cell_count").alias("valid_cell_count"), F.min("min").alias("min"), F.max("max").alias("max"))
+def _rounded(gathered: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with the state and the exact parts of its sum, which merge without loss."""
+    r = gathered.withColumn("r", numerics.rounded(F.col("parts"), 1))
+    return r.select(*keys, F.col("r")[0].alias("fractional_sum"), F.col("n").cast("long").alias("valid_cell_count"), F.col("lo").alias("min"), F.col("hi").alias("max"), "parts")
+
+
+def _gathered(states: DataFrame, *keys) -> DataFrame:
+    """States as numerics.again takes them."""
+    return states.select(*keys, "parts", F.col("valid_cell_count").alias("n"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+
+
+def _tiles(cells: DataFrame, edge: int) -> DataFrame:
+    v = F.when(F.col("valid"), F.col("value"))
+    rows = cells.withColumns({"level": F.lit(0), "ty": F.expr(f"row div {edge}"), "tx": F.expr(f"col div {edge}")})
+    return numerics.gather(rows, TILE, [[(v, 0)]], v)
 
 
 def leaves(cells: DataFrame, edge: int) -> DataFrame:
     """Level 0: (slice_id, band, level, ty, tx) with the state of its valid cells."""
-    v = F.when(F.col("valid"), F.col("value"))
-    tiles = cells.groupBy("slice_id", "band", F.expr(f"row div {edge}").alias("ty"), F.expr(f"col div {edge}").alias("tx"))
-    return tiles.agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("fractional_sum"), F.count(v).alias("valid_cell_count"), F.min(v).alias("min"), F.max(v).alias("max")).withColumn("level", F.lit(0))
+    return _rounded(_tiles(cells, edge), TILE)
 
 
 def pyramid(cells: DataFrame, edge: int, levels: int) -> DataFrame:
     """Leaves and their parents, each made from two by two children and never from resampled cells."""
     require(edge in (16, 32, 64, 128, 256, 512) and 0 <= levels <= 24, "unsupported tile edge or number of levels")
-    level = leaves(cells, edge)
-    out = level
-    for k in range(1, levels + 1):
-        level = _aggregate(level, ["slice_id", "band", F.expr("ty div 2").alias("ty"), F.expr("tx div 2").alias("tx")]).withColumn("level", F.lit(k))
-        out = out.unionByName(level)
-    return out
+    leaf = _tiles(cells, edge)
+    if not levels:
+        return _rounded(leaf, TILE)
+    up = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    side = F.expr("shiftleft(1L, level)")
+    rows = leaf.drop("level").withColumn("level", up).withColumns({"ty": F.floor(F.col("ty") / side), "tx": F.floor(F.col("tx") / side)})
+    return _rounded(numerics.again(rows, TILE), TILE)  # every level from the leaves' exact parts
 
 
 def ward(cells: DataFrame, path: str, edge: int = 64, levels: int = 4) -> None:
@@ -46,7 +60,8 @@ def ward(cells: DataFrame, path: str, edge: int = 64, levels: int = 4) -> None:
 def row_blocks(cells: DataFrame, width: int = 64) -> DataFrame:
     """State of blocks of 64 columns in a row."""
     v = F.when(F.col("valid"), F.col("value"))
-    return cells.groupBy("slice_id", "band", "row", F.expr(f"col div {width}").alias("block")).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("fractional_sum"), F.count(v).alias("valid_cell_count"), F.min(v).alias("min"), F.max(v).alias("max"))
+    keys = ["slice_id", "band", "row", "block"]
+    return _rounded(numerics.gather(cells.withColumn("block", F.expr(f"col div {width}")), keys, [[(v, 0)]], v), keys)
 
 
 def check_states(summary: DataFrame, grid: Grid, edge: int) -> DataFrame:
@@ -73,19 +88,25 @@ def cover(zones_by_tile: DataFrame, levels: int) -> DataFrame:
 
 
 def measure_with(summary: DataFrame, cells: DataFrame, selection: DataFrame, areas: DataFrame, grid: Grid, edge: int, levels: int = 0, options: Options | None = None, slices: DataFrame | None = None) -> DataFrame:
-    """Like zonal.measure, with whole tiles taken from the summary. Only basic statistics are eligible."""
+    """Like zonal.measure, with whole tiles taken from the summary. Only basic statistics are eligible.
+
+    Stored and read sums meet as exact parts, so the result equals the direct one.
+    """
     options = options or Options()
     require(options.summary_eligible(), "these statistics cannot come from summaries")
     by_tile = tile_cover(selection, grid, edge)
     nodes = cover(by_tile, levels)
     inside = zonal.prune(summary, options).join(nodes, ["level", "ty", "tx"])
-    stored = inside.select("slice_id", "zone_id", "band", *STATE, F.col("valid_cell_count").cast("double").alias("covered_cell_equivalents"))
+    long = lambda v: F.lit(v).cast("long")
+    covered = F.array(long(1), long(0), F.col("valid_cell_count"), long(0), long(0))  # the second sum, the support, is the count
+    stored = _gathered(inside.withColumn("parts", F.concat("parts", covered)), *zonal.KEYS)
     rest = tiled(selection, edge).join(by_tile.where("not whole").select("zone_id", "ty", "tx"), ["zone_id", "ty", "tx"])
     tiles = rest.select(F.col("ty").alias("e_ty"), F.col("tx").alias("e_tx")).distinct()
     near = zonal.prune(cells, options).join(tiles, F.expr(f"row div {edge} = e_ty and col div {edge} = e_tx"), "left_semi")
-    read = zonal.basic_states(zonal.join_cells(near, rest.select("zone_id", "row", "col_start", "col_end", "fraction"), edge), Options())
-    both = stored.unionByName(read.select(*stored.columns))
-    states = both.groupBy(*zonal.KEYS).agg(F.sum("fractional_sum").alias("fractional_sum"), F.sum("valid_cell_count").alias("valid_cell_count"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("covered_cell_equivalents").alias("covered_cell_equivalents"))
+    joined = zonal.join_cells(near, rest.select("zone_id", "row", "col_start", "col_end", "fraction"), edge)
+    read, names, n = zonal.states(joined, Options())
+    both = numerics.again(stored.unionByName(read.select(*stored.columns)), zonal.KEYS).withColumn("r", numerics.rounded(F.col("parts"), n))
+    states = both.select(*zonal.KEYS, *(F.col("r")[i].alias(k) for i, k in enumerate(names)), F.col("n").alias("valid_cell_count"), F.col("lo").alias("min"), F.col("hi").alias("max"))
     pairs = slices if slices is not None else summary.select("slice_id", "band").distinct()
     if options.bands:
         pairs = pairs.where(F.col("band").isin(list(options.bands)))
@@ -93,22 +114,29 @@ def measure_with(summary: DataFrame, cells: DataFrame, selection: DataFrame, are
     return zonal.project(zonal.finish(states, frame), options)
 
 
-def row_prefixes(cells: DataFrame) -> DataFrame:
-    """Prefix sums and counts along each row: (slice_id, band, row, col, sum_to, count_to), up to and with the cell."""
+def row_prefixes(cells: DataFrame) -> tuple[DataFrame, int, int]:
+    """Exact prefix sums and counts along each row, up to and with the cell, and the lowest place and number of places.
+
+    (slice_id, band, row, col, p0.., count_to): p0 is the sum of digits at the lowest place, and so on.
+    """
     w = Window.partitionBy("slice_id", "band", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    v = F.when(F.col("valid"), F.col("value")).otherwise(0.0)
-    return cells.select("slice_id", "band", "row", "col", F.sum(v).over(w).alias("sum_to"), F.sum(F.col("valid").cast("long")).over(w).alias("count_to"))
+    v = F.when(F.col("valid"), F.col("value"))
+    low, high = numerics.span(cells, v)
+    placed = cells.select("slice_id", "band", "row", "col", "valid", *(d.alias(f"__d{j}") for j, d in enumerate(numerics.spread_digits(v, low, high))))
+    sums = [F.sum(f"__d{j}").over(w).alias(f"p{j}") for j in range(high - low + 1)]
+    return placed.select("slice_id", "band", "row", "col", *sums, F.sum(F.col("valid").cast("long")).over(w).alias("count_to")), low, high - low + 1
 
 
 def measure_by_prefix(cells: DataFrame, selection: DataFrame) -> DataFrame:
-    """Sums and support of runs from two prefixes each, whatever a run's length. Rows are dense: every column is present."""
-    pre = row_prefixes(cells)
-    hi = pre.select("slice_id", "band", "row", (F.col("col") + 1).alias("edge"), "sum_to", "count_to")
+    """Exact sums and support of runs from two prefixes each, whatever a run's length. Rows are dense: every column is present."""
+    pre, low, n = row_prefixes(cells)
+    names = [*(f"p{j}" for j in range(n)), "count_to"]
+    hi = pre.withColumn("edge", F.col("col") + 1).drop("col")
     s = selection.select("zone_id", "row", F.col("col_start"), F.col("col_end"), "fraction")
     upper = s.join(hi.withColumnRenamed("edge", "col_end"), ["row", "col_end"])
-    lower = hi.select("slice_id", "band", "row", F.col("edge").alias("col_start"), F.col("sum_to").alias("sum_at"), F.col("count_to").alias("count_at"))
-    both = upper.join(lower, ["slice_id", "band", "row", "col_start"], "left").fillna({"sum_at": 0.0, "count_at": 0})
-    return both.groupBy(*zonal.KEYS).agg(
-        F.sum(F.col("fraction") * (F.col("sum_to") - F.col("sum_at"))).alias("fractional_sum"),
-        F.sum(F.col("fraction") * (F.col("count_to") - F.col("count_at"))).alias("covered_cell_equivalents"),
-    )
+    lower = hi.select("slice_id", "band", "row", F.col("edge").alias("col_start"), *(F.col(c).alias(f"__{c}") for c in names))
+    both = upper.join(lower, ["slice_id", "band", "row", "col_start"], "left").withColumns({c: F.col(c) - F.coalesce(F.col(f"__{c}"), F.lit(0).cast("long")) for c in names})
+    f = F.col("fraction")
+    sums = [t for j in range(n) for t in numerics.product_terms(f, F.col(f"p{j}"), numerics.BASE * (low + j))]
+    got = numerics.gather(both, zonal.KEYS, [sums, numerics.product_terms(f, F.col("count_to"), 0)]).withColumn("r", numerics.rounded(F.col("parts"), 2))
+    return got.select(*zonal.KEYS, F.col("r")[0].alias("fractional_sum"), F.col("r")[1].alias("covered_cell_equivalents"))

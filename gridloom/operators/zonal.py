@@ -7,12 +7,19 @@ session's threshold; if not, both sides are shuffled by (row, tile), which sprea
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import numerics
 from gridloom.functions.expressions import bands_of, compile_expression, keep
-from gridloom.functions.numerics import checked, exact_sums
+from gridloom.functions.numerics import checked
 from gridloom.model import Options, require
+from gridloom.operators import reducers
 from gridloom.operators.coverage import tiled
 
 KEYS = ["slice_id", "zone_id", "band"]
@@ -62,8 +69,9 @@ def derive(cells: DataFrame, expression: dict | None = None, mask: dict | None =
 
 def zone_areas(selection: DataFrame, areas: DataFrame) -> DataFrame:
     """zone_id, polygon_area, selected (covered cells inside the grid), intersecting_cell_count."""
-    n = (F.col("col_end") - F.col("col_start")).cast("long")
-    got = selection.groupBy("zone_id").agg(F.sum(n * F.col("fraction")).alias("selected"), F.sum(n).alias("intersecting_cell_count"))
+    n = (F.col("col_end") - F.col("col_start")).cast("double")
+    got = numerics.gather(selection, ["zone_id"], [[(n * F.col("fraction"), 0)], [(n, 0)]]).withColumn("r", numerics.rounded(F.col("parts"), 2))
+    got = got.select("zone_id", F.col("r")[0].alias("selected"), F.col("r")[1].cast("long").alias("intersecting_cell_count"))
     return areas.select("zone_id", "polygon_area").join(got, "zone_id", "left").fillna({"selected": 0.0, "intersecting_cell_count": 0})
 
 
@@ -91,24 +99,80 @@ def bin_of(value: Column, edges: tuple[float, ...]) -> Column:
     return c.otherwise(len(edges) - 2)
 
 
-def basic_states(joined: DataFrame, options: Options, exact: bool = False) -> DataFrame:
-    """One aggregation for all sums, counts and extrema. exact: sums are correctly rounded whatever the order."""
+def _terms(rows: DataFrame, options: Options) -> tuple[DataFrame, dict[str, list]]:
+    """What each sum adds up, by its name."""
     sums = {"fractional_sum": _f(F.col("value") * F.col("f")), "covered_cell_equivalents": _f(F.col("f"))}
     if options.weight_band is not None:
         weighted = F.col("valid") & F.col("w").isNotNull()
         sums |= {"weighted_sum": F.when(weighted, F.col("value") * F.col("w") * F.col("f")), "weight_sum": F.when(weighted, F.col("w") * F.col("f")), "weighted_valid_cell_equivalents": F.when(weighted, F.col("f"))}
     if options.histogram_edges is not None:
         e = options.histogram_edges
-        b = bin_of(F.col("value"), e)
-        sums |= {f"__bin{i}": _f(F.when(b == i, F.col("f"))) for i in range(-1, len(e))}
-    rows = joined.withColumns({f"__{k}": v for k, v in sums.items()})
-    others = [F.count_if(F.col("valid")).alias("valid_cell_count"), F.min(_f(F.col("value"))).alias("min"), F.max(_f(F.col("value"))).alias("max")]
+        rows = rows.withColumn("__bin", bin_of(F.col("value"), e))
+        sums |= {f"__bin{i}": _f(F.when(F.col("__bin") == i, F.col("f"))) for i in range(-1, len(e))}
+    return rows, {k: [(x, 0)] for k, x in sums.items()}
+
+
+def _moment_terms(rows: DataFrame, weighted: bool) -> tuple[DataFrame, list[list]]:
+    """The exact terms of weight, weight * value and weight * value * value, as products of mantissas beside exponents."""
+    p = "__w" if weighted else "__u"
+    g = F.when(F.col("valid") & F.col("w").isNotNull(), F.col("f") * F.col("w")) if weighted else _f(F.col("f"))
+    rows = rows.withColumn(f"{p}g", g)
+    for name, x in ((f"{p}n", F.col("value")), (f"{p}m", F.col(f"{p}g"))):
+        rows = rows.withColumn(f"{name}e", F.coalesce(numerics.exponent(x), F.lit(0))).withColumn(name, numerics.shifted(x, -F.col(f"{name}e")))
+    first, error = numerics.two_product(F.col(f"{p}m"), F.col(f"{p}n"))
+    rows = rows.withColumns({f"{p}1": first, f"{p}2": error})
+    high, low = (numerics.two_product(F.col(f"{p}{i}"), F.col(f"{p}n")) for i in (1, 2))
+    rows = rows.withColumns({f"{p}3": high[0], f"{p}4": high[1], f"{p}5": low[0], f"{p}6": low[1]})
+    e, v = F.col(f"{p}me"), F.col(f"{p}ne")
+    return rows, [[(F.col(f"{p}m"), e)], [(F.col(f"{p}{i}"), e + v) for i in (1, 2)], [(F.col(f"{p}{i}"), e + 2 * v) for i in (3, 4, 5, 6)]]
+
+
+def _spread(parts: Column, sums: int, first: int) -> Column:
+    """Population variance and standard deviation from the exact totals first, first + 1 and first + 2, each rounded once."""
+
+    @F.pandas_udf("variance double, stddev double")
+    def run(column):
+        import pandas as pd
+
+        out = []
+        for parts in column:
+            totals, k = numerics.whole(parts, sums)
+            g, gv, gvv = totals[first : first + 3]
+            # the totals share one scale, which leaves a square in the variance as it is
+            var = Fraction(g * gvv - gv * gv, g * g) if g else None
+            out.append((None, None) if var is None else (numerics.nearest_ratio(var), reducers.root(var)))
+        return pd.DataFrame(out, columns=["variance", "stddev"])
+
+    return run(parts)
+
+
+def states(joined: DataFrame, options: Options, spread: tuple[bool, ...] = ()) -> tuple[DataFrame, list[str], int]:
+    """One aggregation for all sums, counts, extrema and moments, in exact parts; the sums' names; how many there are."""
+    rows, sums = _terms(joined, options)
+    terms = list(sums.values())
+    for weighted in spread:
+        rows, more = _moment_terms(rows, weighted)
+        terms += more
+    return numerics.gather(rows, KEYS, terms, _f(F.col("value"))), list(sums), len(terms)
+
+
+def basic_states(joined: DataFrame, options: Options, exact: bool = True, spread: tuple[bool, ...] = ()) -> DataFrame:
+    """Sums, counts, extrema, and (by ``spread``: False plain, True weighted) moments, of one aggregation.
+
+    exact: sums and moments are correctly rounded whatever the order and the partitioning; else sums of doubles.
+    """
+    rows, sums = _terms(joined, options)
     if exact:
-        names = [f"__{k}" for k in sums]
-        out = rows.groupBy(*KEYS).agg(*others).join(exact_sums(rows, KEYS, names), KEYS)
-        out = out.select(*KEYS, *(F.col(f"__{k}").alias(k) for k in sums), "valid_cell_count", "min", "max")
+        got, names, n = states(joined, options, spread)
+        out = got.withColumn("__r", numerics.rounded(F.col("parts"), n, len(names)))
+        for i, weighted in enumerate(spread):
+            out = out.withColumn(f"__s{i}", _spread(F.col("parts"), n, len(names) + 3 * i))
+        spreads = [F.col(f"__s{i}.{s}").alias(f"{'weighted_' if w else ''}{s}") for i, w in enumerate(spread) for s in ("variance", "stddev")]
+        out = out.select(*KEYS, *(F.col("__r")[i].alias(k) for i, k in enumerate(names)), F.col("n").alias("valid_cell_count"), F.col("lo").alias("min"), F.col("hi").alias("max"), *spreads)
     else:
-        out = rows.groupBy(*KEYS).agg(*(F.coalesce(F.sum(f"__{k}"), F.lit(0.0)).alias(k) for k in sums), *others)
+        require(not spread, "moments are exact")
+        others = [F.count_if(F.col("valid")).alias("valid_cell_count"), F.min(_f(F.col("value"))).alias("min"), F.max(_f(F.col("value"))).alias("max")]
+        out = rows.groupBy(*KEYS).agg(*(F.coalesce(F.sum(x), F.lit(0.0)).alias(k) for k, [(x, _)] in sums.items()), *others)
     if options.weight_band is not None:
         out = out.withColumn("weighted_mean", F.when(F.col("weight_sum") > 0, F.try_divide("weighted_sum", "weight_sum")))
     if options.histogram_edges is not None:
@@ -120,49 +184,75 @@ def basic_states(joined: DataFrame, options: Options, exact: bool = False) -> Da
 
 
 def moments(joined: DataFrame, weighted: bool = False) -> DataFrame:
-    """Population variance and standard deviation, in two passes: the mean first, then squares around it."""
-    weight = F.col("f") * F.col("w") if weighted else F.col("f")
+    """Population variance and standard deviation, exact and rounded once."""
+    rows, terms = _moment_terms(joined, weighted)
     p = "weighted_" if weighted else ""
-    rows = joined.where("valid" + " and w is not null" * weighted).withColumn("g", weight)
-    means = rows.groupBy(*KEYS).agg(F.try_divide(F.sum(F.col("value") * F.col("g")), F.sum("g")).alias("__mean"))
-    centred = rows.join(means, KEYS).withColumn("d", F.col("value") - F.col("__mean"))
-    out = centred.groupBy(*KEYS).agg(F.try_divide(F.sum(F.col("g") * F.col("d") * F.col("d")), F.sum("g")).alias(f"{p}variance"))
-    return out.withColumn(f"{p}stddev", F.sqrt(f"{p}variance"))
+    got = numerics.gather(rows, KEYS, terms).withColumn("s", _spread(F.col("parts"), 3, 0))
+    return got.select(*KEYS, F.col("s.variance").alias(f"{p}variance"), F.col("s.stddev").alias(f"{p}stddev")).where(f"{p}variance is not null")
 
 
 def masses(joined: DataFrame, weighted: bool = False) -> DataFrame:
-    """Covered mass of each distinct value: what ranks and categories are made from, aggregated before any sort."""
+    """Covered mass of each distinct value in exact parts, and its cells: what ranks and categories are made from."""
     weight = F.col("f") * F.col("w") if weighted else F.col("f")
-    rows = joined.where("valid" + " and w is not null" * weighted).withColumn("g", weight).where("g > 0")
-    return rows.groupBy(*KEYS, (F.col("value") + F.lit(0.0)).alias("value")).agg(F.sum("g").alias("mass"), F.count(F.lit(1)).alias("n"))
+    rows = joined.where("valid" + " and w is not null" * weighted).withColumn("g", weight).where("g > 0").withColumn("value", F.col("value") + F.lit(0.0))
+    return numerics.gather(rows, [*KEYS, "value"], [[(F.col("g"), 0)]]).select(*KEYS, "value", "parts", "n")
 
 
 def categories(joined: DataFrame, domain: tuple[float, ...]) -> DataFrame:
-    """categories (mass by value of the domain), majority and variety. A valid value outside the domain fails."""
-    known = F.col("value").isin([float(v) for v in domain])
-    m = masses(joined).withColumn("mass", F.when(known, F.col("mass")).otherwise(F.raise_error(F.lit("a value is outside category_values")).cast("double")))
-    have = F.map_from_entries(F.collect_list(F.struct("value", "mass")))
-    got = m.groupBy(*KEYS).agg(have.alias("have"), F.max(F.struct("mass", (-F.col("value")).alias("less"))).alias("top"), F.count_if(F.col("mass") > 0).alias("variety"))
-    rows = F.array(*(F.struct(F.lit(float(v)).alias("value"), F.coalesce(F.try_element_at("have", F.lit(float(v))), F.lit(0.0)).alias("mass")) for v in domain))
-    return got.select(*KEYS, rows.alias("categories"), (-F.col("top.less") + F.lit(0.0)).alias("majority"), "variety")
+    """categories (mass by value of the domain), majority and variety, from exact masses. A valid value outside the domain fails."""
+    domain = tuple(float(v) + 0.0 for v in domain)
+    known = F.when(F.col("value").isin(list(domain)), F.col("value")).otherwise(F.raise_error(F.lit("a value is outside category_values")).cast("double"))
+    m = masses(joined).withColumn("value", known).groupBy(*KEYS).agg(F.collect_list(F.struct("value", "parts")).alias("have"))  # at most len(domain)
+
+    @F.pandas_udf("categories array<struct<value:double,mass:double>>, majority double, variety long")
+    def run(column):
+        import pandas as pd
+
+        out = []
+        for have in column:
+            mass = {e["value"]: numerics.whole(e["parts"], 1) for e in have}
+            rows = [{"value": v, "mass": numerics.nearest(mass[v][0][0], mass[v][1]) if v in mass else 0.0} for v in domain]
+            exact = {v: Fraction(n[0]) * Fraction(2) ** k for v, (n, k) in mass.items()}
+            some = [v for v in sorted(exact) if exact[v] > 0]
+            out.append((rows, min(some, key=lambda v: (-exact[v], v)) if some else None, len(some)))
+        return pd.DataFrame(out, columns=["categories", "majority", "variety"])
+
+    return m.withColumn("r", run(F.col("have"))).select(*KEYS, "r.*")
 
 
 def ranks(joined: DataFrame, probabilities: tuple[float, ...], weighted: bool = False, limit: int = 65_536) -> DataFrame:
-    """Inverse-CDF quantiles: the first value whose cumulative mass reaches the share; no interpolation."""
+    """Inverse-CDF quantiles of exact masses: the first value whose cumulative mass reaches the share; no interpolation.
+
+    The budget ``limit`` bounds what is gathered for a group; a group with more samples fails.
+    """
     p = "weighted_" if weighted else ""
-    m = masses(joined, weighted)
-    up = Window.partitionBy(*KEYS).orderBy("value")
-    whole = Window.partitionBy(*KEYS)
-    r = m.withColumns({"cum": F.sum("mass").over(up.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("mass").over(whole), "samples": F.sum("n").over(whole)})
-    r = r.withColumn("cum", F.when(F.col("samples") <= limit, F.col("cum")).otherwise(F.raise_error(F.lit("more samples than quantile_max_samples")).cast("double")))
-    at = lambda q: F.min(F.when(F.col("cum") >= F.col("total") * F.lit(q), F.col("value")))
-    return r.groupBy(*KEYS).agg(F.array(*(at(q) for q in probabilities)).alias(f"{p}quantiles"), at(0.5).alias(f"{p}median"))
+    m = masses(joined, weighted).withColumn("samples", F.sum("n").over(Window.partitionBy(*KEYS)))
+    fits = F.when(F.col("samples") <= limit, F.col("value")).otherwise(F.raise_error(F.lit("more samples than quantile_max_samples")).cast("double"))
+    lists = m.withColumn("value", fits).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("value", "parts"))).alias("have"))
+    asked = (*probabilities, 0.5)
+
+    @F.pandas_udf("array<double>")
+    def run(column):
+        import pandas as pd
+
+        out = []
+        for have in column:
+            totals = [numerics.whole(e["parts"], 1) for e in have]
+            low = min(k for _, k in totals)
+            cum = list(itertools.accumulate(n[0] << (k - low) for n, k in totals))
+            shares = [Fraction(q) * cum[-1] for q in asked]
+            out.append([have[bisect.bisect_left(cum, math.ceil(s))]["value"] for s in shares])
+        return pd.Series(out)
+
+    r = lists.withColumn("r", run(F.col("have")))
+    return r.select(*KEYS, F.slice("r", 1, len(probabilities)).alias(f"{p}quantiles"), F.element_at("r", -1).alias(f"{p}median"))
 
 
-def measure(cells: DataFrame, selection: DataFrame, areas: DataFrame, options: Options | None = None, slices: DataFrame | None = None, exact: bool = False, edge: int = 256) -> DataFrame:
+def measure(cells: DataFrame, selection: DataFrame, areas: DataFrame, options: Options | None = None, slices: DataFrame | None = None, exact: bool = True, edge: int = 256) -> DataFrame:
     """All requested statistics for every slice, zone and band, also where no cell is hit.
 
-    slices: the (slice_id, band) pairs to report; those that occur in the cells if it is not given.
+    slices: the (slice_id, band) pairs to report; those that occur in the cells if it is not given. exact: sums do not
+    depend on order or partitioning; else they are plain sums of doubles.
     """
     options = options or Options()
     joined = join_cells(prune(cells, options), selection, edge)
@@ -172,12 +262,9 @@ def measure(cells: DataFrame, selection: DataFrame, areas: DataFrame, options: O
     if options.bands:
         joined, pairs = (x.where(F.col("band").isin(list(options.bands))) for x in (joined, pairs))
     frame = pairs.select("slice_id", "band").crossJoin(F.broadcast(zone_areas(selection, areas)))  # at most 4096 zones
-    out = finish(basic_states(joined, options, exact), frame)
     s = options.wants
-    if s("variance") or s("stddev"):
-        out = out.join(moments(joined), KEYS, "left")
-    if s("weighted_variance") or s("weighted_stddev"):
-        out = out.join(moments(joined, True), KEYS, "left")
+    spread = tuple(w for w, names in ((False, ("variance", "stddev")), (True, ("weighted_variance", "weighted_stddev"))) if any(map(s, names)))
+    out = finish(basic_states(joined, options, exact or bool(spread), spread), frame)
     if options.category_values is not None:
         out = out.join(categories(joined, options.category_values), KEYS, "left")
     if s("median") or s("quantiles"):

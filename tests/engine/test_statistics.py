@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.expressions import bands_of, compile_expression
-from gridloom.functions.numerics import compensated, exact_sums, expansion
-from gridloom.model import Options, RequestError
-from gridloom.operators import ordered, reducers, zonal
+from gridloom.functions.numerics import compensated, exact_sums
+from gridloom.model import Grid, Options, RequestError
+from gridloom.operators import coverage, cumulative, geometry, ordered, reducers, summaries, zonal
 
 CYCLE = [1e16, 1.0, -1e16, -2.0] * 128
 
@@ -21,7 +21,6 @@ def test_compensated_and_exact_sums(spark):
     fold = df.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("a")).select(compensated(F.transform("a", lambda x: x["v"])).alias("s"))
     assert fold.first()["s"] == -128
     assert exact_sums(df.repartition(7), ["k"], ["v"]).first()["v"] == -128
-    assert sum(map(Fraction, expansion(CYCLE)), Fraction(0)) == -128
 
 
 def test_overflow_fails(spark):
@@ -127,3 +126,49 @@ def test_bulk_repeats_and_nonfinite(spark):
     assert (r["sum"], r["valid_count"], r["min"], r["max"], r["mean"]) == (11, 5, 1, 3, 2.2)
     with pytest.raises(Exception, match="finite"):
         ordered.bulk_reduce(v.withColumn("value", F.lit(float("inf")))).collect()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_sums_and_moments_do_not_depend_on_order(spark, parts):
+    j = joined(spark, CYCLE, [1] * 512).repartition(parts)
+    assert zonal.basic_states(j, Options()).first()["fractional_sum"] == -128
+    tiny = joined(spark, [1e-200, 3e-200], [1, 1]).repartition(parts)
+    got = zonal.moments(tiny).first()
+    assert (got["variance"], got["stddev"]) == (0, 1e-200)
+    values, weights = [1e16 + 2 * (i % 7) for i in range(40)], [float(i % 5) for i in range(40)]
+    got = zonal.moments(joined(spark, values, [0.5] * 40, weights).repartition(parts), True).first()
+    assert got["weighted_variance"] == reducers.exact_variance(values, [0.5 * w for w in weights])[0]
+    huge = zonal.moments(joined(spark, [1e154, -1e154], [1, 1]).repartition(parts)).first()
+    assert huge["stddev"] == 1e154
+
+
+def test_exact_masses_decide_ranks_and_ties(spark):
+    tiny = 2.0**-54
+    assert zonal.ranks(joined(spark, [0, 1, 1], [0.5, 0.5, tiny]), (0.5,)).first()["median"] == 1
+    got = zonal.categories(joined(spark, [10, 20, 20], [0.5, 0.5, tiny]), (10.0, 20.0, 30.0)).first()
+    assert (got["majority"], got["variety"], [c["mass"] for c in got["categories"]]) == (20, 2, [0.5, 0.5, 0])
+    assert zonal.categories(joined(spark, [10, 20, 20], [0.5, 0.25, 0.25]), (10.0, 20.0, 30.0)).first()["majority"] == 10
+
+
+def test_plain_sums_stay_available(spark):
+    assert zonal.basic_states(joined(spark, [1, 2, 4], [1, 1, 0.5]), Options(), exact=False).first()["fractional_sum"] == 5
+
+
+def one_row(spark, values):
+    return spark.createDataFrame([("s", 0, i, 0, float(v), True) for i, v in enumerate(values)], "slice_id string, row int, col int, band int, value double, valid boolean")
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_prefixes_edges_and_summaries_are_exact(spark, parts):
+    cells = one_row(spark, [1e16] + [1] * 511).repartition(parts)
+    grid = Grid.local(512, 1)
+    zones = spark.createDataFrame([("z", '{"type":"Polygon","coordinates":[[[1,0],[512,0],[512,1],[1,1],[1,0]]]}')], "zone_id string, geometry string")
+    selection = coverage.select_cells(zones, grid)
+    assert summaries.measure_by_prefix(cells, selection).first()["fractional_sum"] == 511
+    assert cumulative.edge_sums(cells, geometry.edges_of(zones, grid), grid).first()["fractional_sum"] == 511
+    whole = spark.createDataFrame([("z", '{"type":"Polygon","coordinates":[[[0,0],[512,0],[512,1],[0,1],[0,0]]]}')], "zone_id string, geometry string")
+    cells = one_row(spark, CYCLE).repartition(parts)
+    table = summaries.pyramid(cells, 16, 3)
+    assert {r["fractional_sum"] for r in table.where("level = 3").collect()} == {-32}
+    got = summaries.measure_with(table, cells, coverage.select_cells(whole, grid), geometry.zone_facts(whole, grid), grid, 16, 3).first()
+    assert (got["fractional_sum"], got["covered_cell_equivalents"], got["valid_cell_count"], got["status"]) == (-128, 512, 512, "ok")

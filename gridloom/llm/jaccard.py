@@ -1,28 +1,30 @@
-"""N-gram Jaccard join by vertical partitioning: classes of documents connected by similar shingle sets.
+"""N-gram Jaccard join by vertical partitioning: classes of documents connected by similar shingle sets, and their links.
 
 The global order of shingles is by frequency (those not known to be frequent first, then by counted frequency) and by
 hash. Similar sets share a shingle among the first of either set in that order (prefix filter), at places that still
-allow the overlap (positional filter), and have similar sizes (length filter). For candidate pairs the order is cut into
-fragments; every set is stored by fragment; a fragment's overlap is counted apart from the others', and the partial counts
-are summed for each pair and compared with the exact bound.
+allow the overlap (positional filter), have similar sizes (length filter), and differ in few parity cells (a sketch of a bit
+for each shingle or two, which bounds the symmetric difference from below). Equal sets are one set from the start.
 
-Equal sets are one class from the start. Candidates come in three rounds. First each member of a posting list is paired
-with the list's leader, which joins groups of near copies along stars. What links connect needs no more tests: the second
-round pairs each member with the nearest one that is still in another component, and the third all that are left in
-different components. So a group of n near copies does not make n*n pairs, and no link between components is lost. Lists of shingles that are known to be frequent are dealt out in blocks, their
-leaders meet in a round of their own, and later rounds go over pairs of blocks.
+Candidates are not verified pair by pair. Plausible pairs only say which sets could be connected: each list of a prefix
+shingle gives its few possible pairs, or, where a list is crowded, the pairs with its leader; what a crowded list still
+holds in different groups is joined by a sweep that stops at one pair for each two groups it connects. So a group of n
+near copies makes some n pairs, not n*n, and every plausible pair of a list ends up inside one group.
+
+Then the texts of grouped sets are fetched, once, and the order is cut into fragments: a task counts the overlaps of one
+fragment for all pairs of two blocks of a group, apart from the other fragments, and the partial counts are summed for
+each pair and compared with the exact bound. Links are thus counted exactly, also within a class, without leaving the
+blocks: a set's number of links and a spanning forest come out. The cost of this step grows with the square of a
+group's number of different sets.
 
 Any order gives the same result; the list of frequent shingles is bounded (``listed``) and only an aid.
 
 Defined results: null texts and texts without words have the empty set and link with nothing; fewer words than a shingle
-has: the whole sequence is the one shingle; rows with equal sets are linked; rows that share an id share its component's
-id; a null id belongs to its row's component but is never its smallest id; an empty table gives none.
+has: the whole sequence is the one shingle; rows with equal sets are linked; each row has the component of its own text,
+also where rows with other texts repeat its id; a null id belongs to its row's component but is never its smallest id; an empty table gives none.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +36,10 @@ from gridloom.llm.tokens import U, mix, pieces, windows, words_of
 
 LOAD = 1_000_000
 FRAGMENTS = 4
-CROWD = 256
+CROWD = 512
+CROWD_TOKENS = 400_000
 SPREAD = 4096
+SALTED = 1024
 
 
 def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -61,10 +65,23 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
     return int(ends[0]), int(ends[1])
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of 512 hash cells, as 8 longs. Two sets differ in as many shingles at least as in cells."""
-    cell = (mix(s + U(0x2545F4914F6CDD1D)) >> U(55)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=512) & 1).astype(np.uint8)).view(np.int64)
+def cells(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each hash cell, as longs; a power of two of cells, at least as many as shingles.
+
+    Two sets differ in as many shingles at least as in cells. Twice the cells fold into half by exclusive or.
+    """
+    m = max(512, 1 << (len(s) - 1).bit_length())
+    cell = (mix(s + U(0x2545F4914F6CDD1D)) & U(m - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=m) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of cells in which two sketches differ."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _chunks(it, k: int):
@@ -113,7 +130,7 @@ def _sets_kernel(k: int, nb: int):
     def sets_of_chunks(it):
         for ids, sets in _chunks(it, k):
             found = _distinct(ids, sets)
-            rows = [(0, a, b, len(s), [d for d, _ in docs], [x for _, x in docs], parities(s), None, None, None) for (a, b), (s, docs) in found.items()]
+            rows = [(0, a, b, len(s), [d for d, _ in docs], [x for _, x in docs], cells(s), None, None, None) for (a, b), (s, docs) in found.items()]
             u, n = np.unique(np.concatenate([s for s, _ in found.values()]), return_counts=True)
             u, n = u[n > 1], n[n > 1].astype(np.uint32)
             rows += [(1, None, None, None, None, None, None, b, u[at].tobytes(), n[at].tobytes()) for b, at in _by_bucket((u % U(nb)).astype(np.int64), nb)]
@@ -211,13 +228,17 @@ def _possible(n1, p1, n2, p2, percent: int):
     return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * most >= percent * (n1 + n2))
 
 
-PAIRS = [("kind", I), ("a", L), ("b", L), *POSTING]
+LISTS = [("kind", I), ("a", L), ("b", L), ("crowd", L), *POSTING]
+FEW = 3
 
 
-def _star_kernel(nb: int, percent: int, shared, again: bool):
-    """Kind 0: pairs of a list's leader and its members. Kind 1: lists that need later rounds. Kind 2: leaders of blocks."""
+def _list_kernel(nb: int, percent: int, shared, again: bool):
+    """Kind 0: candidate pairs (a, b) of a list, ``crowd`` of them around a. Kind 1: crowded lists. Kind 2: leaders of blocks.
+
+    A list with at most FEW possible pairs for each member gives them all; others give the pairs with their first member.
+    """
 
-    def leaders_and_members(it):
+    def candidates(it):
         known, counts = shared.value
         got = _entries(it)
         if got is None:
@@ -225,24 +246,62 @@ def _star_kernel(nb: int, percent: int, shared, again: bool):
         t, m, n, p = got
         first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         size = np.diff(np.append(first, len(t)))
+        dealt = _blocks(_rank(t[first], known, counts)) > 1
+        crowded = dealt | (size > SPREAD)
+        a, b, crowd = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pairs = np.flatnonzero((size == 2) & ~dealt)
+        i = first[pairs]
+        ok = _possible(n[i], p[i], n[i + 1], p[i + 1], percent)
+        a.append(m[i[ok]])
+        b.append(m[i[ok] + 1])
+        crowd.append(np.ones(int(ok.sum()), np.int64))
+        for x in np.flatnonzero((size > 2) & ~crowded).tolist():
+            s = slice(first[x], first[x] + size[x])
+            some, u, v = 0, [], []
+            mine, width, place = m[s], n[s], p[s]
+            for k in range(len(mine) - 1):
+                hit = k + 1 + np.flatnonzero(_possible(width[k], place[k], width[k + 1 :], place[k + 1 :], percent))
+                some += len(hit)
+                if some > FEW * len(mine):
+                    crowded[x] = True
+                    break
+                u.append(np.full(len(hit), k))
+                v.append(hit)
+            else:
+                u, v = np.concatenate(u), np.concatenate(v)
+                a.append(mine[u])
+                b.append(mine[v])
+                crowd.append(np.ones(len(u), np.int64))
         lead = np.repeat(first, size)
-        ok = (lead != np.arange(len(t))) & _possible(n[lead], p[lead], n, p, percent)
-        pairs = np.unique(np.stack([np.minimum(m[lead[ok]], m[ok]), np.maximum(m[lead[ok]], m[ok])], 1), axis=0)
-        rows = [(0, a, b, None, None, None, None, None) for a, b in pairs.tolist()]
-        if not again:
-            many = _blocks(_rank(t[first], known, counts)) > 1
-            keep = np.repeat((size > 2) | (many & (size > 0)), size)
-            for b, at in _by_bucket((t[keep] % U(nb)).astype(np.int64), nb):
-                at = np.flatnonzero(keep)[at]
-                rows.append((1, None, None, b, t[at].tobytes(), m[at].tobytes(), n[at].astype(np.uint32).tobytes(), p[at].astype(np.uint32).tobytes()))
-            at = first[many]
-            for b, x in _by_bucket((t[at] % U(nb)).astype(np.int64), nb):
-                x = at[x]
-                rows.append((2, None, None, b, t[x].tobytes(), m[x].tobytes(), n[x].astype(np.uint32).tobytes(), p[x].astype(np.uint32).tobytes()))
-        for i in range(0, len(rows), 20_000):
-            yield _arrow(rows[i : i + 20_000], PAIRS)
-
-    return leaders_and_members
+        ok = np.repeat(crowded, size) & (lead != np.arange(len(t))) & _possible(n[lead], p[lead], n, p, percent)
+        a.append(m[lead[ok]])
+        b.append(m[ok])
+        crowd.append(np.repeat(size, size)[ok])
+        a, b, crowd = map(np.concatenate, (a, b, crowd))
+        order = np.lexsort((-crowd, b, a))
+        a, b, crowd = a[order], b[order], crowd[order]
+        keep = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        keep &= a != b
+        a, b, crowd = a[keep], b[keep], crowd[keep]
+        empty = lambda k, kinds: [pa.nulls(k, kind) for kind in kinds]
+        names = [x for x, _ in LISTS]
+        for i in range(0, len(a), 50_000):
+            k = len(a[i : i + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), *(pa.array(x[i : i + k]) for x in (a, b, crowd)), *empty(k, [x for _, x in POSTING])], names=names)
+        if again:
+            return
+        rows = []
+        pack = lambda kind, bucket, at: (kind, None, None, None, bucket, t[at].tobytes(), m[at].tobytes(), n[at].astype(np.uint32).tobytes(), p[at].astype(np.uint32).tobytes())
+        held = np.flatnonzero(np.repeat(crowded, size))
+        for bucket, at in _by_bucket((t[held] % U(nb)).astype(np.int64), nb):
+            rows += [pack(1, bucket, held[at[i : i + 20_000]]) for i in range(0, len(at), 20_000)]
+        held = first[dealt]
+        for bucket, at in _by_bucket((t[held] % U(nb)).astype(np.int64), nb):
+            rows.append(pack(2, bucket, held[at]))
+        if rows:
+            yield _arrow(rows, LISTS)
+
+    return candidates
 
 
 ENTRY = "token long, member long, size long, place long, block int, blocks int"
@@ -261,129 +320,168 @@ def _unpack_kernel(shared):
     return list_entries
 
 
-def _cross_kernel(percent: int, nearest: bool):
-    """Plausible pairs of members in different components, from entries grouped by (token, pair of blocks).
-
-    nearest: of each member only the pair with the fewest differing parity cells; else all.
-    """
-
-    def pairs_across(it):
-        held = [b for b in it if b.num_rows]
-        if not held:
-            return
-        col = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held])
-        t, lo, hi, block, m, n, p, c = (col(x) for x in ("token", "lo", "hi", "block", "member", "size", "place", "label"))
-        cells = np.concatenate([b.column("cells").flatten().to_numpy(zero_copy_only=False) for b in held]).reshape(-1, 8).view(U)
-        order = np.lexsort((mix(m.astype(U)), hi, lo, t))
-        t, lo, hi, block, m, n, p, c, cells = (x[order] for x in (t, lo, hi, block, m, n, p, c, cells))
-        cuts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+def _groups(it, keys: list[str]):
+    """Groups of rows with equal keys, as tables, from batches sorted by the keys; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0)))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
+            key = tuple(c[a].item() for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cross_kernel(percent: int):
+    """Pairs of groups that a crowded list connects: from entries by (token, pair of blocks), one pair for each two groups."""
+
+    def groups_met(it):
         out: set[tuple[int, int]] = set()
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(t)], strict=True):
-            if b - a < 2 or (c[a:b] == c[a]).all():
-                continue
-            same = lo[a] == hi[a]
-            for i in range(a, b):
-                if not same and block[i] != lo[a]:
+        for g in _groups(it, ["token", "lo", "hi"]):
+            lo, hi = g["lo"][0].as_py(), g["hi"][0].as_py()
+            block, n, p, c, m = (g[x].to_numpy() for x in ("block", "size", "place", "label", "member"))
+            order = np.lexsort((m, c))
+            block, n, p, c = block[order], n[order], p[order], c[order]
+            sketches = g["cells"].combine_chunks().take(pa.array(order))
+            width = pa.compute.list_value_length(sketches).to_numpy()
+            flat, start = sketches.flatten().to_numpy().view(U), np.append(0, np.cumsum(width))
+            names, label = np.unique(c, return_inverse=True)
+            for i in range(len(n)):
+                j = np.flatnonzero(label != label[i])
+                j = j[j > i] if lo == hi else j[block[j] != block[i]] if block[i] == lo else j[:0]
+                j = j[_possible(n[i], p[i], n[j], p[j], percent)]
+                if not len(j):
                     continue
-                j = np.arange(a if nearest else i + 1, b) if same else np.flatnonzero(block[a:b] == hi[a]) + a
-                j = j[(c[j] != c[i]) & _possible(n[i], p[i], n[j], p[j], percent)]
-                apart = np.bitwise_count(cells[j] ^ cells[i]).sum(1, dtype=np.int64)
-                ok = (100 + percent) * (n[i] + n[j] - apart) >= 2 * percent * (n[i] + n[j])
-                j = j[ok]
-                if nearest and len(j) > 1:
-                    j = j[np.argmin(apart[ok])][None]
-                x = m[j]
-                out.update(zip(np.minimum(x, m[i]).tolist(), np.maximum(x, m[i]).tolist(), strict=True))
-                if len(out) > 100_000:
-                    yield _arrow([(x, y) for x, y in out], [("a", L), ("b", L)])
-                    out = set()
+                met = set()
+                for w in np.unique(width[j]).tolist():
+                    some = j[width[j] == w]
+                    mine, theirs = flat[start[i] : start[i + 1]], flat[start[some][:, None] + np.arange(w)]
+                    while len(mine) > theirs.shape[1]:
+                        mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+                    while theirs.shape[1] > len(mine):
+                        half = theirs.shape[1] // 2
+                        theirs = theirs[:, :half] ^ theirs[:, half:]
+                    apart = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
+                    met |= set(label[some[(100 + percent) * (n[i] + n[some] - apart) >= 2 * percent * (n[i] + n[some])]].tolist())
+                for x in met:
+                    u, v = int(names[label[i]]), int(names[x])
+                    out.add((min(u, v), max(u, v)))
+                    label[label == x] = label[i]
+            if len(out) > 50_000:
+                yield _arrow(list(out), [("a", L), ("b", L)])
+                out = set()
         if out:
-            yield _arrow([(x, y) for x, y in out], [("a", L), ("b", L)])
+            yield _arrow(list(out), [("a", L), ("b", L)])
+
+    return groups_met
+
 
-    return pairs_across
+FRAGMENT = [("label", L), ("block", I), ("blocks", I), ("part", I), ("h1", L), ("h2", L), ("tokens", B)]
 
 
 def _fragment_kernel(k: int, shared):
-    """Every set by fragment of the global order."""
+    """The sets of fetched texts by fragment of the global order. A text whose set is not the one asked for gives nothing."""
 
     def fragments(it):
         known, counts = shared.value
         half = FRAGMENTS // 2
         levels = np.quantile(counts, np.linspace(0, 1, half + 1)[1:-1]) if len(counts) else np.zeros(half - 1)
-        for ids, sets in _chunks(it, k):
-            rows = []
-            for (a, b), (s, _) in _distinct(ids, sets).items():
-                freq = _rank(s, known, counts)
-                part = np.where(freq == 0, (s >> U(60)).astype(np.int64) * half // 16, half + np.searchsorted(levels, freq))
-                rows += [(a, b, len(s), f, s[at].tobytes()) for f, at in _by_bucket(part, FRAGMENTS)]
-            yield _arrow(rows, [("h1", L), ("h2", L), ("n", L), ("part", I), ("tokens", B)])
+        for batch in it:
+            for some in pieces(batch):
+                rows = []
+                asked = zip(*(some.column(c).to_pylist() for c in ("h1", "h2", "label", "block", "blocks")), strict=True)
+                for s, (h1, h2, label, block, blocks) in zip(shingle_sets(some.column("text"), k), asked, strict=True):
+                    if set_id(s) == (h1, h2):
+                        freq = _rank(s, known, counts)
+                        part = np.where(freq == 0, (s >> U(60)).astype(np.int64) * half // 16, half + np.searchsorted(levels, freq))
+                        rows += [(label, block, blocks, f, h1, h2, s[part == f].tobytes()) for f in range(FRAGMENTS)]
+                yield _arrow(rows, FRAGMENT)
 
     return fragments
 
 
-def _overlap_kernel(it):
-    for batch in it:
-        over = [len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True)) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "a2", "na", "b", "b2", "nb", "part")), pa.array(over, L)], names=["a", "a2", "na", "b", "b2", "nb", "part", "o"])
-
-
-def _whole_kernel(k: int):
-    """Every distinct set of a chunk with its shingles."""
-
-    def whole_sets(it):
-        for ids, sets in _chunks(it, k):
-            yield _arrow([(a, b, s.tobytes()) for (a, b), (s, _) in _distinct(ids, sets).items()], [("h1", L), ("h2", L), ("tokens", B)])
+def _partial_kernel(it):
+    """Overlaps within one fragment of all pairs of two blocks, as a packed matrix. Members are in the order of (block, h1, h2)."""
+    for g in _groups(it, ["label", "lo", "hi", "part"]):
+        block, h1, h2 = (g[x].to_numpy() for x in ("block", "h1", "h2"))
+        order = np.lexsort((h2, h1, block))
+        new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))
+        order = order[new]  # rows that repeat an id and its text are one set
+        sets = [np.frombuffer(x, U) for x in g["tokens"].take(pa.array(order)).to_pylist()]
+        n = np.array([len(x) for x in sets], np.uint32)
+        k = len(sets)
+        over = np.zeros((k, k), np.uint32)
+        shared, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = np.cumsum(times > 1) - 1  # a shingle of one set alone adds nothing
+        who, use = np.repeat(np.arange(k), n), times[place] > 1
+        who, place = who[use], common[place[use]]
+        width = int(times.size and common[-1] + 1)
+        step = max(1024, (1 << 22) // k)
+        for at in range(0, width, step):
+            here = (place >= at) & (place < at + step)
+            x = np.zeros((k, min(step, width - at)), np.float32)
+            x[who[here], place[here] - at] = 1
+            over += (x @ x.T).astype(np.uint32)
+        del shared
+        one = lambda c: pa.array([g[c][0].as_py()], g.schema.field(c).type)
+        yield pa.RecordBatch.from_arrays([one("label"), one("lo"), one("hi"), pa.array([h1[order].tobytes()], B), pa.array([h2[order].tobytes()], B), pa.array([block[order].astype(np.int32).tobytes()], B), pa.array([n.tobytes()], B), pa.array([over.tobytes()], B)], names=[x.split()[0] for x in PARTIAL.split(", ")])
+
+
+PARTIAL = "label long, lo int, hi int, h1 binary, h2 binary, block binary, n binary, over binary"
+
+
+def _link_kernel(percent: int):
+    """Partial overlaps summed by pair: each set's links in the pair of blocks, and its parent in a spanning forest of them."""
+
+    def links(it):
+        for g in _groups(it, ["label", "lo", "hi"]):
+            read = lambda c, kind: [np.frombuffer(x, kind) for x in g[c].to_pylist()]
+            h1, h2, block = read("h1", np.int64)[0], read("h2", np.int64)[0], read("block", np.int32)[0]
+            n = sum(x.astype(np.int64) for x in read("n", np.uint32))
+            over = sum(x.astype(np.int64) for x in read("over", np.uint32)).reshape(len(n), len(n))
+            linked = 100 * over >= percent * (n[:, None] + n[None, :] - over)
+            np.fill_diagonal(linked, False)
+            if g["lo"][0].as_py() != g["hi"][0].as_py():
+                linked &= block[:, None] != block[None, :]
+            seen, parent = np.zeros(len(n), bool), np.full(len(n), -1)
+            for root in range(len(n)):
+                if seen[root]:
+                    continue
+                seen[root], todo = True, [root]
+                while todo:
+                    x = todo.pop()
+                    new = np.flatnonzero(linked[x] & ~seen)
+                    seen[new], parent[new] = True, x
+                    todo += new.tolist()
+            to = pa.array(h1[parent], mask=parent < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(linked.sum(1)), to], names=["h1", "h2", "links", "parent"])
 
-    return whole_sets
+    return links
 
 
-def _degree_kernel(percent: int):
-    """For each set of a pair of a component's blocks, the number of similar sets in that pair, by exact overlaps."""
+def _plausible(found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets can overlap enough, by the cells in which their parities differ.
 
-    def degrees(it):
-        held = [b for b in it if b.num_rows]
-        if not held:
-            return
-        held = pa.Table.from_batches(held)
-        label, lo, hi, block, h1, h2 = (held[c].to_numpy() for c in ("label", "lo", "hi", "block", "h1", "h2"))
-        sets = held["tokens"].to_pylist()
-        order = np.lexsort((h2, h1, block, hi, lo, label))
-        key = np.stack([label, lo, hi], 1)[order]
-        cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            at = order[a:b]
-            at = at[np.append(True, (h1[at][1:] != h1[at][:-1]) | (h2[at][1:] != h2[at][:-1]))]  # a set of several documents counts once
-            got = [np.frombuffer(sets[i], U) for i in at.tolist()]
-            n = np.array([len(x) for x in got])
-            start = np.append(0, np.cumsum(n))
-            _, place = np.unique(np.concatenate(got), return_inverse=True)
-            flag = np.zeros(int(place.max()) + 1, np.int64)
-            side, links = block[at], np.zeros(len(at), np.int64)
-            for i in range(len(at)):
-                mine = place[start[i] : start[i + 1]]
-                flag[mine] = 1
-                over = np.add.reduceat(flag[place], start[:-1])
-                flag[mine] = 0
-                ok = 100 * over >= percent * (n + n[i] - over)
-                ok[i] = False
-                if key[a, 1] != key[a, 2]:
-                    ok &= side != side[i]
-                links[i] = ok.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(links)], names=["h1", "h2", "links"])
-
-    return degrees
-
-
-def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Links: pairs whose summed partial overlaps reach the bound."""
-    left = parts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta"))
-    right = parts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "a2", "na", "ta", "b", "b2", "nb", "part", "tb")
-    partial = both.mapInArrow(runtime.lean(_overlap_kernel), "a long, a2 long, na long, b long, b2 long, nb long, part int, o long")
-    sets = ["a", "a2", "na", "b", "b2", "nb"]
-    once = partial.groupBy(*sets, "part").agg(F.max("o").alias("o"))  # rows that repeat a document are equal
-    total = once.groupBy(*sets).agg(F.sum("o").alias("o"))
-    return total.where(F.expr(f"100 * o >= {percent} * (na + nb - o)")).select("a", "b").distinct()
+    a may lead a large group: its pairs are salted by their list's size (``crowd``).
+    """
+    found = found.groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("b"), 1 + F.expr(f"crowd div {SALTED}")).cast("int"))
+    leaders = found.groupBy("a").agg(F.max("salt").alias("most"))
+    b = sketches.select(F.col("h1").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
+    a = sketches.select(F.col("h1").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca")).join(leaders, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("most")))).drop("most")
+    both = found.select("a", "b", "salt").join(b, "b").join(a, ["a", "salt"])
+    half = lambda c, other: F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    both = both.withColumns({"ca": half("ca", "cb"), "cb": half("cb", "ca")})  # similar sizes differ by one doubling at most
+    apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    return both.withColumn("apart", apart).where(F.expr(f"{100 + percent} * (na + nb - apart) >= {2 * percent} * (na + nb)")).select("a", "b")
 
 
 def similar_classes(df: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", listed: int = 400_000, marked: bool = False, linked: bool = False) -> DataFrame:
@@ -394,76 +492,62 @@ def similar_classes(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     spark = df.sparkSession
     runtime.prepare(spark)
     nb = runtime.partitions(spark)
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = runtime.cut(rows.withColumn("mark", F.xxhash64("text")).mapInArrow(runtime.lean(_sets_kernel(k, nb)), "kind int, h1 long, h2 long, n long, docs array<long>, marks array<long>, cells array<long>, bucket long, tokens binary, counts binary"))
-    sets = first.where("kind = 0").select("h1", "h2", "n", F.arrays_zip("docs", "marks").alias("rows"), "docs", "cells")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+    first = runtime.cut(rows.mapInArrow(runtime.lean(_sets_kernel(k, nb)), "kind int, h1 long, h2 long, n long, docs array<long>, marks array<long>, cells array<long>, bucket long, tokens binary, counts binary"))
+    sets = first.where("kind = 0").select("h1", "h2", "n", F.arrays_zip("docs", "marks").alias("rows"), "cells")
     shared = spark.sparkContext.broadcast(_frequent(first, nb, listed))
 
     posting = "bucket long, tokens binary, members binary, sizes binary, places binary"
-    postings = runtime.to_tasks(rows.mapInArrow(runtime.lean(_prefix_kernel(k, nb, percent, shared)), posting), "bucket")
-    star = runtime.cut(postings.mapInArrow(runtime.lean(_star_kernel(nb, percent, shared, False)), f"kind int, a long, b long, {posting}"))
-    leaders = runtime.to_tasks(star.where("kind = 2").select("bucket", "tokens", "members", "sizes", "places"), "bucket")
-    between = leaders.mapInArrow(runtime.lean(_star_kernel(nb, percent, shared, True)), f"kind int, a long, b long, {posting}")
-    reps = runtime.cut(sets.groupBy("h1", "h2", "n").agg(F.min(F.array_min("docs")).alias("rep"), F.first("cells").alias("cells")))
-
-    def plausible(found: DataFrame) -> DataFrame:
-        """Pairs whose sets can overlap enough, by the cells in which their parities differ."""
-        one = lambda c: reps.select(F.col("h1").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}"))
-        apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-        both = found.join(one("a"), "a").join(one("b"), "b").withColumn("apart", apart)
-        return both.where(F.expr(f"{100 + percent} * (na + nb - apart) >= {2 * percent} * (na + nb)")).select("a", "b").distinct()
-
-    pairs = runtime.cut(plausible(star.where("kind = 0").select("a", "b").union(between.select("a", "b")).distinct()))
-
-    entries = star.where("kind = 1").select("bucket", "tokens", "members", "sizes", "places").mapInArrow(runtime.lean(_unpack_kernel(shared)), ENTRY)
-
-    def parts_of(found: DataFrame) -> DataFrame:
-        """Fragments of the sets in some pairs. Texts of other documents are not shuffled: a Bloom filter sorts out most."""
-        members = found.select(F.col("a").alias("h1")).union(found.select(F.col("b").alias("h1"))).distinct()
-        needed = runtime.cut(members.join(reps, "h1").select(F.col("rep").alias("doc_id")).distinct())
-        near = runtime.maybe_in(rows, "doc_id", runtime.bloom_bits(needed, "doc_id"), "maybe").where("maybe").drop("maybe")
-        near = runtime.exchange(near, "doc_id")  # so that no task runs two Python workers
-        some = near.join(needed, near["doc_id"].eqNullSafe(needed["doc_id"]), "left_semi")
-        return runtime.cut(some.mapInArrow(runtime.lean(_fragment_kernel(k, shared)), "h1 long, h2 long, n long, part int, tokens binary"))
-
-    links = runtime.cut(_verified(pairs, parts_of(pairs), percent))
-    labels = components(links)
-
-    links, tested = [links], [pairs]
-    cells = reps.select(F.col("h1").alias("member"), "cells").dropDuplicates(["member"])
-    for nearest in (True, False):
-        labelled = entries.join(labels.select(F.col("node").alias("member"), "label"), "member", "left").withColumn("label", F.coalesce("label", "member"))
-        mixed = labelled.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        dealt = labelled.join(mixed, "token").join(cells, "member").withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        cross = runtime.exchange(dealt.select("token", "lo", "hi", "block", "member", "size", "place", "label", "cells"), "token", "lo", "hi")
-        more = cross.mapInArrow(runtime.lean(_cross_kernel(percent, nearest)), "a long, b long").distinct()
-        for old in tested:
-            more = more.join(old, ["a", "b"], "left_anti")
-        more = runtime.cut(more)
-        tested.append(more)
-        links.append(runtime.cut(_verified(more, parts_of(more), percent)))
-        labels = components(functools.reduce(DataFrame.union, links))
-
-    named = reps.join(labels.withColumnRenamed("node", "h1"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("least"))
-    classes = named.join(smallest, "label").select("h1", "h2", "least")
+    listing = f"kind int, a long, b long, crowd long, {posting}"
+    postings = runtime.to_tasks(rows.select("doc_id", "text").mapInArrow(runtime.lean(_prefix_kernel(k, nb, percent, shared)), posting), "bucket")
+    lists = runtime.cut(postings.mapInArrow(runtime.lean(_list_kernel(nb, percent, shared, False)), listing))
+    leaders = runtime.to_tasks(lists.where("kind = 2").select("bucket", "tokens", "members", "sizes", "places"), "bucket")
+    between = leaders.mapInArrow(runtime.lean(_list_kernel(nb, percent, shared, True)), listing)
+    least = F.min(F.array_min("rows"))  # the smallest (id, text hash); null ids come first
+    named = F.min(F.array_min(F.col("rows.docs")))
+    reps = runtime.cut(sets.where("n > 0").groupBy("h1", "h2", "n").agg(least.alias("one"), named.alias("rep"), F.first("cells").alias("cells")))
+    found = lists.where("kind = 0").select("a", "b", "crowd").union(between.where("kind = 0").select("a", "b", "crowd"))
+    group = components(_plausible(found, reps, percent))
+
+    entries = lists.where("kind = 1").select("bucket", "tokens", "members", "sizes", "places").mapInArrow(runtime.lean(_unpack_kernel(shared)), ENTRY)
+    labelled = runtime.cut(entries.join(group.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member")))
+    mixed = labelled.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sketches = reps.select(F.col("h1").alias("member"), "cells")
+    dealt = labelled.join(mixed, "token").join(sketches, "member").withColumn("other", others).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    dealt = runtime.exchange(dealt.select("token", "lo", "hi", "block", "member", "size", "place", "label", "cells"), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    met = runtime.cut(dealt.mapInArrow(runtime.lean(_cross_kernel(percent)), "a long, b long").distinct())
+    joined = components(met).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    # groups by the smallest member of their own, or of all groups that lists connect
+    alone = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(group.select("node"), "node", "left_anti").withColumn("label", F.col("node"))
+    group = group.select("node", "label").unionByName(alone).join(joined, "label", "left").select(F.col("node").alias("h1"), F.coalesce("whole", "label").alias("label"))
+
+    grouped = reps.join(group, "h1").select("h1", "h2", "n", "one", "label")
+    crowds = grouped.groupBy("label").agg((1 + F.greatest(F.expr(f"sum(n) div {CROWD_TOKENS}"), F.expr(f"count(1) div {CROWD}"))).cast("int").alias("blocks"))
+    asked = grouped.join(crowds, "label").select(F.col("one.docs").alias("doc_id"), F.col("one.marks").alias("mark"), "h1", "h2", "label", "blocks", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int").alias("block"))
+    asked = runtime.cut(asked)
+    near = runtime.maybe_in(rows, "mark", runtime.bloom_bits(asked, "mark"), "maybe").where("maybe").drop("maybe")
+    near = near.groupBy("doc_id", "mark").agg(F.first("text").alias("text"))  # repeated rows are one, before the exchange
+    wanted = asked.withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark")
+    some = near.join(wanted, near["doc_id"].eqNullSafe(wanted["__id"]) & (near["mark"] == wanted["__mark"])).select("text", "h1", "h2", "label", "blocks", "block")
+    parts = some.mapInArrow(runtime.lean(_fragment_kernel(k, shared)), "label long, block int, blocks int, part int, h1 long, h2 long, tokens binary")
+    parts = parts.withColumn("other", others).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    keys = ["label", "lo", "hi", "part"]
+    parts = runtime.exchange(parts.select(*keys, "block", "h1", "h2", "tokens"), *keys).sortWithinPartitions(*keys)
+    partial = parts.mapInArrow(runtime.lean(_partial_kernel), PARTIAL)
+    partial = runtime.exchange(partial, *keys[:3]).sortWithinPartitions(*keys[:3])
+    links = runtime.cut(partial.mapInArrow(runtime.lean(_link_kernel(percent)), "h1 long, h2 long, links long, parent long"))
+
+    labels = components(links.where("parent is not null").select(F.col("h1").alias("a"), F.col("parent").alias("b"))).withColumnRenamed("node", "h1")
+    classed = reps.select("h1", "h2", "rep").join(labels, "h1", "left").withColumn("label", F.coalesce("label", "h1"))
+    classes = classed.select("h1", "h2", "label").join(classed.groupBy("label").agg(F.min("rep").alias("least")), "label").select("h1", "h2", "least")
     if linked:
-        # A link lies within a component: all pairs of a component's sets are compared, block by block.
-        crowds = named.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("label", (1 + F.floor(F.col("m") / CROWD)).cast("int").alias("blocks"))
-        crowded = runtime.cut(named.join(crowds, "label").select("h1", "h2", "rep", "label", "blocks", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int").alias("block")))
-        needed = runtime.cut(crowded.select(F.col("rep").alias("doc_id")).distinct())
-        near = runtime.exchange(runtime.maybe_in(rows, "doc_id", runtime.bloom_bits(needed, "doc_id"), "maybe").where("maybe").drop("maybe"), "doc_id")
-        some = near.join(needed, near["doc_id"].eqNullSafe(needed["doc_id"]), "left_semi")
-        whole = some.mapInArrow(runtime.lean(_whole_kernel(k)), "h1 long, h2 long, tokens binary")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        dealt = whole.join(crowded, ["h1", "h2"]).withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        dealt = runtime.exchange(dealt.select("label", "lo", "hi", "block", "h1", "h2", "tokens"), "label", "lo", "hi")
-        degree = runtime.cut(dealt.mapInArrow(runtime.lean(_degree_kernel(percent)), "h1 long, h2 long, links long").groupBy("h1", "h2").agg(F.sum("links").alias("links")))
-        classes = classes.join(degree, ["h1", "h2"], "left")
+        classes = classes.join(links.groupBy("h1", "h2").agg(F.sum("links").alias("links")), ["h1", "h2"], "left")
     else:
         classes = classes.withColumn("links", F.lit(0).cast("long"))
-    found = sets.select("h1", "h2", "n", "rows").join(classes, ["h1", "h2"]).select(F.explode("rows").alias("row"), F.col("n").alias("n_shingles"), "least", "links")
+    classes = runtime.cut(classes)
+    runtime.forget(lists, reps, labelled, met, asked, links)
+    found = sets.select("h1", "h2", "n", "rows").join(classes, ["h1", "h2"], "left").select(F.explode("rows").alias("row"), F.col("n").alias("n_shingles"), "least", "links")
     found = found.select(F.col("row.docs").alias("doc_id"), "n_shingles", "least", F.col("row.marks").alias("text_hash"), F.coalesce("links", F.lit(0)).alias("n_links"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     return found.select("doc_id", "n_shingles", component, *(["n_links"] if linked else []), *(["text_hash"] if marked else []))

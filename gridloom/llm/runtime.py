@@ -37,17 +37,42 @@ def prepare(spark: SparkSession) -> None:
                     z.write(p, p.relative_to(ROOT))
             sc.addPyFile(str(archive))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")  # one machine
+        sc.setCheckpointDir(folder)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows become a Parquet table in the shared checkpoint folder, which survives lost executors."""
+    """Cut the lineage: the rows become a Parquet table in the shared checkpoint folder, which survives lost executors.
+
+    The shuffle files behind it are given back at once: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that no later plan reads."""
+    for table in tables:
+        p = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        p.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def settle() -> None:
@@ -92,24 +117,34 @@ def to_tasks(df: DataFrame, bucket: str) -> DataFrame:
     return df.repartitionById(partitions(df.sparkSession), F.col(bucket).cast("int"))
 
 
-BLOOM_BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 20, 27  # as powers of two: a filter is broadcast with 16 MB at most
+WORD_BLOCK = 1 << 12
 
 
 def bloom_bits(keys: DataFrame, key: str) -> np.ndarray:
     """A Bloom filter of a long column as bits packed in int64 words.
 
-    Built by a bit_or aggregation. What reaches the driver is at most BLOOM_BITS / 64 rows for any input: beyond some
-    ten million keys the filter lets most rows through and only loses its use; the exact join behind it decides.
+    It has 16 places or more for each key up to MOST_BITS; with more keys it lets more rows through and loses its use little by
+    little; the exact join behind it decides. Tasks set bits in packed blocks, so that the driver gets blocks alone.
     """
-    slots = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(BLOOM_BITS)) for i in (1, 2, 3)]))
+    n = keys.count()
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * n - 1).bit_length()))
+    slots = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(size)) for i in (1, 2, 3)]))
     words = (
         keys.select(slots.alias("slot"))
         .select(F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits"))
     )
-    got = words.toPandas()
-    bits = np.zeros(BLOOM_BITS // 64, np.int64)
-    bits[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+
+    def pack(table: pa.Table) -> pa.Table:
+        block = np.zeros(WORD_BLOCK, np.int64)
+        word = table["word"].to_numpy()
+        block[word % WORD_BLOCK] = table["bits"].to_numpy()
+        return pa.table({"block": pa.array([int(word[0]) // WORD_BLOCK], pa.int32()), "bits": pa.array([block.tobytes()], pa.binary())})
+
+    bits = np.zeros(size // 64, np.int64)
+    for r in words.groupBy(F.expr(f"word div {WORD_BLOCK}")).applyInArrow(pack, "block int, bits binary").collect():
+        bits[r["block"] * WORD_BLOCK : (r["block"] + 1) * WORD_BLOCK] = np.frombuffer(bytes(r["bits"]), np.int64)
     return bits
 
 
@@ -117,6 +152,7 @@ def maybe_in(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
     """df with a boolean column: may the key be in the filter? No false negatives. Only the key's hashes go through Arrow."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(bits)
+    size = len(bits) * 64
 
     @F.pandas_udf("boolean")
     def test(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
@@ -127,7 +163,7 @@ def maybe_in(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
             out &= (v[s >> 6] >> (s & 63)) & 1 == 1
         return pd.Series(out)
 
-    slots = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(BLOOM_BITS)) for i in (1, 2, 3)]
+    slots = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(size)) for i in (1, 2, 3)]
     return df.withColumn(name, test(*slots))
 
 

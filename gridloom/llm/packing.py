@@ -1,11 +1,14 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens. Lengths and gaps are integers up to the
-capacity, so the range-sorted documents are runs of equal length, and the range-sorted gaps are runs of equal gap. A
-round takes the longest run of documents left and sweeps the gap runs for its successors, tightest gap first; members of
-a run claim places by rank, what exceeds a gap run goes on to the next, and at last to new sequences; then gaps are
-updated and the next round begins. A round needs the runs' sizes alone, a table of at most ``capacity`` numbers for any
-corpus; the places of the single pieces follow from their ranks, in a distributed step.
+capacity, so range-sorted documents are runs of equal length, and range-sorted gaps are runs of equal gap: tables of a few
+thousand rows for any corpus. A round is one job over both tables. They are dealt out by ranges of size; in each range a
+task sweeps its documents from the longest, and each run claims its successor, the tightest gap that holds it; where runs
+claim the same gaps, rank decides: the longer first, and within a run by number. What a range leaves over meets in wider
+ranges, and at last in one. At the barrier the placed runs' gaps are updated, and the next round begins. When a round
+places nothing, new sequences are opened: for all documents above half the capacity, or else for the longest that hold
+half of the tokens left, so that what remains can fill the gaps behind them. It ends when all runs are placed; the places of
+the single pieces follow from their ranks, in a distributed step.
 
 Ranks come from totals by task and length and their prefix sums, so no length, however frequent, meets in one task.
 
@@ -15,7 +18,10 @@ are ordered by place in the input; an empty table gives no sequences; other colu
 
 from __future__ import annotations
 
+import bisect
 import json
+import math
+import os
 import unicodedata
 import zlib
 from array import array
@@ -23,7 +29,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import runtime
@@ -73,6 +79,8 @@ class PieceEncoder:
                 kinds[cp] = 2
         kinds[SPACES] = 3
         self.kinds, self.known = kinds, {}
+        # pre-tokens are looked up by a polynomial over a random value for each character, drawn anew by every worker
+        self.values = np.random.default_rng(int.from_bytes(os.urandom(16))).integers(0, 1 << 64, 0x110000, U)
 
     def pretokens(self, cp: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Starts of pre-tokens. edge: where documents begin, and the end; documents are not empty."""
@@ -130,7 +138,7 @@ class PieceEncoder:
         end = np.append(start[1:], len(cp))
         p, inv = _powers(len(cp))
         c = np.zeros(len(cp) + 1, U)
-        np.cumsum((cp.astype(U) + U(1)) * U(0xD6E8FEB86659FD93) * p[: len(cp)], out=c[1:])
+        np.cumsum(self.values[cp] * p[: len(cp)], out=c[1:])
         h = mix((c[end] - c[start]) * inv[start] + (end - start).astype(U))
         uniq, where, back = np.unique(h, return_index=True, return_inverse=True)
         known = self.known
@@ -149,33 +157,93 @@ class PieceEncoder:
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Rounds of best fit over runs: (length, first rank, end of ranks, first sequence, members in a sequence, offset)."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # by gap: runs (first sequence, sequences)
+RUN = "kind int, length int, gap int, rank long, sequence long, n long, per int"
+DOCUMENTS, GAPS, PLACED = 0, 1, 2
+WIDTHS = (16, 4, 1)  # ranges of size in a round's sweeps, from narrow to wide
+
+
+def _sweep(table: pa.Table) -> pa.Table:
+    """Best fit within a range of sizes: runs of documents, longest first, claim the tightest gaps that hold them."""
+    rows = table.drop_columns(["range"]).to_pylist()
+    out = [r for r in rows if r["kind"] == PLACED]
+    gaps = sorted((r for r in rows if r["kind"] == GAPS), key=lambda r: (r["gap"], r["sequence"]))
+    sizes = [r["gap"] for r in gaps]
+    for d in sorted((r for r in rows if r["kind"] == DOCUMENTS), key=lambda r: (-r["length"], r["rank"])):
+        at = bisect.bisect_left(sizes, d["length"])
+        while d["n"] and at < len(gaps):
+            g = gaps[at]
+            per = g["gap"] // d["length"]
+            use = min(g["n"], -(-d["n"] // per))
+            take = min(d["n"], use * per)
+            out.append({"kind": PLACED, "length": d["length"], "gap": g["gap"], "rank": d["rank"], "sequence": g["sequence"], "n": take, "per": per})
+            d["n"], d["rank"] = d["n"] - take, d["rank"] + take
+            g["n"], g["sequence"] = g["n"] - use, g["sequence"] + use
+            if not g["n"]:
+                del gaps[at], sizes[at]
+        if d["n"]:
+            out.append(d)
+    out += gaps
+    schema = table.schema.remove(table.schema.get_field_index("range"))
+    return pa.Table.from_pylist(out, schema)
+
+
+def _round(spark: SparkSession, runs: list[tuple], capacity: int) -> list:
+    """Sweeps over ranges of size, each leaving the rest to the next wider ones; a job over run tables."""
+    df = spark.createDataFrame(runs, RUN)
+    size = F.when(F.col("kind") == GAPS, F.col("gap")).otherwise(F.col("length"))
+    for ranges in WIDTHS:
+        wide = -(-(capacity + 1) // ranges)
+        df = df.withColumn("range", F.floor(size / wide).cast("int")).groupBy("range").applyInArrow(_sweep, RUN)
+    return df.collect()
+
+
+def _opened(left: dict[int, tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """(length, members, members in a sequence) for which new sequences open."""
+    big = [(x, n, 1) for x, (_, n) in left.items() if 2 * x > capacity]
+    if big:
+        return big
+    volume, out = sum(x * n for x, (_, n) in left.items()) / 2, []
+    for x in sorted(left, reverse=True):
+        if volume <= 0:
+            break
+        per = capacity // x
+        n = min(left[x][1], max(per, math.ceil(volume / x)))
+        out.append((x, n, per))
+        volume -= x * n
+    return out
+
+
+def plan(spark: SparkSession, counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Rounds of best fit until all is placed: (length, first rank, end of ranks, first sequence, members in a sequence, offset)."""
+    left = {x: (0, n) for x, n in counts.items()}  # by length: first rank, how many
+    gaps: list[tuple[int, int, int]] = []  # (gap, first sequence, sequences)
     placed, used = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            gap = min((g for g in gaps if g >= length), default=None)
-            if gap is None:
-                gap, per = capacity, capacity // length
-                seqs = -(-left // per)
-                first, used = used, used + seqs
-            else:
-                per = gap // length
-                first, n = gaps[gap].pop()
-                seqs = min(n, -(-left // per))
-                if seqs < n:
-                    gaps[gap].append((first + seqs, n - seqs))
-                if not gaps[gap]:
-                    del gaps[gap]
-            take = min(left, seqs * per)
-            placed.append((length, rank, rank + take, first, per, capacity - gap))
-            full, part = divmod(take, per)
-            for start, n, k in ((first, full, per), (first + full, 1, part)):
-                if n and k and gap - k * length:
-                    gaps.setdefault(gap - k * length, []).append((start, n))
-            left, rank = left - take, rank + take
+
+    def put(length: int, rank: int, n: int, gap: int, sequence: int, per: int) -> None:
+        placed.append((length, rank, rank + n, sequence, per, capacity - gap))
+        full, part = divmod(n, per)
+        for start, many, k in ((sequence, full, per), (sequence + full, 1, part)):
+            if many and k and gap > k * length:
+                gaps.append((gap - k * length, start, many))
+
+    while left:
+        runs = [(DOCUMENTS, x, None, rank, None, n, None) for x, (rank, n) in left.items()]
+        runs += [(GAPS, None, g, None, s, n, None) for g, s, n in gaps if g >= min(left)]
+        rows = _round(spark, runs, capacity) if len(runs) > len(left) else []
+        found = sorted((r for r in rows if r["kind"] == PLACED), key=lambda r: (r["length"], r["rank"]))
+        if found:
+            gaps = [(r["gap"], r["sequence"], r["n"]) for r in rows if r["kind"] == GAPS]
+            left = {r["length"]: (r["rank"], r["n"]) for r in rows if r["kind"] == DOCUMENTS}
+            for r in found:
+                put(r["length"], r["rank"], r["n"], r["gap"], r["sequence"], r["per"])
+            continue
+        gaps = []  # none holds what is left
+        for x, n, per in _opened(left, capacity):
+            rank, all_n = left.pop(x)
+            put(x, rank, n, capacity, used, per)
+            used += -(-n // per)
+            if n < all_n:
+                left[x] = (rank + n, all_n - n)
     return placed
 
 
@@ -229,10 +297,10 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 1024, closing: int = 2,
     w = Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     before = totals.withColumn("__before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     counts = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
-    rounds = plan(counts, capacity)
+    rounds = plan(spark, counts, capacity)
     by_length: dict[int, np.ndarray] = {}
     for length in counts:
-        by_length[length] = np.array([r[1:] for r in rounds if r[0] == length], np.int64)
+        by_length[length] = np.array(sorted(r[1:] for r in rounds if r[0] == length), np.int64)
     shared = spark.sparkContext.broadcast(by_length)
     ranked = cut.join(before.select("length", "__task", "__before"), ["length", "__task"]).withColumn("__rank", F.col("__before") + F.col("__at"))
 

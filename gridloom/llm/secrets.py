@@ -54,29 +54,50 @@ def _opaque(s: str) -> bool:
 
 
 def _near(parts: list[tuple[int, int]], others: list[tuple[int, int]], breaks: list[int], reach: int) -> list[bool]:
-    """For each part: does another kind's part lie within reach and in the same paragraph? All lists are sorted."""
+    """For each part: does a part of the other kind lie within reach and in the same paragraph? All lists are sorted.
+
+    Of the others that begin early enough, the one that reaches furthest within the paragraph decides: a running maximum.
+    """
     starts = [s for s, _ in others]
-    longest = max((e - s for s, e in others), default=0)
+    paragraph = [bisect_right(breaks, s) for s in starts]
+    furthest: list[int] = []
+    for i, (_, e) in enumerate(others):
+        furthest.append(max(e, furthest[-1]) if i and paragraph[i] == paragraph[i - 1] else e)
     out = []
     for s, e in parts:
         k = bisect_right(breaks, s)
-        lo, hi = (breaks[k - 1] if k else 0), (breaks[k] if k < len(breaks) else 1 << 62)
-        i, j = bisect_left(starts, max(lo, s - reach - longest)), bisect_right(starts, min(hi - 1, e + reach))
-        out.append(any(others[x][1] >= s - reach and others[x] != (s, e) for x in range(i, min(j, i + 64))) or (j - i > 64 and any(others[x][1] >= s - reach and others[x] != (s, e) for x in range(i + 64, j))))
+        end = breaks[k] if k < len(breaks) else 1 << 62
+        j = bisect_right(starts, min(end - 1, e + reach)) - 1
+        out.append(j >= 0 and paragraph[j] == k and furthest[j] >= s - reach)
+    return out
+
+
+def _apart(parts: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those parts that overlap nothing that is taken. parts are sorted and do not overlap each other."""
+    merged: list[list[int]] = []
+    for s, e in sorted(taken):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    starts = [s for s, _ in merged]
+    out = []
+    for s, e in parts:
+        i = bisect_left(starts, e) - 1  # the last that begins before the part ends
+        if i < 0 or merged[i][1] <= s:
+            out.append((s, e))
     return out
 
 
 def linked_parts(text: str, base: list[tuple[int, int, int]], reach: int) -> list[tuple[int, str, int]]:
-    """Weak parts that complement each other (or a strong finding) within a scope."""
+    """Weak parts that complement each other (or a strong finding) within a scope. An identifier's own value is no secret of its own."""
     ids = [m.span() for m in IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
     ends = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text or "=" in text or ":" in text else []
     strong_id = [(s, e) for s, k, e in base if k == 1]
     strong_secret = [(s, e) for s, k, e in base if k != 1]
     if not (ids or ends or strong_id):
         return []
-    opaque = [m.span() for m in OPAQUE.finditer(text) if _opaque(m[0])]
-    taken = sorted(strong_id + strong_secret + ends)
-    opaque = [(s, e) for s, e in opaque if not any(a < e and s < b for a, b in taken)]
+    opaque = _apart([m.span() for m in OPAQUE.finditer(text) if _opaque(m[0])], strong_id + strong_secret + ends + ids)
     breaks = [m.end() for m in BLANK.finditer(text)]
     all_id, all_secret = sorted(strong_id + ids), sorted(strong_secret + opaque)
     near_secret = _near(ids, all_secret, breaks, reach)
@@ -101,7 +122,7 @@ SCHEMA = pa.schema([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex"
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 200, redact: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row: key, counts, digest and spans of the findings; with ``redact`` the text with findings masked.
 
-    carry: columns that are passed on as they are, behind the key.
+    carry: columns that are passed on as they are, behind the key. A result whose name is taken gets an underscore before it.
     """
     runtime.prepare(df.sparkSession)
     rows = df.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__carry_{c}") for c in carry), F.col(text).alias("__text"))
@@ -125,7 +146,8 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", reach:
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), *(pa.array(out[f.name], f.type) for f in fields)], names=[*names, *(f.name for f in fields)])
 
     found = rows.mapInArrow(runtime.lean(kernel), schema)
-    return found.select(F.col("__key").alias(key), *(F.col(f"__carry_{c}").alias(c) for c in carry), *(f.name for f in fields))
+    results = runtime.fresh(df.select(key, *carry), *(f.name for f in fields))
+    return found.select(F.col("__key").alias(key), *(F.col(f"__carry_{c}").alias(c) for c in carry), *(F.col(f.name).alias(r) for f, r in zip(fields, results, strict=True)))
 
 
 def mask(text: str, spans: list[tuple[int, str, int]]) -> str:

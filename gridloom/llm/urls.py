@@ -2,7 +2,7 @@
 
 Dated list entries (add or remove a pattern for a category) become validity intervals. An as-of join then evaluates every
 capture against the intervals that hold at its fetch date. Captures and patterns meet by equality of keys: a capture has
-its host, the host's parent domains, and host with leading path segments as keys. So that a pattern listed and delisted
+its host, the host's parent domains, and host with leading path segments as keys, no longer than the list's longest patterns. So that a pattern listed and delisted
 many times does not multiply captures, closed intervals are stored by month and captures look up their own month; an
 interval that is still open is stored once. The list is broadcast only if Spark finds it below the session's threshold;
 else both sides are shuffled by key and month, and skewed keys are split by adaptive execution.
@@ -42,9 +42,17 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url:
     months = F.when(F.col("until").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(_month(F.col("since")), _month(F.col("until"))))
     listed = held.withColumn("month", F.explode(months))
     rows = captures.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(day).alias("day")).withColumns({"host": host(F.col("url")), "path": F.regexp_extract("url", PATH, 1)})
-    labels, segments = F.split("host", r"\."), F.split(F.regexp_replace("path", "^/", ""), "/")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat("host", F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
+    # no key is longer than the list's longest pattern of its kind, so that long URLs do not make long lists of long keys
+    on_host, slashes = F.substring_index("pattern", "/", 1), F.length("pattern") - F.length(F.replace("pattern", F.lit("/")))
+    deep = held.select((F.size(F.split(on_host, r"\.")) - 1).alias("dots"), slashes.alias("slashes")).agg(F.coalesce(F.max("dots"), F.lit(0)).alias("dots"), F.coalesce(F.max("slashes"), F.lit(0)).alias("slashes"))
+    dots, depth = (deep.select(c).scalar() for c in ("dots", "slashes"))
+    rows = rows.withColumns({"dots": dots, "depth": depth})
+    labels = F.split("host", r"\.")
+    segments = F.split(F.regexp_replace("path", "^/", ""), "/")
+    first = F.greatest(F.lit(1), F.size(labels) - F.col("dots"))
+    domains = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    some = F.least(F.size(segments), F.col("depth"))
+    paths = F.when(some > 0, F.transform(F.sequence(F.lit(1), some), lambda i: F.concat("host", F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     keys = F.when(F.coalesce(F.col("host"), F.lit("")) == "", F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(F.concat(domains, paths)))
     asked = rows.withColumn("pattern", F.explode(keys)).withColumn("month", F.explode(F.array(F.lit(-1), _month(F.col("day")))))
     live = (F.col("c.pattern") == F.col("l.pattern")) & (F.col("c.month") == F.col("l.month")) & (F.col("c.day") >= F.col("l.since")) & (F.col("l.until").isNull() | (F.col("c.day") < F.col("l.until")))

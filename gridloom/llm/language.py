@@ -164,8 +164,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its score, from the text alone."""
+    """docs with the predicted language and its score, from the text alone. A name that docs has already gets an underscore before it."""
     runtime.prepare(docs.sparkSession)
+    found, name, score = runtime.fresh(docs, "found", name, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("l string, s double")
@@ -174,4 +175,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lan
         langs, s = shared.value.predict([x if isinstance(x, str) else None for x in t])
         return pd.DataFrame({"l": langs, "s": s})
 
-    return docs.withColumn("__p", run(F.col(text))).withColumns({name: F.col("__p.l"), score: F.col("__p.s")}).drop("__p")
+    return docs.withColumn(found, run(F.col(text))).withColumns({name: F.col(found)["l"], score: F.col(found)["s"]}).drop(found)

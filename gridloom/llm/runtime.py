@@ -103,6 +103,18 @@ def lean(kernel):
     return run
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks of an exchange: the session's own setting, so that a cluster's sizing carries over."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

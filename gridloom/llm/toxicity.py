@@ -127,8 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with a score column; every whole text is read."""
+    """docs with a score column; every whole text is read. A name that docs has already gets an underscore before it."""
     runtime.prepare(docs.sparkSession)
+    name = runtime.fresh(docs, name)[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

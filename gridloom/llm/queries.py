@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, jaccard, language, neighbours, packing, runtime, secrets, sharding, substrings, toxicity, urls
+from gridloom.llm import decontaminate, jaccard, language, neighbours, oracles, packing, runtime, secrets, sharding, substrings, toxicity, urls
 
 
 def fold(n: int):
@@ -110,4 +110,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substrings, op2_toxicity, op3_secrets, op4_neighbours, op5_language, op6_jaccard, op7_sharding, op8_packing, op9_urls, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op9_urls": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substrings": oracles.OP1_SQL, "op3_secrets": oracles.OP3_SQL, "op6_jaccard": oracles.OP6_SQL, "op7_sharding": oracles.OP7_SQL, "op9_urls": OP9_SQL, "op10_decontamination": oracles.OP10_SQL}

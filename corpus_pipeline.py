@@ -15,49 +15,63 @@ from gridloom.llm.queries import fold
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found go: null texts and texts without a letter."""
+    """Documents in which no language is found go: null texts and texts without a letter.
+
+    Ties and repeated rows are judged alike, by their text alone; an empty table stays empty; other columns pass through.
+    """
     model = language.train(docs.where(fold(4) != 2))
-    return language.identify(docs, model, name="__lang", score="__score").where("__lang <> 'und'").select(*docs.columns)
+    name, score = runtime.fresh(docs, "lang_pred", "score")
+    found = language.identify(docs, model, name=name, score=score)
+    return found.where(F.col(name) != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group connected by a similarity of 0.8 on five-word shingles, the document with the smallest id stays.
 
-    Each row is judged by its own text. Rows that repeat id and text stay once. Documents without an id stay unless they are in a group with one that has.
+    Each row is judged by its own text. Rows that repeat id and text stay once. Documents without an id stay unless they
+    are in a group with one that has. Texts without words, null or not, stay. An empty table stays empty; other columns pass through.
     """
     runtime.prepare(spark)
     classes = runtime.cut(jaccard.similar_classes(docs, 5, 80, marked=True))
     row = ["doc_id", "text_hash"]
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*row).distinct()
-    again = classes.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*row)
-    marked = runtime.cut(gone.withColumn("gone", F.lit(1)).unionByName(again.withColumn("gone", F.lit(0))).groupBy(*row).agg(F.max("gone").alias("gone")))
+    verdict = F.max(F.when(~F.col("doc_id").eqNullSafe(F.col("component_id")), 1).otherwise(0))
+    marked = runtime.cut(classes.groupBy(*row).agg(verdict.alias("gone"), F.count(F.lit(1)).alias("n")).where("gone = 1 or n > 1").drop("n"))
+    text_hash, maybe, other_id, other_hash, gone = runtime.fresh(docs, "text_hash", "maybe", "other_id", "other_hash", "gone")
     bits = runtime.bloom_bits(marked, "text_hash")
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    flagged = runtime.maybe_in(hashed, "__hash", bits, "__maybe")
-    clear = flagged.where(~F.col("__maybe"))
-    m = marked.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("gone").alias("__gone"))
-    suspect = flagged.where("__maybe").join(m, (F.col("__hash") == F.col("__text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    once = suspect.where("__gone = 0").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return clear.select(*docs.columns).unionByName(once).unionByName(suspect.where("__gone is null").select(*docs.columns))
+    flagged = runtime.maybe_in(docs.withColumn(text_hash, F.xxhash64("text")), text_hash, bits, maybe)
+    clear = flagged.where(~F.col(maybe)).select(*docs.columns)
+    m = marked.select(F.col("doc_id").alias(other_id), F.col("text_hash").alias(other_hash), F.col("gone").alias(gone))
+    same = (F.col(text_hash) == F.col(other_hash)) & F.col("doc_id").cast("long").eqNullSafe(F.col(other_id))
+    suspect = flagged.where(maybe).join(m, same, "left")
+    once = suspect.where(F.col(gone) == 0).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return clear.unionByName(once).unionByName(suspect.where(F.col(gone).isNull()).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a ten-word window of a benchmark item go."""
+    """Documents with a ten-word window of a benchmark item go; repeated rows share their fate.
+
+    Null texts and texts without words are clean; an empty table, or an empty benchmark, changes nothing; other columns pass through.
+    """
     found = decontaminate.contamination(docs, runtime.table(spark, sf_dir, "benchmark"))
     return found.where("__n_hit = 0").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Findings are masked in the text; n_chars follows."""
+    """Findings are masked in the text; n_chars follows where something was masked.
+
+    Every row stays, repeated rows too; null texts stay null; an empty table stays empty; other columns pass through.
+    """
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = secrets.find_secrets(docs, redact=True, carry=carry).withColumn("text", F.col("redacted"))
+    found = secrets.find_secrets(docs, redact=True, carry=carry)
+    spans, redacted = found.columns[-2:]
+    found = found.withColumn("text", F.col(redacted))
     if "n_chars" in carry:
-        found = found.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        found = found.withColumn("n_chars", F.when(F.col(spans) == "", F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their sequence and offset."""
+    """Pieces of at most 1024 tokens with their sequence and offset. Null texts are the closing id alone; repeated rows are packed too."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
@@ -76,7 +90,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     runtime.prepare(spark)
     docs = runtime.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = runtime.cut(docs)
+            if k:
+                runtime.forget(before)
     return docs

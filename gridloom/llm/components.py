@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import runtime
 
-LEAST_HUB = 10_000
 
-
-def _to_least(e: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """Edges (u, v) with m, their node's least neighbour.
-
-    Nodes with more than ``hub`` edges are few, as they share all edges: they are broadcast, so that no task gets a hub's edges.
-    """
-    heavy = least.where(F.col("n") > hub).select("u", F.col("m").alias("hm"))
-    marked = e.join(F.broadcast(heavy), "u", "left")
-    light = marked.where("hm is null").drop("hm").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
-    return light.select("u", "v", "m").union(marked.where("hm is not null").select("u", "v", F.col("hm").alias("m")))
+def _to_least(e: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, their node's least neighbour. A hub's edges are a skewed join, which adaptive execution splits."""
+    return e.join(least, "u")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -27,22 +19,20 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Every round writes its edges to the checkpoint folder, so that lost executors cost a round at most. Rounds grow with
     the logarithm of the longest path.
     """
-    spark = edges.sparkSession
-    e = runtime.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen, size = None, e.count()
+    sign = {"n": F.count(F.lit(1)), "s": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    e, seen = runtime.counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), **sign)
     for _ in range(most):
-        if not size:
+        if not seen["n"]:
             break
-        hub = max(LEAST_HUB, 4 * size // runtime.partitions(spark))  # at most half as many hubs as partitions
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _to_least(both, least, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _to_least(large, least, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, e = e, runtime.cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = _to_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        step = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
+        small = _to_least(large, least).select(step).select("e.u", "e.v").where("u <> v").distinct()
+        (after, now), before = runtime.counted(small, **sign), e
         runtime.forget(before)
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        size = now["n"]
+        e = after
         if now == seen:
             break
         seen = now

@@ -13,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -68,6 +68,14 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+def counted(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
+    """``cut``, and metrics of the rows that were written, taken by the same job."""
+    seen = Observation()
+    table = cut(df.observe(seen, *(v.alias(k) for k, v in metrics.items())))
+    got = seen.get or {}  # nothing is observed where the plan is known to be empty
+    return table, {k: got.get(k) for k in metrics}
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables of ``cut`` that no later plan reads."""
     for table in tables:

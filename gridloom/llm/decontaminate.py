@@ -2,62 +2,44 @@
 
 An item's windows of ``window`` consecutive words (or the whole item if it is shorter) are sets of word shingles. The
 shingles are ordered by rarity over all documents, counted in a pass of their own. For full containment the necessary
-prefix of a window is its one rarest shingle, so documents are joined with windows on that shingle alone. The
-shingle's place in the window fixes the only place where the window can stand (positional bound), it must lie
-within the document (length bound), and a 128-bit hash of the whole window confirms the match.
+prefix of a window is its one rarest shingle, so documents and windows are joined on that shingle alone; a window with a
+shingle that no document has is gone at once. The shingle's place in the window fixes the only place where the window can
+stand (positional bound), it must lie within the document (length bound), and a 128-bit hash of the whole window
+confirms the match.
 
-The windows are small and fixed; they are sent to the tasks in blocks of at most ``block`` windows, each block joined
-with all documents, so that memory is bounded for any number of items. Texts are never shuffled.
+Texts are never shuffled. What travels is, for each place in a document that may hold a prefix shingle, the hashes of the
+words around it; a Bloom filter of bounded size sorts out other places. The join is shuffled, unless Spark finds the windows
+small enough to broadcast, so any number of items takes the same passes; a passage that many documents hold is a skewed key,
+which adaptive execution splits.
 
 Defined results: null texts have no words; null item ids take no part; items without words match nothing; items that
-share a window are all reported; repeated items count once; every document row gets a result; an empty benchmark leaves
-all documents clean.
+share a window are all reported; repeated items count once; every document row gets a result, repeated rows the same; an
+empty benchmark leaves all documents clean; other columns are ignored by ``contamination`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 from gridloom.llm import runtime
-from gridloom.llm.tokens import Words, buffers, pieces, ragged, windows, words_of
+from gridloom.llm.tokens import U, Words, mix, multipliers, pieces, ragged, windows, words_of
 
 SHINGLE, KIND = 3, "alnum_lower"
+HELD = 1_000_000
 
 
 def _shingles(w: Words, k: int) -> np.ndarray:
     h, ok = windows(w.hash, w.doc, k, 7)
-    out = np.zeros(len(w.hash), np.uint64)
+    out = np.zeros(len(w.hash), U)
     out[: len(h)] = np.where(ok, h, 0)
     return out
 
 
-class Block:
-    """Windows of some items, ready to be looked up. anchors: by shingle length, sorted (shingle, window, place)."""
-
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, shingles: np.ndarray, owners: list[list[str]]):
-        self.hashes, self.lengths, self.shingles, self.owners = hashes, lengths, shingles, owners
-        self.anchor = self.place = None
-
-    def size(self) -> np.ndarray:
-        return np.minimum(self.lengths, SHINGLE)
-
-    def order(self, counts: dict[int, int]) -> None:
-        """Choose each window's rarest shingle; ties go to the first."""
-        df = np.array([[counts.get(x, 0) for x in row] for row in self.shingles.tolist()], np.int64).reshape(self.shingles.shape)
-        last = (self.lengths - self.size())[:, None]
-        df[np.arange(df.shape[1])[None, :] > last] = np.iinfo(np.int64).max
-        self.place = df.argmin(1)
-        self.anchor = self.shingles[np.arange(len(df)), self.place]
-
-
-def item_windows(items: DataFrame, key: str, text: str, window: int) -> list[tuple]:
-    """Distinct windows as (hash, hash, length, shingles, item ids). The benchmark is the fixed query set."""
+def item_windows(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
+    """Distinct windows: two hashes a and b, length n, shingles s, and the ids k of the items that have it."""
     rows = items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
 
     def kernel(it):
@@ -77,145 +59,136 @@ def item_windows(items: DataFrame, key: str, text: str, window: int) -> list[tup
                     out["k"].append(ids[w.doc[i]])
             yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["s"], pa.list_(pa.int64())), pa.array(out["k"], pa.string())], names=["a", "b", "n", "s", "k"])
 
-    return rows.mapInArrow(runtime.lean(kernel), "a long, b long, n int, s array<long>, k string").groupBy("a", "b", "n").agg(F.first("s").alias("s"), F.sort_array(F.collect_set("k")).alias("k"))
+    found = rows.mapInArrow(runtime.lean(kernel), "a long, b long, n int, s array<long>, k string").distinct()
+    return found.groupBy("a", "b", "n").agg(F.first("s").alias("s"), F.sort_array(F.collect_set("k")).alias("k"))
 
 
-def _blocks(found: DataFrame, window: int, block: int):
-    """Blocks of at most ``block`` windows, in order of their hashes, read by ranges of the first hash."""
-    n = found.count()
-    parts = max(1, -(-n // block))
-    edges = [-(1 << 63) + ((1 << 64) * i) // parts for i in range(parts + 1)]
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        rows = found.where((F.col("a") >= lo) & (F.col("a") <= hi - 1)).orderBy("a", "b", "n").collect()
-        width = max(1, window - SHINGLE + 1, SHINGLE)
-        s = np.zeros((len(rows), width), np.uint64)
-        for i, r in enumerate(rows):
-            s[i, : len(r["s"])] = np.array(r["s"], np.int64).astype(np.uint64)
-        h = np.array([(r["a"], r["b"]) for r in rows], np.int64).astype(np.uint64).reshape(-1, 2)
-        yield Block(h, np.array([r["n"] for r in rows], np.int64), s, [list(r["k"]) for r in rows])
-
-
-def _sizes(block: Block) -> list[int]:
-    return sorted(set(block.size().tolist()))
+def _counts(docs: DataFrame, shared, lengths: list[int]) -> DataFrame:
+    """(s, c): how often shingles that pass the filter occur over all documents, summed in tasks first."""
 
+    def kernel(it):
+        held, size = [], 0
 
-def _count(docs: DataFrame, text: str, block: Block) -> dict[int, int]:
-    """Occurrences over all documents of the block's shingles: summed in tasks, then by shingle."""
-    wanted = {k: np.unique(block.shingles[block.size() == k]) for k in _sizes(block)}
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+        def summed():
+            u, back = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+            return u, np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
 
-    def kernel(it):
-        total = {k: np.zeros(len(v), np.int64) for k, v in shared.value.items()}
         for batch in it:
             for part in pieces(batch, "t"):
                 w = words_of(part.column("t"), KIND)
-                for k, v in shared.value.items():
+                for k in lengths:
                     h = _shingles(w, k)
-                    at = np.minimum(np.searchsorted(v, h), len(v) - 1)
-                    total[k] += np.bincount(at[v[at] == h], minlength=len(v))
-        for k, v in shared.value.items():
-            seen = total[k] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(v[seen].astype(np.int64)), pa.array(total[k][seen])], names=["s", "c"])
-
-    if not len(block.lengths):
-        return {}
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(runtime.lean(kernel), "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).collect()
-    return {int(np.int64(r["s"]).astype(np.uint64)): r["c"] for r in rows}
-
-
-def _lookup(block: Block):
-    """By shingle length: sorted distinct anchors, and for each the windows that it starts the check of."""
-    out = {}
-    for k in _sizes(block):
-        idx = np.flatnonzero(block.size() == k)
-        idx = idx[np.argsort(block.anchor[idx], kind="stable")]
-        u, start, n = np.unique(block.anchor[idx], return_index=True, return_counts=True)
-        out[k] = (u, start, n, idx, sorted(set(block.lengths[idx].tolist())))
-    return out
+                    u, c = np.unique(h[runtime.has(shared.value, h) & (h != 0)], return_counts=True)
+                    held.append((u, c))
+                    size += len(u)
+                if size > HELD:
+                    u, c = summed()
+                    held, size = [(u, c)], len(u)
+                    if size > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(c)], names=["s", "c"])
+                        held, size = [], 0
+        if held:
+            u, c = summed()
+            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(c)], names=["s", "c"])
 
+    return docs.select("t").mapInArrow(runtime.lean(kernel), "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
 
-def _hits(w: Words, block: Block, table) -> tuple[np.ndarray, np.ndarray]:
-    """(word positions where a window starts, windows) of all occurrences."""
-    at_all, win_all = [], []
-    for k, (u, start, n, idx, lengths) in table.items():
-        h = _shingles(w, k)
-        at = np.minimum(np.searchsorted(u, h), len(u) - 1)
-        pos = np.flatnonzero((u[at] == h) & (h != 0))
-        if not len(pos):
-            continue
-        reps = n[at[pos]]
-        win = idx[ragged(start[at[pos]], reps)]
-        begin = np.repeat(pos, reps) - block.place[win]
-        size = block.lengths[win]
-        ok = (begin >= 0) & (begin + size <= len(w.hash))
-        begin, win, size = begin[ok], win[ok], size[ok]
-        same = w.doc[begin] == w.doc[begin + size - 1]
-        begin, win, size = begin[same], win[same], size[same]
-        for length in lengths:
-            mine = size == length
-            if not mine.any():
-                continue
-            b, x = begin[mine], win[mine]
-            where, back = np.unique(b, return_inverse=True)
-            h2 = w.hash[where[:, None] + np.arange(length)[None, :]].reshape(-1)
-            d2 = np.repeat(np.arange(len(where)), length)
-            (p, _), (q, _) = windows(h2, d2, length, 1), windows(h2, d2, length, 2)
-            good = (p[::length][back] == block.hashes[x, 0]) & (q[::length][back] == block.hashes[x, 1])
-            at_all.append(b[good])
-            win_all.append(x[good])
-    if not at_all:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(at_all), np.concatenate(win_all)
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block: int = 200_000, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All rows of docs with ``__n_words``, ``__n_hit`` and ``__items`` (distinct item ids, sorted as strings)."""
-    spark = docs.sparkSession
-    runtime.prepare(spark)
-    found = runtime.cut(item_windows(items, item_key, item_text, window))
-    out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__hit": F.lit(b""), "__items": F.array().cast("array<string>")})
-    for b in _blocks(found, window, block):
-        b.order(_count(docs, text, b))
-        out = _pass(out, text, spark.sparkContext.broadcast(b))
-    return out
+
+def anchors(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """Windows with their rarest shingle s (ties: the first) and its place; none where some shingle never occurs."""
+    each = found.select("a", "b", "n", F.size("s").alias("all"), F.posexplode("s").alias("place", "s"))
+    first = each.join(counts, "s").groupBy("a", "b", "n", "all").agg(F.count(F.lit(1)).alias("have"), F.min(F.struct("c", "place", "s")).alias("first"))
+    return first.where("have = all").join(found.select("a", "b", "n", "k"), ["a", "b", "n"]).select("first.s", "first.place", "a", "b", "n", "k")
+
+
+PLACES = [("words", pa.int64()), ("s", pa.int64()), ("start", pa.int64()), ("off", pa.int32()), ("around", pa.binary())]
 
 
-def _pass(docs: DataFrame, text: str, shared) -> DataFrame:
-    """One block against all documents; hit words of earlier blocks come in, and go out, as a bit for each word."""
-    names = [c for c in docs.columns if c not in ("__n_words", "__hit", "__items", "__n_hit")]
-    fields = [*names, "__n_words", "__n_hit", "__hit", "__items"]
-    schema = StructType([docs.schema[c] for c in names])
-    schema = schema.add("__n_words", LongType()).add("__n_hit", LongType()).add("__hit", BinaryType()).add("__items", ArrayType(StringType()))
+def _places(docs: DataFrame, shared, lengths: list[int], window: int) -> DataFrame:
+    """A row with ``words`` for each document, and a row for each place that may hold a prefix shingle, with the words around it."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select("doc_id", "text_hash").schema)
 
     def kernel(it):
-        block = shared.value
-        table = _lookup(block)
         for batch in it:
-            for part in pieces(batch, text):
-                w = words_of(part.column(text), KIND)
-                begin, win = _hits(w, block, table)
-                delta = np.zeros(len(w.hash) + 1, np.int64)
-                np.add.at(delta, begin, 1)
-                np.add.at(delta, begin + block.lengths[win], -1)
-                hit = np.cumsum(delta)[:-1] > 0
-                owner: dict[int, set] = {}
-                pairs = np.unique(np.stack([w.doc[begin], win], 1), axis=0) if len(begin) else np.zeros((0, 2), np.int64)
-                for d, x in pairs.tolist():
-                    owner.setdefault(d, set()).update(block.owners[x])
-                before, old = part.column("__hit").to_pylist(), part.column("__items").to_pylist()
-                n_hit, bits, ids = [], [], []
-                for d, (f, c) in enumerate(zip(w.first.tolist(), w.count.tolist(), strict=True)):
-                    mine = hit[f : f + c]
-                    if before[d]:
-                        mine = mine | np.unpackbits(np.frombuffer(before[d], np.uint8), count=c).astype(bool)
-                    n = int(mine.sum())
-                    n_hit.append(n)
-                    bits.append(np.packbits(mine).tobytes() if n else b"")
-                    ids.append(sorted(owner.get(d, set()) | set(old[d] or ())))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(w.count.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array(ids, pa.list_(pa.string()))], names=fields)
-
-    return docs.select(*names, "__n_words", "__hit", "__items").mapInArrow(runtime.lean(kernel), schema)
-
-
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
+            for part in pieces(batch, "t"):
+                w = words_of(part.column("t"), KIND)
+                pos, s = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+                for k in lengths:
+                    h = _shingles(w, k)
+                    at = np.flatnonzero(runtime.has(shared.value, h) & (h != 0))
+                    pos.append(at)
+                    s.append(h[at])
+                pos, s = np.concatenate(pos), np.concatenate(s)
+                doc = w.doc[pos]
+                lo, hi = np.maximum(w.first[doc], pos - window + 1), np.minimum(w.first[doc] + w.count[doc], pos + window)
+                flat = w.hash[ragged(lo, hi - lo)].tobytes()
+                cuts = np.append(0, np.cumsum(hi - lo)) * 8
+                rows, n = len(w.count), len(pos)
+                take = pa.array(np.concatenate([np.arange(rows), doc]))
+                none = lambda kind: pa.nulls(rows, kind)
+                around = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(flat)])
+                cols = [pa.concat_arrays([pa.array(w.count.astype(np.int64)), pa.nulls(n, pa.int64())])]
+                cols += [pa.concat_arrays([none(x.type), x]) for x in (pa.array(s.astype(np.int64)), pa.array(lo - w.first[doc]), pa.array((pos - lo).astype(np.int32)), around)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("text_hash").take(take), *cols], names=["doc_id", "text_hash", *(x for x, _ in PLACES)])
+
+    return docs.mapInArrow(runtime.lean(kernel), f"{kinds}, words long, s long, start long, off int, around binary")
+
+
+def _confirm(it):
+    """Places where the whole window stands: start becomes the number of its first word in the document."""
+    for batch in it:
+        off, place, n = (batch.column(c).to_numpy() for c in ("off", "place", "n"))
+        around = batch.column("around")
+        size = pa.compute.binary_length(around).to_numpy() // 8
+        flat = np.frombuffer(b"".join(around.to_pylist()), U)
+        first = np.cumsum(size) - size
+        begin = off - place
+        ok = (begin >= 0) & (begin + n <= size)
+        for k in np.unique(n[ok]).tolist():
+            at = np.flatnonzero(ok & (n == k))
+            h = flat[(first[at] + begin[at])[:, None] + np.arange(k)]
+            for c, seed in (("a", 1), ("b", 2)):
+                ok[at] &= mix((h * multipliers(k, seed)).sum(1, dtype=U)).astype(np.int64) == batch.column(c).to_numpy()[at]
+        keep = pa.array(np.flatnonzero(ok))
+        out = batch.take(keep)
+        start = out.column("start").to_numpy() + begin[ok]
+        yield pa.RecordBatch.from_arrays([out.column("doc_id"), out.column("text_hash"), pa.array(start), out.column("n"), out.column("k")], names=["doc_id", "text_hash", "start", "n", "k"])
+
+
+def _hits(docs: DataFrame, items: DataFrame, window: int, key: str, text: str, item_key: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """All documents (doc_id, text_hash, n_words), and those with hits (doc_id, text_hash, n_hit, items)."""
+    spark = docs.sparkSession
+    runtime.prepare(spark)
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
+    found = runtime.cut(item_windows(items, item_key, item_text, window))
+    lengths = sorted({min(r["n"], SHINGLE) for r in found.select("n").distinct().collect()})  # `window` numbers at most
+    wanted = spark.sparkContext.broadcast(runtime.bloom_bits(found.select(F.explode("s").alias("s")).distinct(), "s", True))
+    prefix = runtime.cut(anchors(found, _counts(rows, wanted, lengths)))
+    shared = spark.sparkContext.broadcast(runtime.bloom_bits(prefix.select("s").distinct(), "s", True))
+    places = runtime.cut(_places(rows, shared, lengths, window))
+    met = places.where("words is null").drop("words").join(prefix, "s").select("doc_id", "text_hash", "start", "off", "around", "place", "a", "b", "n", "k")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    hits = met.mapInArrow(runtime.lean(_confirm), f"doc_id {kind}, text_hash long, start long, n int, k array<string>")
+    each = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("k")))).alias("items"))
+    hit = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))
+    return places.where("words is not null").select("doc_id", "text_hash", F.col("words").alias("n_words")), each.select("doc_id", "text_hash", F.size(hit).cast("long").alias("n_hit"), "items")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_words, n_hit and items (distinct item ids, sorted as strings) of every row of docs."""
+    every, hits = _hits(docs, items, window, key, text, item_key, item_text)
+    d, h = every.alias("d"), hits.alias("h")
+    both = d.join(h, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash")), "left")
+    return both.select("d.doc_id", "d.text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs without a hit. Only rows that a Bloom filter of the hits lets through are shuffled."""
+    hits = runtime.cut(_hits(docs, items, window, key, text, item_key, item_text)[1].select("doc_id", "text_hash"))
+    text_hash, maybe = runtime.fresh(docs, "text_hash", "maybe")
+    flagged = runtime.maybe_in(docs.withColumn(text_hash, F.xxhash64(text)), text_hash, runtime.bloom_bits(hits, "text_hash"), maybe)
+    other_id, other_hash = runtime.fresh(flagged, "other_id", "other_hash")
+    h = hits.select(F.col("doc_id").alias(other_id), F.col("text_hash").alias(other_hash))
+    same = F.col(key).eqNullSafe(F.col(other_id)) & (F.col(text_hash) == F.col(other_hash))
+    suspect = flagged.where(maybe).join(h, same, "left_anti")
+    return flagged.where(~F.col(maybe)).select(*docs.columns).unionByName(suspect.select(*docs.columns))

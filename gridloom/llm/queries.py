@@ -104,8 +104,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, runtime.table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"), (F.col("__n_hit") > 0).alias("contaminated"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

@@ -141,7 +141,23 @@ LEAST_BITS, MOST_BITS = 20, 27  # as powers of two: a filter is broadcast with 1
 WORD_BLOCK = 1 << 12
 
 
-def bloom_bits(keys: DataFrame, key: str) -> np.ndarray:
+def _slots(key: str, size: int, hashed: bool) -> list:
+    """Three places of a key: of its hashes, or of its own bits where it is a hash already (see ``has``)."""
+    if hashed:
+        return [F.shiftrightunsigned(key, 18 * i).bitwiseAND(F.lit(size - 1)) for i in range(3)]
+    return [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(size)) for i in (1, 2, 3)]
+
+
+def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of some 64-bit hashes may be in a filter of hashes."""
+    out, last = np.ones(len(h), bool), np.uint64(len(bits) * 64 - 1)
+    for i in range(3):
+        slot = ((h >> np.uint64(18 * i)) & last).astype(np.int64)
+        out &= (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+    return out
+
+
+def bloom_bits(keys: DataFrame, key: str, hashed: bool = False) -> np.ndarray:
     """A Bloom filter of a long column as bits packed in int64 words.
 
     It has 16 places or more for each key up to MOST_BITS; with more keys it lets more rows through and loses its use little by
@@ -149,7 +165,7 @@ def bloom_bits(keys: DataFrame, key: str) -> np.ndarray:
     """
     n = keys.count()
     size = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * n - 1).bit_length()))
-    slots = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(size)) for i in (1, 2, 3)]))
+    slots = F.explode(F.array(*_slots(key, size, hashed)))
     words = (
         keys.select(slots.alias("slot"))
         .select(F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
@@ -183,8 +199,7 @@ def maybe_in(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
             out &= (v[s >> 6] >> (s & 63)) & 1 == 1
         return pd.Series(out)
 
-    slots = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(size)) for i in (1, 2, 3)]
-    return df.withColumn(name, test(*slots))
+    return df.withColumn(name, test(*_slots(key, size, False)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -169,21 +169,34 @@ def contaminated(rows, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block", [200_000, 7])
-def test_decontamination(spark, docs, rows, block):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_decontamination(spark, docs, rows, threshold):
     texts = dict(rows)
     some = texts[9].split()
     items = [(1, " ".join(some[5:40])), (2, " ".join(some[30:45]).upper()), (30, "one two"), (4, None), (None, texts[9]), (5, ""), (6, "123"), (30, "one two"), (7, " ".join(some[5:40]))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    got = {r["doc_id"]: (r["__n_words"], r["__n_hit"], list(r["__items"])) for r in decontaminate.contamination(docs, bench, block=block).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in decontaminate.contamination(docs, bench).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == contaminated(rows, items)
     assert sum(v[1] > 0 for v in got.values()) > 10
 
 
-def test_decontamination_empty(spark, docs, empty):
+def test_decontamination_odd_rows(spark, docs, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.contamination(docs, bench).where("__n_hit > 0").count() == 0
+    assert decontaminate.contamination(docs, bench).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty, bench).count() == 0
+    assert decontaminate.clean(empty, bench).count() == 0
+    item = "a b c d e f g h i j k"
+    rows = [(1, item, 1, "x", 2, 3), (1, item, 4, "y", 5, 6), (1, "clean", 1, "x", 2, 3), (None, item + " z", 1, "x", 2, 3), (None, "clean", 1, "x", 2, 3), (None, None, 1, "x", 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash int, items string, maybe int, __n_hit int")
+    bench = spark.createDataFrame([("q", item), ("p", item)], "item_id string, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], list(r["items"])) for r in decontaminate.contamination(df, bench).collect())
+    assert got == [(0, 0, 0, []), (0, 1, 0, []), (0, 12, 11, ["p", "q"]), (1, 1, 0, []), (1, 11, 11, ["p", "q"]), (1, 11, 11, ["p", "q"])]
+    left = decontaminate.clean(df, bench)
+    assert left.columns == df.columns and set(map(tuple, left.collect())) == {rows[2], rows[4], rows[5]}
 
 
 SECRETS = [

@@ -52,8 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null texts and texts without words are clean; an empty table, or an empty benchmark, changes nothing; other columns pass through.
     """
-    found = decontaminate.contamination(docs, runtime.table(spark, sf_dir, "benchmark"))
-    return found.where("__n_hit = 0").select(*docs.columns)
+    return decontaminate.clean(docs, runtime.table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,11 +15,11 @@ Leaves that follow each other in a tree are near each other and travel as one bi
 and one list of results comes back.
 
 Equal vectors are indexed once, with the smallest ``top + 1`` of their ids, which are all that any result can hold. A leaf
-that is expected to hold more than BLOCK vectors is dealt out in blocks that all of its queries visit. So no task gets an
-unbounded group. ``recall`` measures results against brute force.
+that is expected to hold more than BLOCK vectors is dealt out in blocks that all of its queries visit, and the queries of
+a bin in decks of about DECK, so no task gets an unbounded group. ``recall`` measures results against brute force.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length
-is not the most common one; ids that are null take no part; rows that repeat an id and its vector count once; ties go to
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; those of each length are
+searched among themselves; ids that are null take no part; rows that repeat an id and its vector count once; ties go to
 the smaller id; with few candidates all are returned; an empty table gives none.
 """
 
@@ -30,13 +30,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import runtime
 
 BLOCK = 8192
 BIN = 65_536
+DECK = 8192
 CALIBRATE = 150
 GOAL = 0.96
 
@@ -206,11 +207,24 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
     spark = df.sparkSession
     runtime.prepare(spark)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    common = rows.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = common["n"] if common else 0
+    lengths = rows.where("id is not null and size(v) > 0").select(F.size("v").alias("n")).distinct().orderBy("n").collect()  # as a rule one
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in lengths:
+        out = out.unionByName(_nearest(rows, r["n"], top, every, trees, leaf, probes, sample, seed))
+    return out
+
+
+def _nearest(rows: DataFrame, dims: int, top: int, every: int, trees: int, leaf: int, probes: int, sample: int, seed: int) -> DataFrame:
+    """Among the vectors of one length."""
+    spark = rows.sparkSession
     parts = runtime.cut(rows.mapInArrow(runtime.lean(_distinct_kernel(every, top, dims)), "v binary, ids array<long>, queries array<long>"))
-    known = parts.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, top + 1).alias("ids"), F.max(F.size("queries") > 0).alias("asked"))
-    known = runtime.cut(known.select(F.element_at("ids", 1).alias("vid"), "v", "ids", "asked"))
+    # of a repeated vector every task keeps its smallest ids alone, before anything is gathered
+    first = Window.partitionBy("v").orderBy("id")
+    each = parts.select("v", F.explode("ids").alias("id")).withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= top + 1)
+    least = each.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    asking = parts.where(F.size("queries") > 0).select("v").distinct().withColumn("asked", F.lit(True))
+    known = least.join(asking, "v", "left").select(F.element_at("ids", 1).alias("vid"), "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
+    known = runtime.cut(known)
 
     def longest(it):
         n, most = 0, 0.0
@@ -219,10 +233,11 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
             n, most = n + len(x), max(most, float(np.sqrt((x * x).sum(1)).max(initial=0)))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([most])], names=["n", "most"])
 
-    if dims == 0:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     got = known.select("v").mapInArrow(runtime.lean(longest), "n long, most double").agg(F.sum("n").alias("n"), F.max("most").alias("most")).first()
     n, most = got["n"] or 0, got["most"] or 1.0
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    askers = known.where("asked").count()
     share = min(1.0, sample / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vid", "v").collect()  # about `sample` vectors
     chosen.sort(key=lambda r: r["vid"])
@@ -233,6 +248,8 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
     tested = known.where("asked").orderBy(F.xxhash64("v"), "vid").limit(CALIBRATE).select("vid", "v").collect()
     probes = max(probes, _calibrated(known, shared, tested, top, dims))
     bin_of = forest.bins(n, min(BIN, max(BLOCK / 4, trees * n / runtime.partitions(spark))))
+    # queries of a bin are dealt out too: a block of vectors goes to each of their decks
+    decks = max(1, -(-askers * min(probes, len(bin_of)) // (int(bin_of[-1]) + 1) // DECK)) if len(bin_of) else 1
 
     def dealt(it):
         """Kind 0: vectors by (bin, block) with their leaf. Kind 1: queries with the leaves that they probe, for each bin and block."""
@@ -246,7 +263,10 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
                 leaves = f.leaves_of(x)
                 each = leaves.shape[1]
                 place, who = bin_of[leaves].ravel().tolist(), np.repeat(np.arange(len(raw)), each).tolist()
-                kind, block, inside = [0] * len(place), (vid[who] % f.blocks).tolist(), [[y] for y in leaves.ravel().tolist()]
+                block, inside = (vid[who] % f.blocks).tolist(), [[y] for y in leaves.ravel().tolist()]
+                deck = [d for d in range(decks) for _ in place]
+                place, who, block, inside = place * decks, who * decks, block * decks, inside * decks
+                kind = [0] * len(place)
                 asked = np.flatnonzero(part.column("asked").to_numpy(zero_copy_only=False))
                 for i, found in zip(asked.tolist(), f.search(x[asked], probes) if len(asked) else [], strict=True):
                     found = np.sort(np.array(found, np.int64))
@@ -255,11 +275,12 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
                     for k in range(f.blocks):
                         kind += [1] * len(u)
                         place += u.tolist()
+                        deck += [int(vid[i]) // every % decks] * len(u)
                         block += [k] * len(u)
                         who += [i] * len(u)
                         inside += lists
                 take = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(place, pa.int64()), pa.array(block, pa.int64()), pa.array(inside, pa.list_(pa.int32())), part.column("vid").take(take), part.column("v").take(take)], names=["kind", "bin", "block", "leaves", "vid", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(place, pa.int64()), pa.array(block, pa.int64()), pa.array(deck, pa.int64()), pa.array(inside, pa.list_(pa.int32())), part.column("vid").take(take), part.column("v").take(take)], names=["kind", "bin", "block", "deck", "leaves", "vid", "v"])
 
     def scored(table: pa.Table) -> pa.Table:
         """The best of a bin for each query, ties to the smaller id."""
@@ -292,7 +313,7 @@ def nearest(df: DataFrame, top: int = 20, every: int = 20, key: str = "vec_id",
         return pa.table({"q": pa.array(u, pa.int64()), "ids": pa.ListArray.from_arrays(cut, pa.array(ids[keep], pa.int64())), "scores": pa.ListArray.from_arrays(cut, pa.array(scores[keep], pa.float64()))})
 
     spread = known.select("vid", "v", "asked").repartition(runtime.partitions(spark))
-    hits = spread.mapInArrow(runtime.lean(dealt), "kind int, bin long, block long, leaves array<int>, vid long, v binary").groupBy("bin", "block").applyInArrow(scored, "q long, ids array<long>, scores array<double>")
+    hits = spread.mapInArrow(runtime.lean(dealt), "kind int, bin long, block long, deck long, leaves array<int>, vid long, v binary").groupBy("bin", "block", "deck").applyInArrow(scored, "q long, ids array<long>, scores array<double>")
 
     def merged(table: pa.Table) -> pa.Table:
         ids, s = table["ids"].combine_chunks().flatten().to_numpy(), table["scores"].combine_chunks().flatten().to_numpy()

@@ -25,6 +25,7 @@ def test_neighbours_with_ties_copies_and_bad_vectors(spark):
     found = {}
     for r in got.collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert {r["query_id"] for r in got.collect() if r["vec_id"] == 62} == set()
     good = [i for i in range(1500) if i not in (50, 60, 61, 62, 63)]
     assert set(found) == {i for i in good if i % 20 == 0}
     hits = total = 0
@@ -48,6 +49,20 @@ def test_neighbours_few_and_none(spark):
     assert neighbours.nearest(df.where("false")).count() == 0
 
 
+def test_neighbours_of_each_length_and_in_decks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "DECK", 5)
+    rng = np.random.default_rng(3)
+    x = {i: rng.normal(size=6 if i % 3 else 9) for i in range(400)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()] + [(1000, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, 5, 20, leaf=16, probes=1000).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in range(0, 400, 20):
+        others = [v for v in x if v != q and len(x[v]) == len(x[q])]
+        best = sorted(others, key=lambda v: (-(x[q] @ x[v]), v))[:5]
+        assert [found[q][k] for k in range(1, 6)] == best
+
+
 def test_neighbours_search_goes_on_in_large_forests(spark):
     """Many small leaves, of which the least number of probes is a small share."""
     x = np.random.default_rng(2).normal(size=(6000, 24))

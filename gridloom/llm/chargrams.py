@@ -83,3 +83,54 @@ def fit(x: Rows, y: np.ndarray, loss: str, penalty: float, rounds: int = 150) ->
         pw, pb = w, b
         w, b, t = zw - step * (x.tdot(g) / n + penalty * zw), zb - step * g.mean(), nt
     return w, float(b)
+
+
+def fit_rows(col: np.ndarray, lengths: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float, rounds: int = 60, memory: int = 8) -> tuple[np.ndarray, float]:
+    """A logistic model over rows of places (``lengths`` of them each) with one value for each place, by limited-memory BFGS. y: +1 or -1."""
+    n, width = max(1, len(y)), len(scale)
+    first = np.append(0, np.cumsum(lengths))[:-1]
+    empty = lengths == 0
+
+    def loss(w):
+        sums = np.add.reduceat(np.append((w[:width] * scale)[col], 0), np.minimum(first, len(col))) if len(col) else np.zeros(len(y))
+        sums = np.where(empty, 0, sums)
+        m = y * (sums + w[width])
+        g = -y / (1 + np.exp(np.clip(m, -50, 50)))
+        slope = np.empty(width + 1)
+        slope[:width] = np.bincount(col, np.repeat(g, lengths), minlength=width) * scale / n + penalty * w[:width]
+        slope[width] = g.mean()
+        return float(np.logaddexp(0, -m).mean() + penalty / 2 * (w[:width] @ w[:width])), slope
+
+    w = np.zeros(width + 1)
+    f, g = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() < 1e-6:
+            break
+        d, alphas = -g, []
+        for s, t, r in reversed(steps):
+            a = r * (s @ d)
+            alphas.append(a)
+            d = d - a * t
+        if steps:
+            s, t, r = steps[-1]
+            d = d / (r * (t @ t))
+        for (s, t, r), a in zip(steps, reversed(alphas), strict=True):
+            d = d + s * (a - r * (t @ d))
+        size, down = (1.0 if steps else min(1.0, 1 / np.abs(g).sum())), g @ d
+        for _ in range(20):
+            nw = w + size * d
+            nf, ng = loss(nw)
+            if nf <= f + 1e-4 * size * down:
+                break
+            size /= 2
+        else:
+            break
+        s, t = nw - w, ng - g
+        if s @ t > 1e-12:
+            steps = [*steps[-memory + 1 :], (s, t, 1 / (s @ t))]
+        done = f - nf < 1e-7 * max(1.0, abs(f))
+        w, f, g = nw, nf, ng
+        if done:
+            break
+    return w[:width], float(w[width])

@@ -1,12 +1,13 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 The model is fitted on a bounded sample of the labelled rows (``sample``, chosen by a hash of the id), which is found from the
-labels alone, so that no text is shuffled. Those n-grams whose counts by class differ most are the features, with values 0 or
-the log-count ratio; a logistic model over them scores every whole text. Features that are not selected weigh
-nothing, so scoring is one table look-up for each n-gram.
+labels alone, so that no text is shuffled. Every n-gram has one of 2**bits places; a place's value in a text is 0 or its
+log-count ratio, and a logistic model over all places scores every whole text. Scoring is one table look-up for each
+n-gram; a place counts once in a text.
 
-Defined results: null and empty texts get the model's score for no features; without both labels the score is the share
-of toxic labels seen (0 without labels); several labels for a document: toxic if any is; repeated rows get equal scores.
+Defined results: null and empty texts get the model's score for a text without n-grams other than blanks; without both
+labels the score is the share of toxic labels seen (0 without labels); several labels for a document: toxic if any is;
+repeated rows get equal scores; ties in the sample's order do not matter; other columns pass through.
 """
 
 from __future__ import annotations
@@ -19,39 +20,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import runtime
-from gridloom.llm.chargrams import Rows, fit, grams, groups, inside
+from gridloom.llm.chargrams import fit_rows, grams, groups, inside
 
 SIZES = (3, 4, 5)
 
 
+def present(texts, bits: int):
+    """(rows, places) of the n-grams in the texts, each pair once, by row."""
+    rows, feats = [], []
+    for first, cp, bounds in groups(texts):
+        found = []
+        for n in SIZES:
+            h = grams(cp, n, bits)
+            at = np.flatnonzero(inside(bounds, n, len(h)))
+            found.append(((np.searchsorted(bounds, at, "right") - 1) << bits) + h[at])
+        u = np.unique(np.concatenate(found))
+        rows.append((u >> bits) + first)
+        feats.append(u & ((1 << bits) - 1))
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return cat(rows), cat(feats)
+
+
 @dataclass
 class Model:
     bits: int = 18
     bias: float = 0.0
-    table: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # feature number by n-gram, or -1
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def present(self, texts):
-        """(rows, features) present in the texts, each pair once."""
-        rows, feats = [], []
-        k = max(1, len(self.weights))
-        for first, cp, bounds in groups(texts):
-            found = []
-            for n in SIZES:
-                h = self.table[grams(cp, n, self.bits)]
-                at = np.flatnonzero((h >= 0) & inside(bounds, n, len(h)))
-                found.append((np.searchsorted(bounds, at, "right") - 1) * k + h[at])
-            u = np.unique(np.concatenate(found))
-            rows.append(u // k + first)
-            feats.append(u % k)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return cat(rows), cat(feats)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # by place
 
     def score(self, texts) -> np.ndarray:
         z = np.full(len(texts), self.bias)
         if len(self.weights):
-            r, f = self.present(texts)
-            z += np.bincount(r, self.weights[f], minlength=len(texts))
+            for i in range(0, len(texts), 64):  # few rows at a time, as all their n-grams are held
+                r, f = present(texts[i : i + 64], self.bits)
+                z[i : i + 64] += np.bincount(r, self.weights[f], minlength=len(texts[i : i + 64]))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -85,7 +86,13 @@ def _class_counts(rows: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(2, -1)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, features: int = 4096, sample: int = 20_000, penalty: float = 1e-3) -> Model:
+def ratios(counts: np.ndarray) -> np.ndarray:
+    """Log-count ratios of the places, from their counts by class, with one added to each."""
+    p, q = counts[1] + 1.0, counts[0] + 1.0
+    return np.log(p / p.sum()) - np.log(q / q.sum())
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, sample: int = 5_000, penalty: float = 1e-3) -> Model:
     """Learn from the rows of docs that have a 0 or 1 label."""
     runtime.prepare(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
@@ -98,32 +105,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = (by_class.get(1, 0) + 0.5) / (total + 1) if total else 1e-6
     if len(by_class) < 2:
         return Model(bits, float(np.log(share / (1 - share))) if total else -30.0)
-    counts = _class_counts(rows, bits).astype(float)
-    p, q = counts[1] + 1, counts[0] + 1
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    expected = (counts[0] + counts[1]) * (p.sum() / (p.sum() + q.sum()))
-    surprise = np.abs(counts[1] - expected) / np.sqrt(expected + 1)
-    chosen = np.sort(np.argsort(-surprise, kind="stable")[:features])
-    table = np.full(1 << bits, -1, np.int32)
-    table[chosen] = np.arange(len(chosen))
-    model = Model(bits, 0.0, table, ratio[chosen])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    ratio = ratios(_class_counts(rows, bits))
 
     def kernel(it):
         for batch in it:
-            r, f = shared.value.present(batch.column("t").to_pylist())
-            cuts = np.searchsorted(r, np.arange(batch.num_rows + 1))
-            f = f.astype(np.uint16 if features <= 65536 else np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([f[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["y", "f"])
-
-    got = rows.mapInArrow(runtime.lean(kernel), "y int, f binary").collect()  # about `sample` rows of feature numbers
-    got.sort(key=lambda r: (r["y"], bytes(r["f"])))
-    cols = [np.frombuffer(bytes(r["f"]), np.uint16 if features <= 65536 else np.uint32).astype(np.int64) for r in got]
-    y = np.array([r["y"] for r in got]) * 2.0 - 1
-    col = np.concatenate(cols) if cols else np.zeros(0, np.int64)
-    x = Rows(np.repeat(np.arange(len(cols)), [len(c) for c in cols]), col, model.weights[col], len(cols), len(chosen))
-    w, b = fit(x, y, "logistic", penalty, 400)
-    return Model(bits, b, table, w * model.weights)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                r, f = present(part.column("t").to_pylist(), bits)
+                cuts = np.searchsorted(r, np.arange(part.num_rows + 1))
+                f = f.astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([f[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["y", "f"])
+
+    y, lengths, cols = [], [], []
+    for r in rows.mapInArrow(runtime.lean(kernel), "y int, f binary").repartition(1 if total < 100 else 16).sortWithinPartitions("y", "f").toLocalIterator():  # about `sample` rows of places
+        y.append(r["y"] * 2 - 1)
+        cols.append(np.frombuffer(bytes(r["f"]), np.uint32))
+        lengths.append(len(cols[-1]))
+    w, b = fit_rows(np.concatenate(cols), np.array(lengths), np.array(y, np.float32), ratio.astype(np.float32), penalty)
+    return Model(bits, b, (w * ratio).astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, jaccard, language, packing, queries, secrets, sharding, substrings, toxicity
+from gridloom.llm import chargrams, decontaminate, jaccard, language, packing, queries, secrets, sharding, substrings, toxicity
 from gridloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, shard int, score double, kind int, rank int"
@@ -356,3 +356,87 @@ def test_toxicity_held_out(spark):
     assert s[800] == s[801] and all(0 <= v <= 1 for v in s.values())
     none = toxicity.train(docs, lab.where("false"))
     assert {r["score"] < 0.5 for r in toxicity.score(docs, none).collect()} == {True}
+
+
+def places(text, sizes, bits):
+    """Places of all n-grams of a text, one by one."""
+    t = f" {text.lower()} " if text else "  "
+    return [int(chargrams.grams(np.array([ord(c) for c in t[i : i + n]], np.uint32), n, bits)[0]) for n in sizes for i in range(len(t) - n + 1)]
+
+
+def test_toxicity_against_a_plain_version(spark):
+    rnd = random.Random(8)
+    bad, fine = ["vile", "scum", "hate", "x'"], ["kind", "sun", "tea", "É日"]
+    rows = [(i, " ".join(rnd.choice(bad if i % 3 == 0 and rnd.random() < 0.6 else fine) for _ in range(rnd.randint(0, 12)))) for i in range(90)] + [(90, None), (91, ""), (92, "unlabelled")]
+    docs = spark.createDataFrame([(i, t, 1.0, "c") for i, t in rows], "doc_id long, text string, score double, k string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(92)], "doc_id long, toxic int")
+    bits = 10
+    model = toxicity.train(docs, labels, bits=bits)
+    counts = np.zeros((2, 1 << bits))
+    for i, t in rows[:90] + [rows[91]]:
+        for p in places(t, toxicity.SIZES, bits):
+            counts[int(i % 3 == 0), p] += 1
+    ratio = np.log((counts[1] + 1) / (counts[1] + 1).sum()) - np.log((counts[0] + 1) / (counts[0] + 1).sum())
+    used = model.weights != 0
+    assert used.sum() > 100 and not (used & (np.abs(ratio) < 1e-12)).any()
+    scored = toxicity.score(docs, model)
+    assert scored.columns == ["doc_id", "text", "score", "k", "_score"]
+    got = {r["doc_id"]: r["_score"] for r in scored.collect()}
+    for i, t in rows:
+        z = model.bias + sum(float(model.weights[p]) for p in sorted(set(places(t, toxicity.SIZES, bits))))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-6
+    # the fit is the minimum of the stated loss
+    x = np.zeros((91, 1 << bits))
+    y = np.array([1.0 if i % 3 == 0 else -1.0 for i in [*range(90), 91]])
+    for k, (_, t) in enumerate(rows[:90] + [rows[91]]):
+        x[k, list(set(places(t, toxicity.SIZES, bits)))] = 1
+    x *= ratio
+    w = np.where(used, model.weights / np.where(ratio == 0, 1, ratio), 0)
+    m = y * (x @ w + model.bias)
+    slope = x.T @ (-y / (1 + np.exp(m))) / len(y) + 1e-3 * w
+    assert np.abs(slope).max() < 1e-3
+    one = toxicity.train(docs, labels.where("toxic = 1"), bits=bits)
+    assert {round(r["_score"], 6) for r in toxicity.score(docs, one).collect()} == {round(30.5 / 31, 6)} or len(one.weights) == 0
+
+
+def test_language_votes_against_a_plain_version(spark):
+    rnd = random.Random(9)
+    sound = {"de": "schei", "nl": "ijoek", "en": "thwai", "fr": "ouela", "es": "ñosla"}
+    make = lambda lang, n: " ".join("".join(rnd.choice(sound[lang]) for _ in range(rnd.randint(2, 6))) for _ in range(n))
+    rows = [(i, make(lang, rnd.randint(3, 20)), lang) for i in range(150) for lang in [sorted(sound)[i % 5]]]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [make(a, 3) + " " + make(b, 3) for a in sound for b in sound] + ["a", "12", None, "", "É"]
+    langs, scores = model.predict(texts)
+    sig = lambda v: 1 / (1 + np.exp(-4 * v))
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        if not t or not any(c.isalpha() for c in t):
+            assert (lang, score) == ("und", 0)
+            continue
+        at = places(t, language.SIZES, model.bits)
+        z = {task: float(model.bias[k] + sum(model.weights[p, k] for p in at) / len(at)) for k, task in enumerate(model.tasks)}
+        fam = max(model.families, key=lambda f: z["family", "rest", f])
+        members = [x for x in model.langs if language.family(x) == fam]
+        wins, margin, sure = ({x: 0.0 for x in members}, {x: 0.0 for x in members}, {x: 1.0 for x in members})
+        for a in members:
+            for b in members:
+                if (fam, a, b) in z:
+                    v = z[fam, a, b]
+                    wins[a if v > 0 else b] += 1
+                    margin[a] += v
+                    margin[b] -= v
+                    sure[a], sure[b] = min(sure[a], sig(v)), min(sure[b], 1 - sig(v))
+        best = max(members, key=lambda x: (wins[x], margin[x]))
+        assert lang == best and abs(score - sig(z["family", "rest", fam]) * sure[best]) < 1e-4
+
+
+def test_very_long_texts(spark):
+    """A text of some 3 MB goes through every scorer and scanner; links in it are found in linear time."""
+    long = "user_id=bob12 Ab1Cd2Ef3Gh4Ij5Kl6Mn7 plain words here\n\n" * 50_000
+    df = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets.find_secrets(df).collect()}
+    assert found[1]["spans"].count("id:") == found[1]["spans"].count("key:") == 50_000 and found[2]["spans"] == ""
+    model = toxicity.Model(10, 0.0, np.ones(1 << 10, np.float32))
+    assert toxicity.score(df, model).where("score between 0 and 1").count() == 2
+    rows = [(i, ("der die das " if i % 2 else "the and of ") * 5, "de" if i % 2 else "en") for i in range(20)]
+    lm = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert language.identify(df, lm).where("lang_pred <> 'und'").count() == 2

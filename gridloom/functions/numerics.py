@@ -28,18 +28,19 @@ def exponent(x: Column) -> Column:
 
 
 def shifted(x: Column, k: Column) -> Column:
-    """x * 2**k, exact unless the result is out of range; in two steps, as 2**k alone may be."""
+    """x * 2**k, exact unless the result is out of range; in two steps where 2**k alone would be."""
     half = F.floor(k / 2).cast("int")
-    return x * power(half) * power(k - half)
+    return F.when(F.abs(k) < 1000, x * power(k)).otherwise(x * power(half) * power(k - half))
 
 
-def digits(x: Column, at: Column, k: Column) -> list[Column]:
-    """Whole digits of x * 2**k at place ``at`` and the two below."""
-    y = shifted(x, k - at * BASE)
-    d0 = y.cast("long")
-    r = (y - d0.cast("double")) * float(1 << BASE)
-    d1 = r.cast("long")
-    return [d0, d1, ((r - d1.cast("double")) * float(1 << BASE)).cast("long")]
+def digits(df: DataFrame, x: str, k: Column) -> DataFrame:
+    """df with the place __at (0 for zero and null) and the digits __d0, __d1, __d2 of x * 2**k; a step a projection, so that none is evaluated twice."""
+    scale = float(1 << BASE)
+    df = df.withColumn("__at", F.coalesce(F.floor((exponent(F.col(x)) + k) / BASE), F.lit(0)).cast("int"))
+    df = df.withColumn("__y", shifted(F.col(x), k - F.col("__at") * BASE))
+    df = df.withColumn("__d0", F.col("__y").cast("long")).withColumn("__y", (F.col("__y") - F.col("__d0").cast("double")) * scale)
+    df = df.withColumn("__d1", F.col("__y").cast("long"))
+    return df.withColumn("__d2", ((F.col("__y") - F.col("__d1").cast("double")) * scale).cast("long")).drop("__y")
 
 
 def two_product(a: Column, b: Column) -> tuple[Column, Column]:
@@ -55,49 +56,39 @@ def two_product(a: Column, b: Column) -> tuple[Column, Column]:
     return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
 
 
-def gather(df: DataFrame, keys: list, sums: Sequence[Sequence[tuple[Column, Column | int]]], value: Column | None = None) -> DataFrame:
+def gather(df: DataFrame, keys: list[str], sums: Sequence[Sequence[tuple[Column, Column | int]]], value: Column | None = None) -> DataFrame:
     """By key: ``parts`` (array of longs, PART for each sum and place), ``n``, ``lo`` and ``hi``.
 
     sums: each a list of terms (x, k), which stand for x * 2**k; null terms count as nothing. n, lo and hi are the number
     and extrema of ``value`` where it is not null, or n the number of rows. Every key of df gets a row.
     """
-    names, kept = [], []
-    for k in keys:
-        name = k if isinstance(k, str) else df.select(k).columns[0]
-        names.append(name)
-        kept.append(F.col(k) if isinstance(k, str) else k)
     terms = [(i, x, k) for i, some in enumerate(sums) for x, k in some]
-    plain = df.select(*kept, (F.lit(1.0) if value is None else value).alias("__v"), *(F.when(x != 0, x).alias(f"__x{j}") for j, (_, x, _) in enumerate(terms)), *(F.lit(k).cast("int").alias(f"__k{j}") if isinstance(k, int) else k.cast("int").alias(f"__k{j}") for j, (_, _, k) in enumerate(terms)))
-    at = {f"__a{j}": F.floor((exponent(F.col(f"__x{j}")) + F.col(f"__k{j}")) / BASE).cast("int") for j in range(len(terms))}
-    placed = plain.withColumns(at) if at else plain
-    nothing = [F.lit(0).cast("long")] * 3
-    entry = lambda which, place, d, v: F.struct(F.lit(which).alias("which"), place.alias("at"), *(x.alias(f"d{i}") for i, x in enumerate(d)), v.alias("v"))
-    rows = [entry(-1, F.lit(0), nothing, F.col("__v"))]
-    for j, (i, _, _) in enumerate(terms):
-        x = F.col(f"__x{j}")
-        finite = F.when(x.isNull() | (F.abs(x) < F.lit(math.inf)), x).otherwise(F.raise_error(F.lit("a sum is not finite")).cast("double"))
-        rows.append(entry(i, F.col(f"__a{j}"), digits(finite, F.col(f"__a{j}"), F.col(f"__k{j}")), F.lit(None).cast("double")))
-    each = placed.select(*names, F.inline(F.array(*rows))).where("which = -1 or at is not null")
-    return merge(each, names)
+    none = F.lit(None).cast("double")
+    entry = lambda which, x, k, v: F.struct(F.lit(which).alias("__w"), x.alias("__x"), (F.lit(k) if isinstance(k, int) else k).cast("int").alias("__k"), v.alias("__v"))
+    rows = [entry(-1, none, 0, F.lit(1.0) if value is None else value), *(entry(i, x, k, none) for i, x, k in terms)]
+    each = df.select(*keys, F.inline(F.array(*rows))).where("__w = -1 or __x <> 0")
+    finite = F.when(F.col("__x").isNull() | (F.abs("__x") < F.lit(math.inf)), F.col("__x")).otherwise(F.raise_error(F.lit("a sum is not finite")).cast("double"))
+    placed = digits(each.select(*keys, "__w", finite.alias("__x"), "__k", "__v"), "__x", F.col("__k"))
+    return merge(placed, keys)
 
 
 def merge(each: DataFrame, names: list[str]) -> DataFrame:
-    """Parts by key from single digits (which, at, d0, d1, d2, v)."""
-    by_place = each.groupBy(*names, "which", "at").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(3)), F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    part = F.when(F.col("which") >= 0, F.array(F.col("which").cast("long"), F.col("at").cast("long"), "d0", "d1", "d2"))
-    return by_place.groupBy(*names).agg(F.flatten(F.array_sort(F.collect_list(part))).alias("parts"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    """Parts by key from single digits (__w, __at, __d0.., __v)."""
+    by_place = each.groupBy(*names, "__w", "__at").agg(*(F.sum(f"__d{i}").alias(f"__d{i}") for i in range(3)), F.count("__v").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    part = F.when(F.col("__w") >= 0, F.array(F.col("__w").cast("long"), F.col("__at").cast("long"), "__d0", "__d1", "__d2"))
+    return by_place.groupBy(*names).agg(F.flatten(F.array_sort(F.collect_list(part))).alias("parts"), F.sum("__n").alias("n"), F.min("__lo").alias("lo"), F.max("__hi").alias("hi"))
 
 
 def again(gathered: DataFrame, keys: list[str]) -> DataFrame:
     """Merge rows of ``gather`` (parts, n, lo, hi) by fewer keys."""
-    named = lambda i: F.element_at("p", i)
+    named = lambda i: F.element_at("__p", i)
     chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size("parts") / PART).cast("int") - 1), lambda i: F.slice("parts", i * PART + 1, PART))
     entries = F.when(F.size("parts") > 0, chunks).otherwise(F.array().cast("array<array<long>>"))
-    parts = gathered.select(*keys, F.explode(entries).alias("p")).select(*keys, named(1).alias("which"), named(2).alias("at"), *(named(3 + i).alias(f"d{i}") for i in range(3)), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("n"))
+    parts = gathered.select(*keys, F.explode(entries).alias("__p")).select(*keys, named(1).alias("__w"), named(2).alias("__at"), *(named(3 + i).alias(f"__d{i}") for i in range(3)), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("n"))
     zero = F.lit(0).cast("long")
-    heads = gathered.select(*keys, F.lit(-1).cast("long").alias("which"), zero.alias("at"), *(zero.alias(f"d{i}") for i in range(3)), "lo", "hi", "n")
-    by_place = parts.unionByName(heads).groupBy(*keys, "which", "at").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(3)), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    part = F.when(F.col("which") >= 0, F.array("which", "at", "d0", "d1", "d2"))
+    heads = gathered.select(*keys, F.lit(-1).cast("long").alias("__w"), zero.alias("__at"), *(zero.alias(f"__d{i}") for i in range(3)), "lo", "hi", "n")
+    by_place = parts.unionByName(heads).groupBy(*keys, "__w", "__at").agg(*(F.sum(f"__d{i}").alias(f"__d{i}") for i in range(3)), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    part = F.when(F.col("__w") >= 0, F.array("__w", "__at", "__d0", "__d1", "__d2"))
     return by_place.groupBy(*keys).agg(F.flatten(F.array_sort(F.collect_list(part))).alias("parts"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
@@ -150,12 +141,12 @@ def span(df: DataFrame, x: Column) -> tuple[int, int]:
     return (0, 0) if e["lo"] is None else (e["lo"] - 2, e["hi"])
 
 
-def spread_digits(x: Column, low: int, high: int) -> list[Column]:
-    """The digits of x at each of the places low..high, 0 where it has none."""
-    at = F.floor(exponent(x) / BASE).cast("int")
-    d = digits(x, at, F.lit(0))
-    zero = F.lit(0).cast("long")
-    return [F.coalesce(F.when(at == j, d[0]).when(at == j + 1, d[1]).when(at == j + 2, d[2]), zero) for j in range(low, high + 1)]
+def spread_digits(df: DataFrame, x: Column, low: int, high: int) -> DataFrame:
+    """df with the digits of x at each of the places low..high as columns __p0.., 0 where it has none."""
+    df = digits(df.withColumn("__x", x), "__x", F.lit(0))
+    at, zero = F.col("__at"), F.lit(0).cast("long")
+    each = [F.coalesce(F.when(at == j, F.col("__d0")).when(at == j + 1, F.col("__d1")).when(at == j + 2, F.col("__d2")), zero) for j in range(low, high + 1)]
+    return df.withColumns({f"__p{i}": c for i, c in enumerate(each)}).drop("__x", "__at", "__d0", "__d1", "__d2")
 
 
 def product_terms(c: Column, n: Column, k: int) -> list[tuple[Column, int]]:

@@ -122,8 +122,8 @@ def row_prefixes(cells: DataFrame) -> tuple[DataFrame, int, int]:
     w = Window.partitionBy("slice_id", "band", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
     v = F.when(F.col("valid"), F.col("value"))
     low, high = numerics.span(cells, v)
-    placed = cells.select("slice_id", "band", "row", "col", "valid", *(d.alias(f"__d{j}") for j, d in enumerate(numerics.spread_digits(v, low, high))))
-    sums = [F.sum(f"__d{j}").over(w).alias(f"p{j}") for j in range(high - low + 1)]
+    placed = numerics.spread_digits(cells, v, low, high)
+    sums = [F.sum(f"__p{j}").over(w).alias(f"p{j}") for j in range(high - low + 1)]
     return placed.select("slice_id", "band", "row", "col", *sums, F.sum(F.col("valid").cast("long")).over(w).alias("count_to")), low, high - low + 1
 
 

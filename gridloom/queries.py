@@ -10,6 +10,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.functions.numerics import exact_sums
 from gridloom.functions.normalize import normalize
@@ -23,8 +24,15 @@ from gridloom.sources import raster, snapshot
 WIDE = 100
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is read from the files once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _grid(df: DataFrame, key: str, width: int) -> Grid:

@@ -2,8 +2,8 @@
 
 ``spark.read.format("gridloom.tiff").option("path", ...)`` gives raw samples (row, col, band, sample, mask); every block of
 the file is a partition of its own that reads only its bytes. Options: path, overview, x, y, width, height, bands.
-Paths are opened with fsspec-free Python files, so the file must be on a file system that executors share; for object
-stores read with ``binaryFile`` and call ``decode``.
+The data source opens paths as local files, which all executors must share. ``load`` takes any path that Spark can read: in
+other stores the file's blocks are cut out of Spark's ``binaryFile`` source, dealt to tasks and decoded there (files of up to 2 GB).
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridloom.model import Grid, require
+from gridloom.sources import files
 
 SCHEMA = "row int, col int, band int, sample double, mask int"
 # TIFF field sizes and struct codes, and sample types by (format, bits).
@@ -89,8 +92,8 @@ class Image:
 
 
 def images(data) -> list[Image]:
-    """The images of a file (the first, then overviews and masks), from its bytes or a map of it."""
-    head = bytes(data[:16])
+    """The images of a file (the first, then overviews and masks), from its bytes, a map of it, or ranges."""
+    head = files.piece(data, 0, 16)
     require(head[:2] in (b"II", b"MM"), "not a TIFF file")
     order = "<" if head[:2] == b"II" else ">"
     magic = struct.unpack(order + "H", head[2:4])[0]
@@ -100,34 +103,41 @@ def images(data) -> list[Image]:
     out = []
     while at:
         image = Image(order)
-        n = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
+        n = files.unpack(data, order + ("Q" if big else "H"), at)[0]
         at += 8 if big else 2
         for _ in range(n):
-            tag, kind = struct.unpack_from(order + "HH", data, at)
-            count = struct.unpack_from(order + ("Q" if big else "I"), data, at + 4)[0]
+            tag, kind = files.unpack(data, order + "HH", at)
+            count = files.unpack(data, order + ("Q" if big else "I"), at + 4)[0]
             size, slot = SIZES.get(kind, 0) * count, at + (12 if big else 8)
-            where = slot if size <= (8 if big else 4) else struct.unpack_from(order + ("Q" if big else "I"), data, slot)[0]
+            where = slot if size <= (8 if big else 4) else files.unpack(data, order + ("Q" if big else "I"), slot)[0]
             if kind in (2, 7):
-                image.tags[tag] = tuple(bytes(data[where : where + count]))
+                image.tags[tag] = tuple(files.piece(data, where, count))
             elif kind in CODES:
-                image.tags[tag] = struct.unpack_from(f"{order}{count}{CODES[kind]}", data, where)
+                image.tags[tag] = files.unpack(data, f"{order}{count}{CODES[kind]}", where)
             at += 20 if big else 12
         out.append(image)
-        at = struct.unpack_from(order + ("Q" if big else "I"), data, at)[0]
+        at = files.unpack(data, order + ("Q" if big else "I"), at)[0]
     return out
 
 
+def extent(image: Image, number: int) -> tuple[int, int]:
+    """Place and number of bytes of a block."""
+    return (image.tags.get(324) or image.tags[273])[number], (image.tags.get(325) or image.tags[279])[number]
+
+
 def block_samples(image: Image, data, number: int) -> np.ndarray:
     """A decoded block as (height, width, bands of the block)."""
-    offsets, counts = image.tags.get(324) or image.tags.get(273), image.tags.get(325) or image.tags.get(279)
+    return decode_block(image, files.piece(data, *extent(image, number)), number)
+
+
+def decode_block(image: Image, raw: bytes, number: int) -> np.ndarray:
     bw, bh = image.block
     per = 1 if image.separate else image.bands
     if 322 not in image.tags:
         rows = -(-image.height // bh)
         bh = min(bh, image.height - number % rows * bh)
-    if not counts[number]:
+    if not raw:
         return np.zeros((bh, bw, per), image.dtype)
-    raw = bytes(data[offsets[number] : offsets[number] + counts[number]])
     kind = image.one(259, 1)
     require(kind in (1, 8, 32946), "only uncompressed and Deflate blocks are supported")
     if kind != 1:
@@ -195,7 +205,7 @@ class TiffReader(DataSourceReader):
     def __init__(self, options):
         known = {"path", "overview", "x", "y", "width", "height", "bands"}
         require(set(options) <= known and "path" in options, f"options are {sorted(known)}, and path is required")
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"].removeprefix("file://").removeprefix("file:")
         self.overview = int(options["overview"]) if "overview" in options else None
         self.box = tuple(int(options[k]) if k in options else None for k in ("x", "y", "width", "height"))
         self.only = {int(b) for b in options["bands"].split(",")} if "bands" in options else None
@@ -219,29 +229,65 @@ class TiffReader(DataSourceReader):
         return [_Block(n, b, x, y) for n, b, x, y in image.blocks() if x < x1 and y < y1 and x + bw > x0 and y + bh > y0 and (b is None or self.only is None or b in self.only)]
 
     def read(self, partition: _Block):
-        import pyarrow as pa
-
         data, image, mask = self._open()
-        x0, y0, x1, y1 = self._window(image)
         s = block_samples(image, data, partition.number)
         h, w = min(s.shape[0], image.height - partition.y), min(s.shape[1], image.width - partition.x)
-        m = np.full((h, w), 255, np.int32)
-        if mask is not None:
-            whole = decode_mask(mask, data)
-            m = whole[partition.y : partition.y + h, partition.x : partition.x + w].astype(np.int32)
-        rows, cols = np.meshgrid(np.arange(partition.y, partition.y + h), np.arange(partition.x, partition.x + w), indexing="ij")
-        keep = (rows >= y0) & (rows < y1) & (cols >= x0) & (cols < x1)
-        for k in range(s.shape[2]):
-            band = k if partition.band is None else partition.band
-            if self.only is None or band in self.only:
-                n = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[keep].astype(np.int32)), pa.array(cols[keep].astype(np.int32)), pa.array(np.full(n, band, np.int32)), pa.array(s[:h, :w, k][keep].astype(float)), pa.array(m[keep])], names=["row", "col", "band", "sample", "mask"])
-
-
-def decode_mask(mask: Image, data) -> np.ndarray:
-    m = np.zeros((mask.height, mask.width), np.uint8)
-    for number, _, x, y in mask.blocks():
-        s = block_samples(mask, data, number)[..., 0]
-        h, w = min(s.shape[0], mask.height - y), min(s.shape[1], mask.width - x)
-        m[y : y + h, x : x + w] = np.where(s[:h, :w] != 0, 255, 0)
+        m = np.full((h, w), 255, np.int32) if mask is None else mask_part(mask, data, partition.x, partition.y, w, h)
+        yield from _cells(s[:h, :w], m, partition.band, partition.x, partition.y, self._window(image), self.only)
+
+
+def _cells(s: np.ndarray, m: np.ndarray, band: int | None, x: int, y: int, window: tuple[int, int, int, int], only: set[int] | None):
+    """A block's samples within a window, as a batch for each band."""
+    import pyarrow as pa
+
+    x0, y0, x1, y1 = window
+    rows, cols = np.meshgrid(np.arange(y, y + s.shape[0]), np.arange(x, x + s.shape[1]), indexing="ij")
+    keep = (rows >= y0) & (rows < y1) & (cols >= x0) & (cols < x1)
+    for k in range(s.shape[2]):
+        b = k if band is None else band
+        if only is None or b in only:
+            n = int(keep.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[keep].astype(np.int32)), pa.array(cols[keep].astype(np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(s[..., k][keep].astype(float)), pa.array(m[keep])], names=["row", "col", "band", "sample", "mask"])
+
+
+def mask_part(mask: Image, data, x: int, y: int, w: int, h: int) -> np.ndarray:
+    """The mask over a rectangle; only blocks that meet it are decoded."""
+    m = np.zeros((h, w), np.int32)
+    bw, bh = mask.block
+    for number, _, bx, by in mask.blocks():
+        if bx < x + w and bx + bw > x and by < y + h and by + bh > y:
+            s = block_samples(mask, data, number)[..., 0]
+            x0, y0, x1, y1 = max(x, bx), max(y, by), min(x + w, bx + s.shape[1], mask.width), min(y + h, by + s.shape[0], mask.height)
+            m[y0 - y : y1 - y, x0 - x : x1 - x] = np.where(s[y0 - by : y1 - by, x0 - bx : x1 - bx] != 0, 255, 0)
     return m
+
+
+def _from_binary(spark: SparkSession, path: str, image: Image) -> DataFrame:
+    """(row, col, band, sample) of an image whose blocks are cut out of the file by Spark."""
+    rows = [(n, -1 if b is None else b, x, y, *extent(image, n)) for n, b, x, y in image.blocks()]
+    blocks = spark.createDataFrame(rows, "number int, b int, x int, y int, at long, n long")
+    content = spark.read.format("binaryFile").load(path).select("content")
+    cut = content.crossJoin(F.broadcast(blocks)).select("number", "b", "x", "y", F.substr("content", F.col("at") + 1, F.col("n")).alias("raw"))  # one file
+
+    def kernel(it):
+        for batch in it:
+            for r in batch.to_pylist():
+                s = decode_block(image, r["raw"], r["number"])
+                h, w = min(s.shape[0], image.height - r["y"]), min(s.shape[1], image.width - r["x"])
+                yield from _cells(s[:h, :w], np.full((h, w), 255, np.int32), None if r["b"] < 0 else r["b"], r["x"], r["y"], (0, 0, image.width, image.height), None)
+
+    return cut.repartition("number").mapInArrow(kernel, SCHEMA)
+
+
+def load(spark: SparkSession, path: str, overview: int | None = None) -> DataFrame:
+    """Raw samples (row, col, band, sample, mask) of a file in any store that Spark reads."""
+    if files.is_local(path):
+        spark.dataSource.register(TiffSource)
+        reader = spark.read.format("gridloom.tiff").option("path", path)
+        return (reader if overview is None else reader.option("overview", overview)).load()
+    image, mask = pick(images(files.Ranges(spark, path)), overview)
+    samples = _from_binary(spark, path, image)
+    if mask is None:
+        return samples
+    m = _from_binary(spark, path, mask).select("row", "col", F.when(F.col("sample") != 0, 255).otherwise(0).alias("m"))
+    return samples.join(m, ["row", "col"]).select("row", "col", "band", "sample", F.col("m").alias("mask"))

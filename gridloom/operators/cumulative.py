@@ -10,23 +10,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import numerics
-from gridloom.model import Grid
+from gridloom.model import Grid, Options
+from gridloom.operators import zonal
 from gridloom.operators.coverage import crossings, left_share
 from gridloom.operators.summaries import row_prefixes
 
 
-def edge_sums(cells: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
+TOLERANCE = (1e-8, 1e-10)  # absolute, and for each covered cell
+
+
+def measure(prefixes: tuple[DataFrame, int, int], cells: DataFrame, edges: DataFrame, selection: DataFrame, areas: DataFrame, grid: Grid, options: Options, pairs: DataFrame) -> DataFrame:
+    """sum, support and mean from edge sums; where their error bound exceeds a quarter of the tolerance, from the selection."""
+    sums = edge_sums(cells, edges, grid, prefixes)
+    allowed = (TOLERANCE[0] + TOLERANCE[1] * F.abs("covered_cell_equivalents")) / 4
+    if not sums.where(F.col("error_bound") > allowed).isEmpty():
+        return zonal.measure(cells, selection, areas, options, pairs)
+    if options.bands:
+        pairs = pairs.where(F.col("band").isin(list(options.bands)))
+    none = F.lit(None).cast("double")
+    states = sums.withColumns({"valid_cell_count": F.lit(0).cast("long"), "min": none, "max": none}).drop("error_bound")
+    frame = pairs.select("slice_id", "band").crossJoin(F.broadcast(zonal.zone_areas(selection, areas)))  # at most 4096 zones
+    return zonal.project(zonal.finish(states, frame), options)
+
+
+def edge_sums(cells: DataFrame, edges: DataFrame, grid: Grid, prefixes: tuple[DataFrame, int, int] | None = None) -> DataFrame:
     """(slice_id, zone_id, band, fractional_sum, covered_cell_equivalents, error_bound) from edges in pixel space.
 
     Prefixes and their products with an edge's height are exact, so values left of a polygon cancel whole. What
     remains is the rounding of the edges' own heights and shares, times the values they meet: error_bound. Where it is too
-    much for a purpose, measure the selection instead.
+    much, ``measure`` falls back to the selection.
     """
     keys = ["slice_id", "band", "zone_id"]
     first = F.least(F.lit(grid.width), F.greatest(F.lit(0), F.floor("lx"))).cast("int")
     last = F.least(F.lit(grid.width - 1), F.ceil("rx") - 1).cast("int")
     cut = crossings(edges, grid).withColumns({"first": first, "last": last})
-    pre, low, n = row_prefixes(cells)
+    pre, low, n = prefixes or row_prefixes(cells)
     names = [*(f"p{j}" for j in range(n)), "count_to"]
     left = cut.withColumn("col", F.col("first") - 1).join(pre, ["row", "col"]).select(*keys, "dy", *names)
     touched = cut.where("last >= first").withColumn("c", F.explode(F.sequence("first", "last"))).withColumn("g", left_share())

@@ -6,7 +6,10 @@ explicit union of both plans, and the boundary's tiles reach the scan as a semi-
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import numerics
@@ -52,9 +55,25 @@ def pyramid(cells: DataFrame, edge: int, levels: int) -> DataFrame:
     return _rounded(numerics.again(rows, TILE), TILE)  # every level from the leaves' exact parts
 
 
-def ward(cells: DataFrame, path: str, edge: int = 64, levels: int = 4) -> None:
-    """Write a summary table; an existing one is never overwritten."""
-    pyramid(cells, edge, levels).withColumn("edge", F.lit(edge)).write.mode("errorifexists").partitionBy("level").parquet(path)
+VERSION = 2
+FACTS = ("version", "edge", "levels", "grid_id", "source_id", "build_id")
+
+
+def ward(cells: DataFrame, path: str, edge: int = 64, levels: int = 4, identity: dict | None = None) -> None:
+    """Write a summary table with the identity of its grid and source; an existing one is never overwritten."""
+    facts = {"version": VERSION, "edge": edge, "levels": levels, "grid_id": "", "source_id": "", **(identity or {})}
+    facts["build_id"] = hashlib.sha256(json.dumps(facts, sort_keys=True).encode()).hexdigest()
+    out = pyramid(cells, edge, levels).withColumns({k: F.lit(facts[k]) for k in FACTS})
+    out.write.mode("errorifexists").partitionBy("level").parquet(path)
+
+
+def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """A summary table and its facts."""
+    table = spark.read.parquet(path)
+    require(set(FACTS) <= set(table.columns), "not a summary table")
+    first = table.select(*FACTS).distinct().limit(2).collect()
+    require(len(first) == 1 and first[0]["version"] == VERSION, "a summary table has one version, build and source")
+    return table.drop(*FACTS), first[0].asDict()
 
 
 def row_blocks(cells: DataFrame, width: int = 64) -> DataFrame:
@@ -97,23 +116,44 @@ def measure_with(summary: DataFrame, cells: DataFrame, selection: DataFrame, are
     by_tile = tile_cover(selection, grid, edge)
     nodes = cover(by_tile, levels)
     inside = zonal.prune(summary, options).join(nodes, ["level", "ty", "tx"])
-    long = lambda v: F.lit(v).cast("long")
-    covered = F.array(long(1), long(0), F.col("valid_cell_count"), long(0), long(0))  # the second sum, the support, is the count
-    stored = _gathered(inside.withColumn("parts", F.concat("parts", covered)), *zonal.KEYS)
+    stored = _with_count(inside, *zonal.KEYS)
     rest = tiled(selection, edge).join(by_tile.where("not whole").select("zone_id", "ty", "tx"), ["zone_id", "ty", "tx"])
     tiles = rest.select(F.col("ty").alias("e_ty"), F.col("tx").alias("e_tx")).distinct()
     near = zonal.prune(cells, options).join(tiles, F.expr(f"row div {edge} = e_ty and col div {edge} = e_tx"), "left_semi")
     joined = zonal.join_cells(near, rest.select("zone_id", "row", "col_start", "col_end", "fraction"), edge)
+    return _combined(stored, joined, selection, areas, options, slices if slices is not None else summary.select("slice_id", "band").distinct())
+
+
+def _combined(stored: DataFrame, joined: DataFrame, selection: DataFrame, areas: DataFrame, options: Options, pairs: DataFrame) -> DataFrame:
+    """Results from stored parts and cells that were read."""
     read, names, n = zonal.states(joined, Options())
     both = numerics.again(stored.unionByName(read.select(*stored.columns)), zonal.KEYS).withColumn("r", numerics.rounded(F.col("parts"), n))
     states = both.select(*zonal.KEYS, *(F.col("r")[i].alias(k) for i, k in enumerate(names)), F.col("n").alias("valid_cell_count"), F.col("lo").alias("min"), F.col("hi").alias("max"))
-    pairs = slices if slices is not None else summary.select("slice_id", "band").distinct()
     if options.bands:
         pairs = pairs.where(F.col("band").isin(list(options.bands)))
     frame = pairs.select("slice_id", "band").crossJoin(F.broadcast(zonal.zone_areas(selection, areas)))  # at most 4096 zones
     return zonal.project(zonal.finish(states, frame), options)
 
 
+def _with_count(states: DataFrame, *keys) -> DataFrame:
+    """Stored states as parts of two sums: the values, and the support of whole cells, which is their count."""
+    long = lambda v: F.lit(v).cast("long")
+    covered = F.array(long(1), long(0), F.col("valid_cell_count"), long(0), long(0))
+    return _gathered(states.withColumn("parts", F.concat("parts", covered)), *keys)
+
+
+def measure_with_blocks(blocks: DataFrame, cells: DataFrame, selection: DataFrame, areas: DataFrame, width: int, options: Options | None = None, slices: DataFrame | None = None) -> DataFrame:
+    """Like zonal.measure, with the blocks of a row that a run covers whole taken from their states."""
+    options = options or Options()
+    require(options.summary_eligible(), "these statistics cannot come from summaries")
+    pieces = tiled(selection, width)
+    whole = (F.col("fraction") == 1) & (F.col("col_start") == F.col("tx") * width) & (F.col("col_end") == (F.col("tx") + 1) * width)
+    stored = zonal.prune(blocks, options).join(pieces.where(whole).select("zone_id", "row", F.col("tx").alias("block")), ["row", "block"])
+    joined = zonal.join_cells(zonal.prune(cells, options), pieces.where(~whole).select("zone_id", "row", "col_start", "col_end", "fraction"), width)
+    pairs = slices if slices is not None else cells.select("slice_id", "band").distinct()
+    return _combined(_with_count(stored, *zonal.KEYS), joined, selection, areas, options, pairs)
+
+
 def row_prefixes(cells: DataFrame) -> tuple[DataFrame, int, int]:
     """Exact prefix sums and counts along each row, up to and with the cell, and the lowest place and number of places.
 

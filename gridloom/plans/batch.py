@@ -42,6 +42,7 @@ class Source:
     summary: DataFrame | None = None
     edge: int = 64
     levels: int = 0
+    build_id: str | None = None
 
 
 @dataclass
@@ -52,6 +53,7 @@ class Job:
     checkpoint: dict | None = None
     ready: list = field(default_factory=list)
     pins: list = field(default_factory=list)
+    group: str | None = None
 
     def __post_init__(self):
         s = fields(self.spec, JOB, ("zones", "slices", "crs"))
@@ -97,7 +99,8 @@ class Job:
         """Results of a whole slice, in the order of the zones."""
         s = self.spec["slices"][k]
         source = self.open_source(s)
-        pin = {"source_id": source.identity, "grid_id": source.grid.identity(), "index_build_id": None}
+        require(s.get("expected_build_id") in (None, source.build_id), "the index is of another build")
+        pin = {"source_id": source.identity, "grid_id": source.grid.identity(), "index_build_id": source.build_id}
         require(self.pins[k] in (None, pin), "a source has changed since the checkpoint")
         self.pins[k] = pin
         selection, areas = self.selection(source.grid)
@@ -133,9 +136,17 @@ class Job:
         n = len(self.spec["zones"])
         if not self.ready and self.next_row < self.total:
             k, skip = divmod(self.next_row, n)
-            rows = self.slice_rows(k).orderBy("row_no", "band").collect()  # one slice: zones * bands rows
+            if self.group is not None:
+                self.spark.sparkContext.setJobGroup(self.group, "gridloom job", True)
+            try:
+                rows = self.slice_rows(k).orderBy("row_no", "band").collect()  # one slice: zones * bands rows
+            finally:
+                if self.group is not None:
+                    for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                        self.spark.sparkContext.setLocalProperty(name, None)
+            place = {b: i for i, b in enumerate(self.options.bands)}
             by_zone: dict[int, list] = {}
-            for r in rows:
+            for r in sorted(rows, key=lambda r: (r["zone_no"], place.get(r["band"], r["band"]))):  # bands as requested
                 by_zone.setdefault(r["zone_no"], []).append(r.asDict(recursive=True))
             self.ready = [by_zone[z] for z in range(skip, n)]
         page, self.ready = self.ready[:max_rows], self.ready[max_rows:]

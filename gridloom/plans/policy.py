@@ -10,13 +10,15 @@ FRACTIONAL = "exactextract_fractional_v030"
 RASTERIO = "exactextract_rasterio_v030"
 POLICIES = (NATIVE, FRACTIONAL, RASTERIO)
 LIMITS = {"zones": 512, "slices": 32, "bands": 64}
+STRUCTURES = ("direct", "row_blocks", "hierarchy", "cumulative_full", "cumulative_blocked")
 FIVE = ("sum", "support", "mean", "min", "max")
 
 
 def resolve(request: dict, prepared: bool = False) -> dict:
     """The provenance of a request: backend ``native``, ``exactextract`` or ``auto``; one policy, or several accepted ones.
 
-    Both delegated policies run on this engine's own kernel and are only labelled as what they follow.
+    Both delegated policies run on this engine's own kernel. The fractional one measures normalised values; the other one measures
+    raw samples, and refuses sources that are scaled or explicitly masked.
     """
     asked = request.get("backend", "native")
     require(asked in ("native", "exactextract", "auto"), "unknown backend")

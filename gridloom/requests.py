@@ -10,7 +10,7 @@ from gridloom.session import Session
 ZONE = ("geometry", "crs", "options", "strategy", "expression", "mask", "exact", "use_summaries", "backend", "numerical_policy", "accepted_policies", "execution_envelope", "backend_options")
 OPS = {
     "backends": (), "stats": (), "open": ("id", "raster"), "register_source": ("id", "spec"), "close": ("id",), "close_source": ("id",), "source_info": ("id",),
-    "measure_source": ("source", *ZONE), "prepare_source": ("source", "path", "tile_edge", "levels"), "register_index": ("source", "path", "levels"), "close_index": ("source",),
+    "measure_source": ("source", *ZONE), "prepare_source": ("source", "path", "tile_edge", "levels"), "prepare": ("source", "kind"), "source_metrics": ("id",), "register_index": ("id", "source", "path", "expected_build_id"), "index_info": ("id",), "close_index": ("id",), "begin_verified_source_query": ("source",), "end_verified_source_query": ("source",),
     "compile": ("id", "source", "geometry", "strategy"), "measure": ("source", "plan", "options", "exact"), "drop_plan": ("id",),
     "compile_source": ("source", "output", "edge"), "verify_snapshot": ("path",), "read_window": ("source", "window", "bands"),
     "measure_ordered_source": ("source", "request"), "measure_ordered_profile": ("profile", "request", "numerical_policy", "view_id", "access_class"), "measure_population": ("source", "geometry"),
@@ -51,15 +51,28 @@ def _run(s: Session, op: str, v: dict):
         return _rows(source().carve(v["geometry"], bands=o.pop("bands", None), metrics=o.pop("statistics", None), **o, **rest))
     if op == "prepare_source":
         return source().ward(v["path"], edge=v.get("tile_edge", 64), levels=v.get("levels", 3)).info()
+    if op == "prepare":
+        return source().prepare(v["kind"]).info()
+    if op == "source_metrics":
+        return s.sources[v["id"]].metrics()
     if op == "register_index":
-        return source().open_index(v["path"], levels=v.get("levels", 3)).info()
+        return s.register_index(source(), v["path"], id=v["id"], expected_build_id=v.get("expected_build_id")).info()
+    if op == "index_info":
+        return s.indexes[v["id"]].info()
     if op == "close_index":
-        source().summary = None
-        return source().info()
+        return s.close_index(v["id"])
+    if op == "begin_verified_source_query":
+        s.check(source())
+        s.brackets[v["source"]] = s.verified(source())
+        s.brackets[v["source"]].__enter__()
+        return {"source_id": source().identity}
+    if op == "end_verified_source_query":
+        s.brackets.pop(v["source"]).__exit__(None, None, None)
+        return {"source_id": source().identity}
     if op == "compile":
         return {"plan": s.compile_polygon(v["geometry"], source=source(), id=v["id"], strategy=v.get("strategy", "scanline"))}
     if op == "measure":
-        return _rows(s.measure(source=source(), plan=v["plan"], options=v.get("options"), exact=v.get("exact", False)))
+        return _rows(s.measure(source=source(), plan=v["plan"], options=v.get("options"), exact=v.get("exact", True)))
     if op == "drop_plan":
         return s.drop_plan(v["id"])
     if op == "compile_source":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.model import Grid, require
 from gridloom.operators import summaries
+from gridloom.sources import files
 from gridloom.sources.raster import normalized
 
 
@@ -24,10 +25,24 @@ def compile_snapshot(raw: DataFrame, path: str, grid: Grid, edge: int = 128, sum
     out.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/samples")
     kept = spark.read.parquet(f"{path}/samples")
     _digests(kept).write.mode("errorifexists").parquet(f"{path}/digests")
+    content = content_id(spark, path, grid)
     if summary:
-        summaries.ward(normalized(kept, "snapshot", nodata, scale, offset), f"{path}/summary", edge, levels)
-    meta = [(grid.width, grid.height, list(grid.transform), grid.crs, grid.identity(), edge, nodata, scale, offset)]
-    spark.createDataFrame(meta, "width int, height int, transform array<double>, crs string, grid_id string, edge int, nodata double, scale double, offset double").coalesce(1).write.mode("errorifexists").parquet(f"{path}/metadata")  # last: a snapshot without it is not complete
+        summaries.ward(normalized(kept, "snapshot", nodata, scale, offset), f"{path}/summary", edge, levels, {"grid_id": grid.identity(), "source_id": content})
+    meta = [(grid.width, grid.height, list(grid.transform), grid.crs, grid.identity(), content, summary, edge, nodata, scale, offset)]
+    spark.createDataFrame(meta, "width int, height int, transform array<double>, crs string, grid_id string, content_id string, summary boolean, edge int, nodata double, scale double, offset double").coalesce(1).write.mode("errorifexists").parquet(f"{path}/metadata")  # last: a snapshot without it is not complete
+
+
+def content_id(spark: SparkSession, path: str, grid: Grid) -> str:
+    """Identity of a snapshot's samples: the digests of its tiles by tile row, then those of the rows."""
+    tile = F.concat_ws(":", "tx", "band", "cells", "digest")
+    rows = spark.read.parquet(f"{path}/digests").groupBy("ty").agg(F.concat_ws("=", "ty", F.sha2(F.array_join(F.array_sort(F.collect_list(tile)), ";"), 256)).alias("d"))
+    whole = rows.agg(F.sha2(F.concat(F.lit(grid.identity()), F.array_join(F.array_sort(F.collect_list("d")), ";")), 256).alias("id"))  # a row for each row of tiles
+    return whole.first()["id"]
+
+
+def is_snapshot(spark: SparkSession, path: str) -> bool:
+    fs, p = files._open(spark, f"{path}/metadata")
+    return fs.exists(p)
 
 
 def open_snapshot(spark: SparkSession, path: str) -> tuple[Grid, DataFrame, dict]:

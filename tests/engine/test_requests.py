@@ -20,7 +20,7 @@ def test_requests(spark):
     page = answer(s, {"op": "next_job", "id": "j"})["result"]
     assert page["done"] and page["rows"][0]["fractional_sum"] == 10
     assert answer(s, {"op": "job_info", "id": "j"})["result"]["next_row"] == 1 and answer(s, {"op": "close_job", "id": "j"})["ok"]
-    assert answer(s, {"op": "stats"})["result"] == {"sources": 1, "plans": 1, "jobs": 0}
+    assert answer(s, {"op": "stats"})["result"] == {"sources": 1, "plans": 1, "jobs": 0, "indexes": 0}
     for bad in ({"op": "nope"}, {"op": "stats", "more": 1}, {"op": "source_info", "id": "x"}, "{", {"op": "open", "id": "b", "raster": {**RASTER, "more": 1}}):
         assert not answer(s, bad)["ok"]
     assert answer(s, {"op": "drop_plan", "id": "p"})["ok"] and answer(s, {"op": "close", "id": "a"})["ok"]

@@ -119,8 +119,15 @@ def clipped(zones: DataFrame, grid: Grid, only_thin: bool = False) -> DataFrame:
     return zones.select("zone_id", "geometry").mapInArrow(kernel, SELECTION)
 
 
-def select_cells(zones: DataFrame, grid: Grid, strategy: str = "scanline") -> DataFrame:
-    """The selection of zones (zone_id, geometry): runs of cells with their covered share."""
+def select_cells(zones: DataFrame, grid: Grid, strategy: str = "scanline", window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """The selection of zones (zone_id, geometry): runs of cells with their covered share.
+
+    window: x, y, width and height; only its cells, with the places and shares that they have in the whole grid.
+    """
+    if window is not None:
+        x, y, width, height = window
+        s = select_cells(zones, grid, strategy).where((F.col("row") >= y) & (F.col("row") < y + height) & (F.col("col_end") > x) & (F.col("col_start") < x + width))
+        return s.withColumns({"col_start": F.greatest("col_start", F.lit(x)), "col_end": F.least("col_end", F.lit(x + width))})
     if strategy == "direct":
         return merged(clipped(zones, grid))
     if strategy != "scanline":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import struct
 from fractions import Fraction
 
 import numpy as np
@@ -151,3 +152,54 @@ def zone_facts(zones: DataFrame, grid: Grid) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("zone_id"), pa.array([a for a, _ in out], pa.float64()), pa.array([t for _, t in out], pa.bool_())], names=["zone_id", "polygon_area", "thin"])
 
     return zones.select("zone_id", "geometry").mapInArrow(kernel, ZONES)
+
+
+def to_wkb(geometry: str | dict, grid: Grid) -> bytes:
+    """Little-endian well-known binary in the submitted coordinates, after the same validation."""
+    validate(rings(geometry, grid))
+    g = json.loads(geometry) if isinstance(geometry, str) else geometry
+    ring = lambda r: struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r)
+    polygon = lambda part: struct.pack("<BII", 1, 3, len(part)) + b"".join(map(ring, part))
+    return polygon(g["coordinates"]) if g["type"] == "Polygon" else struct.pack("<BII", 1, 6, len(g["coordinates"])) + b"".join(map(polygon, g["coordinates"]))
+
+
+def classify(parts: list[list[tuple[bool, np.ndarray]]], x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """``inside``, ``outside`` or ``boundary`` for rectangles in pixel space: on the boundary if an edge may meet the rectangle.
+
+    The rectangle is widened by a guard, so that a doubtful one is on the boundary and never inside.
+    """
+    flat = [p for part in parts for _, p in part]
+    a, b = np.concatenate([p[:-1] for p in flat]), np.concatenate([p[1:] for p in flat])
+    guard = 1e-9 * np.maximum(1.0, np.abs(np.concatenate([a, b])).max())
+    out = np.empty(len(x0), object)
+    for i, (l, t, r, d) in enumerate(zip(x0 - guard, y0 - guard, x1 + guard, y1 + guard, strict=True)):
+        near = (np.minimum(a[:, 0], b[:, 0]) <= r) & (np.maximum(a[:, 0], b[:, 0]) >= l) & (np.minimum(a[:, 1], b[:, 1]) <= d) & (np.maximum(a[:, 1], b[:, 1]) >= t)
+        p, q = a[near], b[near]
+        side = (q[:, 0] - p[:, 0])[:, None] * (np.array([t, t, d, d]) - p[:, 1][:, None]) - (q[:, 1] - p[:, 1])[:, None] * (np.array([l, r, l, r]) - p[:, 0][:, None])
+        if ((side.min(1) <= 0) & (side.max(1) >= 0)).any():  # the edge's line parts the corners
+            out[i] = "boundary"
+        else:
+            centre = np.array([(l + r) / 2, (t + d) / 2])
+            out[i] = "inside" if any(_inside(centre, part[0][1]) and not any(_inside(centre, h) for _, h in part[1:]) for part in parts) else "outside"
+    return out
+
+
+def tile_classes(zones: DataFrame, grid: Grid, edge: int) -> DataFrame:
+    """(zone_id, ty, tx, class) of the tiles in each zone's box that are not outside."""
+
+    def kernel(it):
+        for batch in it:
+            for z, g in zip(batch.column("zone_id").to_pylist(), batch.column("geometry").to_pylist(), strict=True):
+                parts = rings(g, grid)
+                validate(parts)
+                every = np.concatenate([p for part in parts for _, p in part])
+                low, high = np.floor(every.min(0) / edge).astype(int), np.ceil(every.max(0) / edge).astype(int)
+                tx = np.arange(max(0, low[0]), min(-(-grid.width // edge), high[0]))
+                ty = np.arange(max(0, low[1]), min(-(-grid.height // edge), high[1]))
+                ty, tx = (v.ravel() for v in np.meshgrid(ty, tx, indexing="ij"))
+                kind = classify(parts, tx * edge, ty * edge, np.minimum((tx + 1) * edge, grid.width), np.minimum((ty + 1) * edge, grid.height))
+                keep = kind != "outside"
+                n = int(keep.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([z] * n, pa.string()), pa.array(ty[keep].astype(np.int64)), pa.array(tx[keep].astype(np.int64)), pa.array(kind[keep].tolist(), pa.string())], names=["zone_id", "ty", "tx", "class"])
+
+    return zones.select("zone_id", "geometry").mapInArrow(kernel, "zone_id string, ty long, tx long, class string")

@@ -319,15 +319,19 @@ class Session:
         """A zones by slices job; slices name a registered ``source``."""
         require(id not in self.jobs and len(self.jobs) < CAPACITY["jobs"], "the name is taken, or there are too many jobs")
         spec = {("options" if k == "metrics" else k): ({"statistics": v} if k == "metrics" else v) for k, v in spec.items()}
+        decision = policy.resolve({k: spec.pop(k) for k in ("backend", *POLICY) if k in spec})
+        unscaled = decision["numerical_policy"] == policy.RASTERIO
 
         def opened(s: dict) -> JobSource:
             require(s.get("source") in self.sources, "no such source")
             x = self.sources[s["source"]]
             self.check(x)
-            require(s.get("expected_build_id") in (None, x.build_id), "the index is of another build")
-            return JobSource(x.grid, x.cells, x.identity, x.band_count, x.summary, x.edge, x.levels, x.build_id)
+            cells = x.unscaled() if unscaled else x.cells
+            native = decision["selected_backend"] == "native"
+            require(native or s.get("index") is None, "delegated jobs take no index")
+            return JobSource(x.grid, cells, x.identity, x.band_count, x.summary if native else None, x.edge, x.levels, x.build_id if native else None)
 
-        self.jobs[id] = Job(self.spark, spec, opened, checkpoint, group=id)
+        self.jobs[id] = Job(self.spark, spec, opened, checkpoint, group=id, policy=decision["numerical_policy"])
         return self.jobs[id]
 
     def cleave(self, job: dict, *, id: str = "batch", max_rows: int = 128, checkpoint: dict | None = None):

@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 
 from gridloom.model import RequestError
+from gridloom.operators import geometry
+from gridloom.plans import cover
 from gridloom.requests import answer
 from gridloom.session import Session
 from gridloom.sources import files, geotiff
@@ -209,3 +211,42 @@ def test_jobs_run_in_their_group(session, spark, monkeypatch):
     rows = list(session.cleave(job, id="mine"))
     assert seen == ["mine"] and spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
     assert [r["band"] for r in rows] == [1, 0]
+
+
+def test_delegated_jobs_are_staged(session):
+    job = {"zones": [{"id": "z", "geometry": square(0, 0, W, H)}, {"id": "y", "geometry": ZONE}], "slices": [{"id": "a", "source": "t0"}, {"id": "b", "source": "t1"}], "crs": "LOCAL", "backend": "exactextract"}
+    rows = list(session.cleave(job, max_rows=1))
+    assert [(r["slice_id"], r["zone_id"]) for r in rows] == [(s, z) for s in "ab" for z in "zy" for _ in (0, 1)]
+    assert sums(rows)[:2] == [brute(0, b, 0, 0, W, H) for b in (0, 1)]
+    with pytest.raises(RequestError):
+        session.start_job({**job, "mask": {"op": "band", "band": 0}}, id="x")
+    with pytest.raises(RequestError, match="refuses"):
+        list(session.cleave({**job, "numerical_policy": "exactextract_rasterio_v030"}))
+
+
+def test_wkb_and_rectangle_classes(session):
+    grid = session.sources["t0"].grid
+    raw = geometry.to_wkb(square(0, 0, 2, 3), grid)
+    assert raw[:13] == struct.pack("<BIII", 1, 3, 1, 5) and struct.unpack("<10d", raw[13:]) == (0, 0, 2, 0, 2, 3, 0, 3, 0, 0)
+    many = geometry.to_wkb({"type": "MultiPolygon", "coordinates": [square(0, 0, 1, 1)["coordinates"], square(2, 2, 3, 3)["coordinates"]]}, grid)
+    assert struct.unpack("<BII", many[:9]) == (1, 6, 2)
+    hole = {"type": "Polygon", "coordinates": [square(0, 0, 60, 40)["coordinates"][0], square(20, 10, 30, 20)["coordinates"][0]]}
+    boxes = np.array([(1, 1, 5, 5), (22, 22, 28, 28), (18, 18, 32, 32), (60, 0, 66, 6), (61, 0, 66, 6), (0, 0, 5, 5)], float)
+    got = geometry.classify(geometry.rings(hole, grid), *boxes.T)
+    assert got.tolist() == ["inside", "outside", "boundary", "boundary", "outside", "boundary"]
+
+
+def test_bounded_ranges_and_forest():
+    reads = [("a", 0, 10), ("a", 100, 10), ("a", 115, 5), ("b", 0, 1)]
+    assert cover.bounded_ranges(reads, 4) == reads
+    assert cover.bounded_ranges(reads, 3) == [("a", 0, 10), ("a", 100, 20), ("b", 0, 1)]
+    assert cover.bounded_ranges(reads, 2) == [("a", 0, 120), ("b", 0, 1)]
+    with pytest.raises(RequestError):
+        cover.bounded_ranges(reads, 1)
+    tiles = [(y, x, 256, True) for y in range(4) for x in range(4)]
+    nodes, roots = cover.forest(tiles, 2, 40, 4096, 4)
+    assert roots == ["2/0/0"] and cover.plan(nodes, roots)["cover"] == [("2/0/0", "summary")]
+    tiles[5] = (1, 1, 200, False)
+    nodes, roots = cover.forest(tiles, 2, 40, 4096, 4)
+    got = dict(cover.plan(nodes, roots)["cover"])
+    assert got.pop("0/1/1") == "raw" and set(got.values()) == {"summary"} and sum(4 ** int(n[0]) for n in got) == 15

@@ -26,19 +26,15 @@ SIZES = (3, 4, 5)
 
 
 def present(texts, bits: int):
-    """(rows, places) of the n-grams in the texts, each pair once, by row."""
-    rows, feats = [], []
+    """(row, places) of each text: the distinct places of its n-grams."""
+    last = np.zeros(1 << bits, np.int32)
     for first, cp, bounds in groups(texts):
-        found = []
-        for n in SIZES:
-            h = grams(cp, n, bits)
-            at = np.flatnonzero(inside(bounds, n, len(h)))
-            found.append(((np.searchsorted(bounds, at, "right") - 1) << bits) + h[at])
-        u = np.unique(np.concatenate(found))
-        rows.append((u >> bits) + first)
-        feats.append(u & ((1 << bits) - 1))
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return cat(rows), cat(feats)
+        every = [grams(cp, n, bits) for n in SIZES]
+        for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+            h = np.concatenate([x[a : max(a, b - n + 1)] for x, n in zip(every, SIZES, strict=True)])
+            at = np.arange(len(h), dtype=np.int32)
+            last[h] = at  # of equal places the last one stays
+            yield first + i, h[last[h] == at]
 
 
 @dataclass
@@ -50,9 +46,8 @@ class Model:
     def score(self, texts) -> np.ndarray:
         z = np.full(len(texts), self.bias)
         if len(self.weights):
-            for i in range(0, len(texts), 64):  # few rows at a time, as all their n-grams are held
-                r, f = present(texts[i : i + 64], self.bits)
-                z[i : i + 64] += np.bincount(r, self.weights[f], minlength=len(texts[i : i + 64]))
+            for i, places in present(texts, self.bits):
+                z[i] += self.weights[places].sum(dtype=np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -111,10 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in it:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                r, f = present(part.column("t").to_pylist(), bits)
-                cuts = np.searchsorted(r, np.arange(part.num_rows + 1))
-                f = f.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([f[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["y", "f"])
+                places = [np.sort(f).astype(np.uint32).tobytes() for _, f in present(part.column("t").to_pylist(), bits)]
+                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(places, pa.binary())], names=["y", "f"])
 
     y, lengths, cols = [], [], []
     for r in rows.mapInArrow(runtime.lean(kernel), "y int, f binary").repartition(1 if total < 100 else 16).sortWithinPartitions("y", "f").toLocalIterator():  # about `sample` rows of places

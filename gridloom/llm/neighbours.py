@@ -37,7 +37,7 @@ from gridloom.llm import runtime
 
 BLOCK = 8192
 BIN = 65_536
-DECK = 8192
+DECK = 32_768
 CALIBRATE = 150
 GOAL = 0.96
 
@@ -249,7 +249,9 @@ def _nearest(rows: DataFrame, dims: int, top: int, every: int, trees: int, leaf:
     probes = max(probes, _calibrated(known, shared, tested, top, dims))
     bin_of = forest.bins(n, min(BIN, max(BLOCK / 4, trees * n / runtime.partitions(spark))))
     # queries of a bin are dealt out too: a block of vectors goes to each of their decks
-    decks = max(1, -(-askers * min(probes, len(bin_of)) // (int(bin_of[-1]) + 1) // DECK)) if len(bin_of) else 1
+    asked = np.frombuffer(b"".join(bytes(r["v"]) for r in tested), "<f8").reshape(-1, dims)
+    visits = np.mean([len(np.unique(bin_of[found])) for found in forest.search(asked, probes)]) if tested else 0.0
+    decks = max(1, math.ceil(askers * visits / (int(bin_of[-1]) + 1) / DECK))
 
     def dealt(it):
         """Kind 0: vectors by (bin, block) with their leaf. Kind 1: queries with the leaves that they probe, for each bin and block."""

@@ -7,6 +7,7 @@ each nation, and a few fixed shapes. Cell values are integers and shares are dya
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,9 +140,12 @@ def query(oracle: str | None = None):
 def _edge_sql(*names: str, high: int, wide: int) -> str:
     """Coverage of fixed shapes from their edges: the integral of the clamped line over each row and column."""
     rows = []
-    for n in names:
-        edges = G.describe(shape(n), Grid(WIDE, 1000, (0.0, 1.0, 0.0, 0.0, 0.0, -1.0), "LOCAL"))[0]
-        rows += [f"('{n}', {ax!r}, {ay!r}, {bx!r}, {by!r}, {s!r})" for _, ax, ay, bx, by, s in edges]
+    for n in names:  # edges as written in SHAPES; a shell counts as it turns, a hole against it
+        for part in SHAPES[n]:
+            for hole, ring in enumerate(part):
+                pairs = list(zip(ring, [*ring[1:], ring[0]], strict=True))
+                turn = 1 if sum(ax * by - bx * ay for (ax, ay), (bx, by) in pairs) > 0 else -1
+                rows += [f"('{n}', {float(ax)}, {float(ay)}, {float(bx)}, {float(by)}, {-turn if hole else turn})" for (ax, ay), (bx, by) in pairs]
     return f"""WITH e(zone_id, ax, ay, bx, y1, factor) AS (VALUES {", ".join(rows)}),
 x AS (SELECT zone_id, r, greatest(r, least(ay, y1)) AS lo, least(r + 1, greatest(ay, y1)) AS hi, CAST(ax AS DOUBLE) AS ax, CAST(ay AS DOUBLE) AS ay, CAST(bx AS DOUBLE) AS bx, CAST(y1 AS DOUBLE) AS y1, factor
   FROM e, range(0, {high}) t(r) WHERE ay <> y1 AND greatest(ay, y1) > r AND least(ay, y1) < r + 1),
@@ -208,12 +212,20 @@ def shared_pieces(spark, sf_dir):
     return coverage.shared_pieces(coverage.select_cells(boxes(spark, sf_dir), grid)).select("row", "col_start", "col_end", "zones")
 
 
-@query()
+SLIVERS = (12, 20, 28, 35, 42, 47)
+SLIVER_SQL = f"""WITH s AS (SELECT unnest([{", ".join(map(str, SLIVERS))}]) AS k),
+cell AS (SELECT k, r, c, 1.25 + 1.6 * (greatest(r, 1.5) - 1.5) AS x0, 1.25 + 1.6 * (least(r + 1, 6.5) - 1.5) + 1 / power(2, k) AS x1 FROM s, range(1, 7) t(r), range(0, 40) u(c))
+SELECT '2^-' || k AS zone_id, count(*) AS cells, 5.0::DOUBLE AS area FROM cell WHERE x0 < c + 1 AND x1 > c GROUP BY k"""
+
+
+@query(SLIVER_SQL)
 def exact_sliver_coverage(spark, sf_dir):
-    """Diagonals down to 2^-47 of a cell keep positive, exact shares."""
-    rows = [(f"2^-{k}", str([[[[1.25, -1.5], [9.25, -6.5], [9.25 + 2.0**-k, -6.5], [1.25 + 2.0**-k, -1.5], [1.25, -1.5]]]])) for k in (12, 20, 28, 35, 42, 47)]
+    """Diagonals down to 2^-47 of a cell keep positive, exact shares; areas are given in the sliver's width."""
+    rows = [(f"2^-{k}", str([[[[1.25, -1.5], [9.25, -6.5], [9.25 + 2.0**-k, -6.5], [1.25 + 2.0**-k, -1.5], [1.25, -1.5]]]])) for k in SLIVERS]
     zones = spark.createDataFrame([(z, f'{{"type":"MultiPolygon","coordinates":{g}}}') for z, g in rows], "zone_id string, geometry string")
-    return coverage.cells_of(coverage.select_cells(zones, SMALL)).groupBy("zone_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("fraction").alias("area"))
+    cells = coverage.cells_of(coverage.select_cells(zones, SMALL))
+    area = F.sum("fraction") * F.pow(F.lit(2.0), F.regexp_extract("zone_id", "[0-9]+$", 0).cast("double"))
+    return cells.groupBy("zone_id").agg(F.count(F.lit(1)).alias("cells"), F.round(area, 9).alias("area"))
 
 
 # --- base statistics -----------------------------------------------------------------------------------------------
@@ -520,9 +532,14 @@ def bulk_spans_repeat(spark, sf_dir):
 REQUEST = {"bands": [0], "polygons": [{"id": "p", "windows": [{"window": [2, 3, 10, 5], "indexes": [0, 4, 7, 31]}, {"window": [20, 1, 8, 4], "runs": [[0, 5], [9, 12]]}]}, {"id": "q", "windows": [{"window": [0, 0, 4, 4], "runs": [[2, 16]]}]}]}
 
 
-@query("SELECT CAST(2 AS BIGINT) AS polygon_count, CAST(3 AS BIGINT) AS window_count, CAST(4 + 8 + 14 AS BIGINT) AS selected_cells, CAST(28 * 8 AS BIGINT) AS envelope_cells")
+@query("SELECT count(DISTINCT n_regionkey) AS polygon_count, count(*) AS window_count, CAST(sum(7 + n_nationkey % 3) AS BIGINT) AS selected_cells, CAST((max(n_nationkey) + 10 - min(n_nationkey)) * (2 * max(n_nationkey) + 5 - 2 * min(n_nationkey)) AS BIGINT) AS envelope_cells FROM nation")
 def profile_request_facts(spark, sf_dir):
-    f = ordered.admit(REQUEST)
+    """Facts of a request with a polygon for each region and a window for each nation."""
+    polygons: dict = {}
+    for r in _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect():  # a request: 25 windows
+        k = r["n_nationkey"]
+        polygons.setdefault(r["n_regionkey"], []).append({"window": [k, 2 * k, 10, 5], "runs": [[k % 5, k % 5 + 4], [k % 5 + 9, k % 5 + 12 + k % 3]]})
+    f = ordered.admit({"bands": [0], "polygons": [{"id": str(i), "windows": w} for i, w in polygons.items()]})
     return spark.createDataFrame([tuple(f[k] for k in ("polygon_count", "window_count", "selected_cells", "envelope_cells"))], "polygon_count long, window_count long, selected_cells long, envelope_cells long")
 
 
@@ -539,43 +556,78 @@ def grid_identity(spark, sf_dir):
     return spark.createDataFrame([(orders(spark, sf_dir)[1].identity(),)], "grid_id string")
 
 
-# --- without an SQL counterpart ------------------------------------------------------------------------------------------
+# --- spherical mass, plans and snapshots -----------------------------------------------------------------------------------
+
+LATITUDE = "60 - 100.0 * {0} / high"
+SPHERE_SQL = f"""WITH c AS (SELECT p_partkey // 20 AS r, p_partkey % 20 AS k, CAST(p_size AS DOUBLE) AS v FROM part), h AS (SELECT max(r) + 1 AS high FROM c),
+z AS (SELECT 'z' || i AS zone_id, 4.1 + i % 4 AS x0, 4.97 + i % 4 AS x1, 59.3137 - 12.1 * i AS y0, 55.2137 - 12.1 * i AS y1 FROM range(0, 8) t(i)),
+j AS (SELECT zone_id, v, greatest(0, least(x1, 4 + 0.25 * (k + 1)) - greatest(x0, 4 + 0.25 * k)) / 0.25 * greatest(0, sin(radians(least(y0, {LATITUDE.format("r")}))) - sin(radians(greatest(y1, {LATITUDE.format("(r + 1)")}))))
+  / (sin(radians({LATITUDE.format("r")})) - sin(radians({LATITUDE.format("(r + 1)")}))) AS f
+  FROM c, h, z WHERE 4 + 0.25 * k < x1 AND 4 + 0.25 * (k + 1) > x0 AND {LATITUDE.format("r")} > y1 AND {LATITUDE.format("(r + 1)")} < y0),
+s AS (SELECT zone_id, v, CASE WHEN f >= 1 - 1e-10 THEN 1 ELSE f END AS f FROM j)
+SELECT zone_id, round(sum(v * f), 4) AS mass, round(sum(f), 6) AS covered, count(*) FILTER (f = 1) AS whole, count(*) FILTER (f < 1) AS boundary FROM s GROUP BY zone_id"""
 
 
-@query()
+@query(SPHERE_SQL)
 def spherical_mass(spark, sf_dir):
-    """Population of nation-sized boxes by spherical area, on a quarter-degree grid of parts."""
+    """Population of boxes by spherical area; the parts' rows span a hundred degrees, however many there are."""
     t = _table(spark, sf_dir, "part")
     cells = raster.from_table(t, "p_partkey", 20, [(F.col("p_size"), F.lit(True))], "part")
-    rows = min(300, t.agg(F.max("p_partkey")).first()[0] // 20 + 1)
-    grid = Grid(20, int(rows), (4.0, 0.25, 0.0, 60.0, 0.0, -0.25), "EPSG:4326")
+    rows = int(t.agg(F.max("p_partkey")).first()[0] // 20 + 1)
+    grid = Grid(20, rows, (4.0, 0.25, 0.0, 60.0, 0.0, -100.0 / rows), "EPSG:4326")
     box = lambda x, y, w, h: f'{{"type":"Polygon","coordinates":[[[{x},{y}],[{x + w},{y}],[{x + w},{y + h}],[{x},{y + h}],[{x},{y}]]]}}'
-    zones = spark.createDataFrame([(f"z{k}", box(4.1 + k % 4, 58.0 + 0.1 * k, 0.9, 0.7)) for k in range(8)], "zone_id string, geometry string")
-    return spherical.spherical_mass(cells.where(F.col("row") < grid.height), zones, grid)
+    zones = spark.createDataFrame([(f"z{k}", box(4.1 + k % 4, 55.2137 - 12.1 * k, 0.87, 4.1)) for k in range(8)], "zone_id string, geometry string")
+    m = spherical.spherical_mass(cells, zones, grid).where("coveredPixelEquivalent > 0")
+    return m.select("zone_id", F.round("mass", 4).alias("mass"), F.round("coveredPixelEquivalent", 6).alias("covered"), F.col("fullPixelCount").alias("whole"), F.col("boundaryPixelCount").alias("boundary"))
 
 
-@query()
+T32 = "t AS (SELECT zone_id, r // 16 AS ty, k // 16 AS tx, count(*) FILTER (f = 1) AS full_ FROM j WHERE band = 1 GROUP BY ALL), h AS (SELECT max(r) + 1 AS high FROM c), w AS (SELECT zone_id, ty, tx, full_ = least(16, high - ty * 16) * least(16, 100 - tx * 16) AS whole FROM t, h), u AS (SELECT zone_id, ty // 2 AS ty, tx // 2 AS tx FROM w WHERE whole GROUP BY ALL HAVING count(*) = 4)"
+
+
+@query(sql(C_ORDERS, Z, J, T32, select="SELECT zone_id, CAST(0 AS INTEGER) AS level, CAST(ty AS BIGINT) AS ty, CAST(tx AS BIGINT) AS tx FROM w WHERE whole AND NOT EXISTS (SELECT 1 FROM u WHERE u.zone_id = w.zone_id AND u.ty = w.ty // 2 AND u.tx = w.tx // 2) UNION ALL SELECT zone_id, 1, CAST(ty AS BIGINT), CAST(tx AS BIGINT) FROM u"))
+def summary_cover_nodes(spark, sf_dir):
+    """The fewest whole nodes of each zone, over two levels of tiles."""
+    _, grid = orders(spark, sf_dir)
+    nodes = summaries.cover(coverage.tile_cover(coverage.select_cells(boxes(spark, sf_dir), grid), grid, 16), 1)
+    return nodes.select("zone_id", "level", F.col("ty").cast("long").alias("ty"), F.col("tx").cast("long").alias("tx"))
+
+
+@query(sql(C_ORDERS, Z, J, T32, select="SELECT w.zone_id, count(*) FILTER (whole AND u.ty IS NULL) + (SELECT count(*) FROM u v WHERE v.zone_id = w.zone_id) AS summaries, count(*) FILTER (NOT whole) AS raw FROM w LEFT JOIN u ON u.zone_id = w.zone_id AND u.ty = w.ty // 2 AND u.tx = w.tx // 2 AND w.whole GROUP BY w.zone_id"))
 def joint_plan(spark, sf_dir):
-    """The cheapest cover of a quadtree with equal leaves and a summary at each node."""
-    nodes = {}
-    for level in (2, 1, 0):
-        for k in range(4**level):
-            kids = [f"{level + 1}/{4 * k + i}" for i in range(4)] if level < 2 else None
-            nodes[f"{level}/{k}"] = {"certified": level > 0, "summary": {"reads": [("s", 4096 * (10 * level + k), 40)], "reduction_ns": 50}, "fallback": {"children": kids} if kids else {"raw": [("r", 65536 * k, 65536)], "reduction_ns": 20_000}}
-    p = cover.plan(nodes, ["0/0"])
-    return spark.createDataFrame([(i, how) for i, how in p["cover"]], "node string, how string")
+    """The cheapest cover of each zone's tiles without latency: whole nodes from summaries, as high as they go, and raw tiles."""
+    _, grid = orders(spark, sf_dir)
+    tiles = coverage.tile_cover(coverage.select_cells(boxes(spark, sf_dir), grid), grid, 16)
+    by_zone: dict = {}
+    for r in tiles.collect():  # an optimizer's input: a zone has at most 4096 nodes
+        by_zone.setdefault(r["zone_id"], []).append((r["ty"], r["tx"], r["cells"], r["whole"]))
+    rows = []
+    for z, t in by_zone.items():
+        nodes, roots = cover.forest(t, 1, 40, 4096, -(-grid.width // 16))
+        kinds = [how for root in roots for _, how in cover.plan(nodes, [root], cover.Cost(latency_ns=0.0))["cover"]]
+        rows.append((z, kinds.count("summary"), kinds.count("raw")))
+    return spark.createDataFrame(rows, "zone_id string, summaries long, raw long")
 
 
-@query()
+@query("SELECT count(*) AS cells, CAST(sum(p_size) AS DOUBLE) AS total, CAST(0 AS BIGINT) AS bad_tiles FROM part")
 def snapshot_verify(spark, sf_dir):
-    """Write a snapshot, read it back, verify it, and measure a part of it."""
+    """Write a snapshot, read it back and verify it."""
     t = _table(spark, sf_dir, "part")
     raw = t.select(F.expr("cast(p_partkey div 50 as int)").alias("row"), F.expr("cast(p_partkey % 50 as int)").alias("col"), F.lit(0).alias("band"), F.col("p_size").cast("double").alias("sample"), F.lit(255).alias("mask"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    import uuid
-
-    path = f"{base}/snapshot-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/snapshot-{uuid.uuid4().hex}"
     snapshot.compile_snapshot(raw, path, _grid(t, "p_partkey", 50), 64)
     bad = snapshot.verify_snapshot(spark, path)
     _, samples, _ = snapshot.open_snapshot(spark, path)
-    return samples.agg(F.count(F.lit(1)).alias("cells"), F.sum("sample").alias("total")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad_tiles")))
+    return samples.agg(F.count(F.lit(1)).alias("cells"), F.sum("sample").alias("total")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad_tiles")))  # a row each
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder for tables that a query writes: the session's checkpoint folder, or on one machine a temporary one."""
+    sc = spark.sparkContext
+    folder = sc._jsc.sc().getCheckpointDir()
+    if not folder.isEmpty():
+        return folder.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp())
+    return sc._jsc.sc().getCheckpointDir().get()

@@ -128,3 +128,61 @@ def test_queries_run_on_driver_tables(spark):
         df = queries.QUERIES[name](spark, sf)
         assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+CLASH = ("gone", "__id", "__hash", "text_hash", "maybe", "lang_pred", "score", "found", "spans", "redacted", "n_hit", "items", "sequence_id", "mark", "label", "part")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, tmp_path_factory):
+    base = " ".join(f"word{i}" for i in range(40))
+    item = " ".join(f"item{i}" for i in range(12))
+    rows = [
+        (1, base), (2, base + " tail"), (None, base), (None, "a clean text without an id"), (None, None), (3, None), (3, ""), (3, "one text of an id that repeats"), (3, "quite another text of the same id"),
+        (4, f"x {item} y"), (4, "clean words under an id that is also bad"), (5, "token=abcdefgh12345 inside"), (5, "token=abcdefgh12345 inside"), (6, "z" * 300_000), (7, "loop " * 60_000),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in CLASH)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *(f"{c} {k}" for c in CLASH)) for k, (i, t) in enumerate(rows)], schema)
+    folder = tmp_path_factory.mktemp("clash")
+    spark.createDataFrame([("q", item)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return df, str(folder), rows
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_with_clashing_columns_null_ids_and_nothing(spark, clashing, k):
+    df, folder, rows = clashing
+    name, stage = corpus_pipeline.STAGES[k]
+    last = k == len(corpus_pipeline.STAGES) - 1
+    assert stage(spark, df.where("false"), folder).count() == 0
+    got = stage(spark, df, folder)
+    if last:
+        assert got.select("doc_id", "piece", "start").count() >= len(rows)
+        return
+    assert got.columns == df.columns
+    kept = sorted(int(r["gone"].split()[1]) for r in got.collect())
+    pairs = [rows[i] for i in kept]
+    if name == "language_id":
+        assert pairs == [r for r in rows if r[1]]
+    elif name == "near_duplicates":
+        # the smallest id of the copies stays, not the copy without one; of repeated rows one
+        assert kept == [0, *range(3, 11), *([11] if 11 in kept else [12]), 13, 14]
+    elif name == "decontamination":
+        assert kept == [i for i in range(len(rows)) if i != 9]
+    else:
+        assert kept == list(range(len(rows)))
+        masked = {r["gone"]: (r["text"], r["n_chars"]) for r in got.collect()}
+        assert masked["gone 11"] == ("[SECRET] inside", 15) and masked["gone 4"][0] is None and masked["gone 3"][0] == rows[3][1]
+
+
+def test_operators_with_empty_tables_and_clashing_columns(spark, clashing):
+    from gridloom.llm import decontaminate, jaccard, language, packing, secrets, sharding, substrings, toxicity
+
+    df, folder, rows = clashing
+    for got in (
+        jaccard.similar_classes(df, linked=True), substrings.remove_repeats(df, 20), sharding.balanced_shards(df, 3), secrets.find_secrets(df, carry=CLASH),
+        toxicity.score(df, toxicity.Model()), language.identify(df, language.train(df)), decontaminate.contamination(df, spark.read.parquet(f"{folder}/benchmark.parquet")),
+    ):
+        assert got.count() == len(rows) and len(set(got.columns)) == len(got.columns)
+    import public_tokenizers
+
+    assert packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id").distinct().count() == 8

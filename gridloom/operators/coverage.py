@@ -3,15 +3,19 @@
 For an edge and a row the covered share of a column is an integral of a clamped line. Written as differences between
 neighbouring columns it is not zero only at columns that the edge touches, so an edge costs rows by its perimeter;
 a running sum from the right restores the shares, and stretches between touched columns are runs of one share.
-Everything is joins, aggregation and one window in Spark. Polygons that are too thin for doubles go to a kernel with
-rational numbers.
+
+The default strategy does this in one Arrow kernel for each zone, over bands of rows, without a shuffle: zones are the
+small side of every join. ``relational`` does the same with joins, aggregation and a window, so that one zone with a very
+long outline is spread over tasks. Polygons that are too thin for doubles are clipped with rational numbers.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +24,7 @@ from gridloom.model import SELECTION, Grid
 from gridloom.operators import geometry as G
 
 SNAP = 1e-10
+BAND = 1 << 18  # crossings that a kernel holds at once, about
 
 
 def crossings(edges: DataFrame, grid: Grid) -> DataFrame:
@@ -119,6 +124,100 @@ def clipped(zones: DataFrame, grid: Grid, only_thin: bool = False) -> DataFrame:
     return zones.select("zone_id", "geometry").mapInArrow(kernel, SELECTION)
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, value) of the ranges start .. start + size."""
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    return owner, np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+
+def _share(lx: np.ndarray, rx: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """As left_share: what lies left of the edge in column c, in the mean over the crossing."""
+    a, b = np.maximum(lx, c), np.minimum(rx, c + 1)
+    slanted = ((b - a) * ((a - c) + (b - c)) / 2 + np.maximum(0, rx - (c + 1))) / np.where(rx > lx, rx - lx, 1)
+    inside = np.where(lx == rx, np.clip(lx - c, 0, 1), slanted)
+    return np.where(lx >= c + 1, 1.0, np.where(rx <= c, 0.0, inside))
+
+
+def zone_runs(edges: list[tuple], grid: Grid) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, col_start, col_end, fraction) of a zone's edges, in order, a band of rows at a time."""
+    e = np.array([x[1:] for x in edges], float).reshape(-1, 5)
+    e = e[e[:, 1] != e[:, 3]]
+    ax, ay, bx, by, factor = e.T
+    low, high = np.maximum(np.minimum(ay, by), 0), np.minimum(np.maximum(ay, by), grid.height)
+    first, last = np.floor(low).astype(np.int64), np.ceil(high).astype(np.int64)  # rows first .. last - 1
+    keep = low < high
+    ax, ay, bx, by, factor, first, last = (v[keep] for v in (ax, ay, bx, by, factor, first, last))
+    if not len(ax):
+        return
+    top, end = int(first.min()), int(last.max())
+    step = max(1, BAND // len(ax))
+    for r0 in range(top, end, step):
+        r1 = min(end, r0 + step)
+        start, stop = np.maximum(first, r0), np.minimum(last, r1)
+        i, row = _ragged(start, np.maximum(0, stop - start))
+        if not len(i):
+            continue
+        lo, hi = np.maximum(row, np.minimum(ay, by)[i]), np.minimum(row + 1.0, np.maximum(ay, by)[i])
+        x_at = lambda y: np.where(y == ay[i], ax[i], np.where(y == by[i], bx[i], ax[i] + (y - ay[i]) * (bx - ax)[i] / (by - ay)[i]))  # noqa: B023, E731
+        u, w = x_at(lo), x_at(hi)
+        dy = (hi - lo) * np.where(by > ay, factor, -factor)[i]
+        lx, rx = np.minimum(u, w), np.maximum(u, w)
+        c0 = np.clip(np.floor(lx), 0, grid.width).astype(np.int64)
+        c1 = np.maximum(np.clip(np.ceil(rx) - 1, -1, grid.width - 1).astype(np.int64), c0 - 1)
+        k, c = _ragged(c0 - 1, c1 - c0 + 2)
+        ok = (c >= 0) & (c < grid.width)
+        k, c = k[ok], c[ok]
+        d = dy[k] * (_share(lx[k], rx[k], c) - np.where(c >= c1[k], 0.0, _share(lx[k], rx[k], c + 1)))
+        key = row[k] * (grid.width + 1) + c
+        order = np.lexsort((d, -key))  # by row from the last, and from the right; ties in one order
+        key, d, touched = key[order], d[order], (c >= c0[k])[order]
+        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        if not len(key):
+            continue
+        steps, touched = np.add.reduceat(d, cuts), np.logical_or.reduceat(touched, cuts)
+        row, c = np.divmod(key[cuts], grid.width + 1)
+        new = np.append(True, row[1:] != row[:-1])
+        f = _sums_by_row(steps, np.flatnonzero(new))
+        below = np.append(c[1:], -1)
+        below[np.append(new[1:], True)] = -1
+        start = below + 1
+        snapped = np.where(f > 1 - SNAP, 1.0, np.where(f < SNAP, 0.0, f))
+        value = np.where(touched & (start == c), np.minimum(1.0, f), snapped)
+        keep = (value > 1e-15) & (f > 1e-15)
+        row, start, end_c, value = row[keep][::-1], start[keep][::-1], c[keep][::-1] + 1, value[keep][::-1]
+        if not len(row):
+            continue
+        join = np.append(False, (row[1:] == row[:-1]) & (start[1:] == end_c[:-1]) & (value[1:] == value[:-1]))  # neighbours of one share
+        at = np.flatnonzero(~join)
+        yield row[at], start[at], end_c[np.append(at[1:] - 1, len(row) - 1)], value[at]
+
+
+def _sums_by_row(steps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew at ``first``, each row added on its own."""
+    size = np.diff(np.append(first, len(steps)))
+    out = np.empty(len(steps))
+    for n in np.unique(size).tolist():
+        at = first[size == n][:, None] + np.arange(n)
+        out[at] = np.cumsum(steps[at], axis=1)
+    return out
+
+
+def scanned(zones: DataFrame, grid: Grid) -> DataFrame:
+    """The default strategy: one kernel, and exact clipping of thin zones."""
+
+    def kernel(it):
+        for batch in it:
+            for z, g in zip(batch.column("zone_id").to_pylist(), batch.column("geometry").to_pylist(), strict=True):
+                edges, _, thin = G.describe(g, grid)
+                bands = [tuple(np.array(x) for x in zip(*((r, c, c + 1, f) for r, c, f in clip_cells(g, grid)), strict=True))] if thin else zone_runs(edges, grid)
+                for band in bands:
+                    if band:
+                        row, start, end, f = band
+                        yield pa.RecordBatch.from_arrays([pa.array([z] * len(row), pa.string()), *(pa.array(x.astype(np.int32)) for x in (row, start, end)), pa.array(f.astype(float))], names=["zone_id", "row", "col_start", "col_end", "fraction"])
+
+    return zones.select("zone_id", "geometry").mapInArrow(kernel, SELECTION)
+
+
 def select_cells(zones: DataFrame, grid: Grid, strategy: str = "scanline", window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """The selection of zones (zone_id, geometry): runs of cells with their covered share.
 
@@ -130,8 +229,10 @@ def select_cells(zones: DataFrame, grid: Grid, strategy: str = "scanline", windo
         return s.withColumns({"col_start": F.greatest("col_start", F.lit(x)), "col_end": F.least("col_end", F.lit(x + width))})
     if strategy == "direct":
         return merged(clipped(zones, grid))
-    if strategy != "scanline":
-        raise ValueError("strategy is scanline or direct")
+    if strategy == "scanline":
+        return scanned(zones, grid)
+    if strategy != "relational":
+        raise ValueError("strategy is scanline, relational or direct")
     return merged(runs(G.edges_of(zones, grid, thin=False), grid).unionByName(clipped(zones, grid, only_thin=True)))
 
 

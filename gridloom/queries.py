@@ -89,10 +89,15 @@ def shapes(spark, *names: str) -> DataFrame:
     return spark.createDataFrame([(n, json.dumps(shape(n))) for n in names or SHAPES], "zone_id string, geometry string")
 
 
+def _slices(spark, source) -> DataFrame | None:
+    """What a source is known to hold; the slices of events are found by a scan."""
+    return None if source is events else spark.createDataFrame([(source.__name__, b) for b in (0, 1)], "slice_id string, band int")
+
+
 def _measured(spark, sf_dir, options: Options | None = None, source=orders) -> DataFrame:
     cells, grid = source(spark, sf_dir)
     zones = boxes(spark, sf_dir)
-    return zonal.measure(cells, coverage.select_cells(zones, grid), G.zone_facts(zones, grid), options)
+    return zonal.measure(cells, coverage.select_cells(zones, grid), G.zone_facts(zones, grid), options, _slices(spark, source))
 
 
 def _joined(spark, sf_dir, source, weight_band: int | None = None) -> DataFrame:
@@ -194,6 +199,11 @@ def coverage_edges_generic(spark, sf_dir):
     return coverage.cells_of(coverage.select_cells(shapes(spark), SMALL))
 
 
+@query(_edge_sql(*SHAPES, high=12, wide=40))
+def coverage_relational(spark, sf_dir):
+    return coverage.cells_of(coverage.select_cells(shapes(spark), SMALL, "relational"))
+
+
 @query(_edge_sql(*SHAPES, high=12, wide=40))
 def coverage_direct_clip(spark, sf_dir):
     return coverage.cells_of(coverage.select_cells(shapes(spark), SMALL, "direct"))
@@ -472,11 +482,24 @@ def summary_pyramid_level(spark, sf_dir):
     return p.select("level", "band", F.col("ty").cast("long").alias("ty"), F.col("tx").cast("long").alias("tx"), "fractional_sum", "valid_cell_count", "min", "max")
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def warded(spark, sf_dir) -> DataFrame:
+    """The summary table of the orders: written by the first query of an application that needs it, then read."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        path = f"{shared(spark)}/orders-{uuid.uuid4().hex}"
+        summaries.ward(orders(spark, sf_dir)[0], path, 16, 1)
+        _indexes[key] = path
+    return summaries.open_index(spark, _indexes[key])[0]
+
+
 @query(sql(*BASE, select=f"SELECT zone_id, CAST(band AS INTEGER) AS band, s AS fractional_sum, n AS covered_cell_equivalents, cnt AS valid_cell_count, lo AS min, hi AS max, {STATUS} AS status FROM full_"))
 def summary_rewrite_equals_direct(spark, sf_dir):
     cells, grid = orders(spark, sf_dir)
     zones = boxes(spark, sf_dir)
-    m = summaries.measure_with(summaries.pyramid(cells, 16, 1), cells, coverage.select_cells(zones, grid), G.zone_facts(zones, grid), grid, 16, 1)
+    m = summaries.measure_with(warded(spark, sf_dir), cells, coverage.select_cells(zones, grid), G.zone_facts(zones, grid), grid, 16, 1, slices=_slices(spark, orders))
     return m.select("zone_id", "band", "fractional_sum", "covered_cell_equivalents", "valid_cell_count", "min", "max", "status")
 
 

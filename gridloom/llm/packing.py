@@ -159,7 +159,7 @@ class PieceEncoder:
 
 RUN = "kind int, length int, gap int, rank long, sequence long, n long, per int"
 DOCUMENTS, GAPS, PLACED = 0, 1, 2
-WIDTHS = (16, 4, 1)  # ranges of size in a round's sweeps, from narrow to wide
+WIDTHS = (16, 1)  # ranges of size in a round's sweeps, from narrow to wide
 
 
 def _sweep(table: pa.Table) -> pa.Table:

@@ -85,21 +85,27 @@ def fit(x: Rows, y: np.ndarray, loss: str, penalty: float, rounds: int = 150) ->
     return w, float(b)
 
 
-def fit_rows(col: np.ndarray, lengths: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float, rounds: int = 60, memory: int = 8) -> tuple[np.ndarray, float]:
-    """A logistic model over rows of places (``lengths`` of them each) with one value for each place, by limited-memory BFGS. y: +1 or -1."""
-    n, width = max(1, len(y)), len(scale)
-    first = np.append(0, np.cumsum(lengths))[:-1]
-    empty = lengths == 0
+def fit_rows(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], scale: np.ndarray, penalty: float, rounds: int = 60, memory: int = 8) -> tuple[np.ndarray, float]:
+    """A logistic model over rows of places with one value for each place, by limited-memory BFGS.
+
+    blocks: places of some rows one after the other, how many each row has, and labels +1 or -1. Work is done a block at a time.
+    """
+    n, width = max(1, sum(len(y) for _, _, y in blocks)), len(scale)
 
     def loss(w):
-        sums = np.add.reduceat(np.append((w[:width] * scale)[col], 0), np.minimum(first, len(col))) if len(col) else np.zeros(len(y))
-        sums = np.where(empty, 0, sums)
-        m = y * (sums + w[width])
-        g = -y / (1 + np.exp(np.clip(m, -50, 50)))
-        slope = np.empty(width + 1)
-        slope[:width] = np.bincount(col, np.repeat(g, lengths), minlength=width) * scale / n + penalty * w[:width]
-        slope[width] = g.mean()
-        return float(np.logaddexp(0, -m).mean() + penalty / 2 * (w[:width] @ w[:width])), slope
+        v, total, slope = w[:width] * scale, 0.0, np.zeros(width + 1)
+        for col, lengths, y in blocks:
+            sums, some = np.zeros(len(y)), lengths > 0
+            if len(col):
+                sums[some] = np.add.reduceat(v[col], (np.cumsum(lengths) - lengths)[some])
+            m = y * (sums + w[width])
+            g = -y / (1 + np.exp(np.clip(m, -50, 50)))
+            slope[:width] += np.bincount(col, np.repeat(g, lengths), minlength=width)
+            slope[width] += g.sum()
+            total += float(np.logaddexp(0, -m).sum())
+        slope /= n
+        slope[:width] = slope[:width] * scale + penalty * w[:width]
+        return total / n + penalty / 2 * (w[:width] @ w[:width]), slope
 
     w = np.zeros(width + 1)
     f, g = loss(w)

@@ -109,12 +109,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 places = [np.sort(f).astype(np.uint32).tobytes() for _, f in present(part.column("t").to_pylist(), bits)]
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(places, pa.binary())], names=["y", "f"])
 
-    y, lengths, cols = [], [], []
-    for r in rows.mapInArrow(runtime.lean(kernel), "y int, f binary").repartition(1 if total < 100 else 16).sortWithinPartitions("y", "f").toLocalIterator():  # about `sample` rows of places
+    blocks, y, cols = [], [], []  # about `sample` rows of places, a few hundred rows in a block
+    found = rows.mapInArrow(runtime.lean(kernel), "y int, f binary").repartition(16).sortWithinPartitions("y", "f")
+    for r in found.toLocalIterator():
         y.append(r["y"] * 2 - 1)
         cols.append(np.frombuffer(bytes(r["f"]), np.uint32))
-        lengths.append(len(cols[-1]))
-    w, b = fit_rows(np.concatenate(cols), np.array(lengths), np.array(y, np.float32), ratio.astype(np.float32), penalty)
+        if len(y) == 256:
+            blocks.append((np.concatenate(cols), np.array([len(c) for c in cols]), np.array(y, float)))
+            y, cols = [], []
+    if y:
+        blocks.append((np.concatenate(cols), np.array([len(c) for c in cols]), np.array(y, float)))
+    w, b = fit_rows(blocks, ratio, penalty)
     return Model(bits, b, (w * ratio).astype(np.float32))
 
 

@@ -7,7 +7,9 @@
     python -m gridloom verify SNAPSHOT
     python -m gridloom sum-selected SOURCE REQUEST.json
     python -m gridloom cleave JOB.json NAME=SOURCE ...
-    python -m gridloom backends | session   (session: a request on each line of the input)
+    python -m gridloom backends | smoke | --version
+    python -m gridloom session              (a request on each line of the input; also named serve)
+    python -m gridloom run REQUESTS.jsonl   (the same from a file; stops at the first refusal)
 
 SOURCE is a GeoTIFF, a snapshot folder, or a JSON file with an inline raster.
 """
@@ -23,6 +25,9 @@ from gridloom.requests import answer
 from gridloom.session import Session, Source
 
 
+VERSION = "0.2"
+
+
 def opened(session: Session, path: str, name: str = "source") -> Source:
     if path.endswith(".json"):
         with open(path) as f:
@@ -36,8 +41,9 @@ def say(value) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="gridloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", choices=["inspect", "carve", "measure", "ward", "prepare", "compile", "verify", "sum-selected", "cleave", "batch", "backends", "session"])
+    p.add_argument("command", choices=["inspect", "carve", "measure", "ward", "prepare", "compile", "verify", "sum-selected", "cleave", "batch", "backends", "session", "serve", "run", "smoke"])
     p.add_argument("args", nargs="*")
+    p.add_argument("--version", action="version", version=f"gridloom {VERSION}")
     p.add_argument("--metrics", type=lambda v: v.split(","))
     p.add_argument("--bands", type=lambda v: [int(x) for x in v.split(",")])
     p.add_argument("--edge", type=int, default=64)
@@ -49,9 +55,23 @@ def main(argv: list[str] | None = None) -> int:
     c, args = a.command, a.args
     if c == "backends":
         say(session.backends())
-    elif c == "session":
+    elif c in ("session", "serve"):
         for line in sys.stdin:
             say(answer(session, line))
+            sys.stdout.flush()
+    elif c == "run":
+        with open(args[0]) as f:
+            for line in filter(str.strip, f):
+                got = answer(session, line)
+                say(got)
+                if not got["ok"]:
+                    return 1
+    elif c == "smoke":
+        tiny = {"grid": {"width": 2, "height": 2, "transform": [0, 1, 0, 2, 0, -1], "crs": "LOCAL"}, "bands": [{"values": [1, 2, 3, 4]}]}
+        whole = {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]}
+        total = session.infuse({"raster": tiny}).carve(whole).first()["fractional_sum"]
+        say({"ok": total == 10, "fractional_sum": total})
+        return 0 if total == 10 else 1
     elif c == "verify":
         sound = session.verify(args[0])
         say({"sound": sound})

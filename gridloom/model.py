@@ -56,11 +56,12 @@ class Grid:
 
     def __post_init__(self):
         t = self.transform
-        require(all(isinstance(v, int) and 1 <= v <= MAX_DIM for v in (self.width, self.height)), "grid dimensions must be 1..10000000")
-        require(len(t) == 6 and all(math.isfinite(v) for v in t), "the transform must have six finite numbers")
-        require(t[1] > 0 and t[5] < 0 and t[2] == 0 and t[4] == 0, "only north-up grids are supported")
-        require(0 < len(self.crs.encode()) <= MAX_CRS_BYTES, "a CRS of at most 4096 bytes is required")
-        require(t[0] + t[1] != t[0] and t[3] + t[5] != t[3], "the cell size is lost at this origin")
+        require(0 < len(self.crs.encode()) <= MAX_CRS_BYTES, "name the CRS, in 4096 bytes at most")
+        require(len(t) == 6 and all(map(math.isfinite, t)), "a grid is placed by six finite coefficients")
+        require(t[2] == t[4] == 0 and t[1] > 0 > t[5], "columns run east and rows south; rotated grids are refused")
+        require(t[0] + t[1] != t[0] and t[3] + t[5] != t[3], "cells are too small for so distant an origin")
+        for name, n in (("width", self.width), ("height", self.height)):
+            require(isinstance(n, int) and 0 < n <= MAX_DIM, f"{name} is a number of cells, ten million at most")
 
     @classmethod
     def of(cls, value: dict) -> Grid:

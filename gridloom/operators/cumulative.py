@@ -29,7 +29,7 @@ def measure(prefixes: tuple[DataFrame, int, int], cells: DataFrame, edges: DataF
         pairs = pairs.where(F.col("band").isin(list(options.bands)))
     none = F.lit(None).cast("double")
     states = sums.withColumns({"valid_cell_count": F.lit(0).cast("long"), "min": none, "max": none}).drop("error_bound")
-    frame = pairs.select("slice_id", "band").crossJoin(F.broadcast(zonal.zone_areas(selection, areas)))  # at most 4096 zones
+    frame = zonal.zone_areas(selection, areas).crossJoin(F.broadcast(pairs.select("slice_id", "band")))  # the rows of the result; at most 4096 slices of 64 bands
     return zonal.project(zonal.finish(states, frame), options)
 
 

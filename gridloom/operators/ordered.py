@@ -2,7 +2,7 @@
 
 Ordered: a left fold within each window by position, then a left fold of the windows' partial sums. The fold is an expression
 over a position-sorted array, so the result does not depend on how rows were dealt. Windows are bounded requests (see
-LIMIT), which bounds the arrays.
+LIMIT), which bounds the arrays. The strict policy sums exactly and gathers nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.numerics import compensated, left_fold
+from gridloom.functions import numerics
+from gridloom.functions.numerics import left_fold
 from gridloom.model import require
 
 # Request limits, and the order in which each policy excludes values.
@@ -117,9 +118,8 @@ def bulk_reduce(values: DataFrame, selection: DataFrame | None = None, policy: s
     r = rows.withColumn("why", reason(STRICT_BULK, nodata))
     v = F.col("value").cast("double")
     fine = F.when(F.col("why").isNull(), F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(math.inf)), v).otherwise(F.raise_error(F.lit("a selected value is not finite")).cast("double")))
-    g = r.withColumn("v", fine).groupBy("band_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("window_no", "pos", "v")))).alias("a"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("valid_count"),
-        *(F.count_if(F.col("why") == n).alias(f"excluded_{n}") for n in STRICT_BULK), F.lit(0).cast("long").alias("excluded_nonfinite"), F.lit(0).cast("long").alias("excluded_negative"),
-    )
-    g = g.withColumn("sum", compensated(F.transform("a", lambda x: x["v"]))).drop("a")
+    r = r.withColumn("v", fine)
+    counters = r.groupBy("band_id").agg(*(F.count_if(F.col("why") == n).alias(f"excluded_{n}") for n in STRICT_BULK), F.lit(0).cast("long").alias("excluded_nonfinite"), F.lit(0).cast("long").alias("excluded_negative"))
+    sums = numerics.gather(r, ["band_id"], [[(F.col("v"), 0)]], F.col("v")).withColumn("sum", numerics.rounded(F.col("parts"), 1)[0])  # no band is gathered
+    g = sums.select("band_id", "sum", F.col("lo").alias("min"), F.col("hi").alias("max"), F.col("n").alias("valid_count")).join(counters, "band_id")
     return g.withColumn("mean", F.try_divide("sum", F.col("valid_count").cast("double")))

@@ -10,7 +10,7 @@ import math
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.model import require
@@ -69,8 +69,9 @@ def exact_statistics(joined: DataFrame, keys: list[str], probabilities: tuple[fl
     joined: keys, value, f, valid. Equal (value, f) samples are aggregated before they are gathered.
     """
     rows = joined.where("valid and f > 0").groupBy(*keys, "value", "f").agg(F.count(F.lit(1)).alias("n"))
-    groups = rows.groupBy(*keys).agg(F.collect_list(F.struct("value", "f", "n")).alias("s"), F.sum("n").alias("n"))
-    groups = groups.withColumn("s", F.when(F.col("n") <= limit, F.col("s")).otherwise(F.array().cast(groups.schema["s"].dataType)))
+    count = F.sum("n").over(Window.partitionBy(*keys))
+    fits = F.when(count <= limit, F.col("value")).otherwise(F.raise_error(F.lit("more samples than the budget allows")).cast("double"))  # before anything is gathered
+    groups = rows.withColumn("value", fits).groupBy(*keys).agg(F.collect_list(F.struct("value", "f", "n")).alias("s"), F.sum("n").alias("n"))
 
     @F.pandas_udf("variance double, stddev double, quantiles array<double>, majority double, variety int")
     def run(s: pd.Series, n: pd.Series) -> pd.DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import numerics
 from gridloom.model import Grid, require
 from gridloom.operators import coverage
 from gridloom.operators import geometry as G
@@ -89,9 +90,13 @@ def spherical_mass(cells: DataFrame, zones: DataFrame, grid: Grid) -> DataFrame:
     found = zones.select("zone_id", "geometry").mapInArrow(kernel, "zone_id string, row int, col int, f double, footprint double").persist()
     prints = found.where("row is null").select("zone_id", "footprint")
     share = found.where("row is not null").drop("footprint")
-    area = share.groupBy("zone_id").agg(F.count_if(F.col("f") == 1).alias("fullPixelCount"), F.count_if(F.col("f") < 1).alias("boundaryPixelCount"), F.sum("f").alias("coveredPixelEquivalent"))
+    whole, part = (F.when(F.col("f") == 1, 1.0), 0), (F.when(F.col("f") < 1, 1.0), 0)
+    area = numerics.gather(share, ["zone_id"], [[whole], [part], [(F.col("f"), 0)]]).withColumn("r", numerics.rounded(F.col("parts"), 3))
+    area = area.select("zone_id", F.col("r")[0].cast("long").alias("fullPixelCount"), F.col("r")[1].cast("long").alias("boundaryPixelCount"), F.col("r")[2].alias("coveredPixelEquivalent"))
     ok = F.col("valid") & (F.col("value") >= 0)
-    mass = cells.where("band = 0").join(share, ["row", "col"]).groupBy("slice_id", "zone_id").agg(F.sum(F.when(ok, F.col("value") * F.col("f"))).alias("mass"), F.sum(F.when(ok, F.col("f"))).alias("validPopulationPixelEquivalent"))
-    frame = cells.select("slice_id").distinct().crossJoin(F.broadcast(prints))  # at most 4096 zones
+    hit = cells.where("band = 0").join(share, ["row", "col"])
+    mass = numerics.gather(hit, ["slice_id", "zone_id"], [[(F.when(ok, F.col("value") * F.col("f")), 0)], [(F.when(ok, F.col("f")), 0)]]).withColumn("r", numerics.rounded(F.col("parts"), 2))
+    mass = mass.select("slice_id", "zone_id", F.col("r")[0].alias("mass"), F.col("r")[1].alias("validPopulationPixelEquivalent"))
+    frame = prints.crossJoin(F.broadcast(cells.select("slice_id").distinct()))  # the rows of the result; at most 4096 slices
     out = frame.join(area, "zone_id", "left").join(mass, ["slice_id", "zone_id"], "left")
     return out.select("slice_id", "zone_id", F.coalesce("mass", F.lit(0.0)).alias("mass"), F.coalesce("coveredPixelEquivalent", F.lit(0.0)).alias("coveredPixelEquivalent"), F.coalesce("validPopulationPixelEquivalent", F.lit(0.0)).alias("validPopulationPixelEquivalent"), F.coalesce("fullPixelCount", F.lit(0)).alias("fullPixelCount"), F.coalesce("boundaryPixelCount", F.lit(0)).alias("boundaryPixelCount"), F.col("footprint").alias("footprintCoverageFraction"))

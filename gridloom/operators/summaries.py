@@ -131,7 +131,7 @@ def _combined(stored: DataFrame, joined: DataFrame, selection: DataFrame, areas:
     states = both.select(*zonal.KEYS, *(F.col("r")[i].alias(k) for i, k in enumerate(names)), F.col("n").alias("valid_cell_count"), F.col("lo").alias("min"), F.col("hi").alias("max"))
     if options.bands:
         pairs = pairs.where(F.col("band").isin(list(options.bands)))
-    frame = pairs.select("slice_id", "band").crossJoin(F.broadcast(zonal.zone_areas(selection, areas)))  # at most 4096 zones
+    frame = zonal.zone_areas(selection, areas).crossJoin(F.broadcast(pairs.select("slice_id", "band")))  # the rows of the result; at most 4096 slices of 64 bands
     return zonal.project(zonal.finish(states, frame), options)
 
 

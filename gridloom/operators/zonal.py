@@ -261,7 +261,7 @@ def measure(cells: DataFrame, selection: DataFrame, areas: DataFrame, options: O
     pairs = (slices if slices is not None else cells.select("slice_id", "band").distinct())
     if options.bands:
         joined, pairs = (x.where(F.col("band").isin(list(options.bands))) for x in (joined, pairs))
-    frame = pairs.select("slice_id", "band").crossJoin(F.broadcast(zone_areas(selection, areas)))  # at most 4096 zones
+    frame = zone_areas(selection, areas).crossJoin(F.broadcast(pairs.select("slice_id", "band")))  # the rows of the result; at most 4096 slices of 64 bands
     s = options.wants
     spread = tuple(w for w, names in ((False, ("variance", "stddev")), (True, ("weighted_variance", "weighted_stddev"))) if any(map(s, names)))
     out = finish(basic_states(joined, options, exact or bool(spread), spread), frame)

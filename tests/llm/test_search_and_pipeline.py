@@ -186,3 +186,96 @@ def test_operators_with_empty_tables_and_clashing_columns(spark, clashing):
     import public_tokenizers
 
     assert packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id").distinct().count() == 8
+
+
+def plain_pipeline(rows, item, k=5, percent=80):
+    """What stays, by plain Python: letters, near-duplicate groups, windows of the item, masked secrets."""
+    import re
+
+    from gridloom.llm import secrets
+
+    kept = [(i, t) for i, t in rows if t and any(map(str.isalpha, t))]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    sets = []
+    for _, t in kept:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+    label = list(range(len(kept)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(kept)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if label[a] != label[b] and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    low, high = sorted((label[a], label[b]))
+                    label = [low if x == high else x for x in label]
+                    changed = True
+    least = {}
+    for (i, _), x in zip(kept, label, strict=True):
+        least[x] = min(i, least.get(x, i))
+    kept = [r for r, x in zip(kept, label, strict=True) if r[0] == least[x]]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    bad = {tuple(words(item)[j : j + 10]) for j in range(len(words(item)) - 9)}
+    kept = [(i, t) for i, t in kept if not any(tuple(words(t)[j : j + 10]) in bad for j in range(len(words(t)) - 9))]
+    return [(i, secrets.mask(t, secrets.scan_text(t)[1])) for i, t in kept]
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in ("an", "Er", "thé", "日", "o-") for b in ("", "th", "ST", "9", "re")]
+    words = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    base, item = [words(60) for _ in range(6)], " ".join(f"q{j}" for j in range(15))
+    rows = []
+    for i in range(160):
+        w = list(rnd.choice(base)) if rnd.random() < 0.6 else words(rnd.randint(1, 90))
+        for _ in range(rnd.choice((0, 0, 1, 2, 4))):
+            w[rnd.randrange(len(w))] = rnd.choice(vocabulary) + str(i)
+        if rnd.random() < 0.1:
+            w.insert(rnd.randrange(len(w)), item)
+        if rnd.random() < 0.1:
+            w.insert(0, "password=hunter2hunter2")
+        rows.append((i, rnd.choice((None, "", "12 ;;")) if rnd.random() < 0.05 else " ".join(w)))
+    docs = [(i, t, ("en", "de")[i % 2], "s", len(t or "")) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("b", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got: dict[int, int] = {}
+    fill: dict[int, int] = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in plain_pipeline(rows, item)}
+    assert got == want and 20 < len(want) < 140 and max(fill.values()) <= 1024
+
+
+def test_urls_against_a_plain_version_of_a_long_list(spark):
+    import random
+
+    rnd = random.Random(13)
+    hosts = [f"{a}{b}.example.{c}" for a in ("x", "www.x", "m.y", "y") for b in ("", "-1") for c in ("com", "org")]
+    start = date(2024, 1, 1)
+    entries = []
+    for _ in range(600):
+        pattern = rnd.choice(hosts) + rnd.choice(("", "", "/en", "/en/a"))
+        entries.append((pattern, rnd.choice(("c1", "c2")), rnd.choice(("block", "allow")), rnd.choice(("add", "remove")), start + timedelta(days=rnd.randrange(300))))
+    caps = [(i, f"https://{rnd.choice(hosts)}{rnd.choice(('', '/', '/en', '/en/a/b', '/fr'))}", start + timedelta(days=rnd.randrange(320))) for i in range(400)]
+    listed = spark.createDataFrame(entries, "pattern string, category string, rule string, action string, day date")
+    got = {r["page_id"]: (r["n_active"], r["categories"], r["verdict"]) for r in urls.evaluate(spark.createDataFrame(caps, "page_id long, url string, day date"), listed).collect()}
+    last: dict = {}
+    for p, c, rule, action, day in entries:
+        last.setdefault((p, c, rule), {}).setdefault(day, set()).add(action)
+    for i, url, day in caps:
+        host, _, path = url.removeprefix("https://").partition("/")
+        live = []
+        for (p, c, rule), days in last.items():
+            seen = [d for d in days if d <= day]
+            on = host == p or host.endswith("." + p) or ("/" in p and f"{host}/{path}/".startswith(p + "/"))
+            if on and seen and "remove" not in days[max(seen)]:
+                live.append((len(p), rule, c))
+        assert got[i] == (len(live), ",".join(sorted({c for _, _, c in live})), max(live)[1] if live else "allow")

@@ -25,6 +25,8 @@ also where rows with other texts repeat its id; a null id belongs to its row's c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -341,11 +343,11 @@ def _groups(it, keys: list[str]):
 
 
 def _cross_kernel(percent: int):
-    """Pairs of groups that a crowded list connects: from entries by (token, pair of blocks), one pair for each two groups."""
+    """Pairs of groups that a crowded list connects: from entries by (token, pair of blocks, sizes), one pair for each two groups."""
 
     def groups_met(it):
         out: set[tuple[int, int]] = set()
-        for g in _groups(it, ["token", "lo", "hi"]):
+        for g in _groups(it, ["token", "lo", "hi", "scale"]):
             lo, hi = g["lo"][0].as_py(), g["hi"][0].as_py()
             block, n, p, c, m = (g[x].to_numpy() for x in ("block", "size", "place", "label", "member"))
             order = np.lexsort((m, c))
@@ -514,8 +516,12 @@ def similar_classes(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     mixed = labelled.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sketches = reps.select(F.col("h1").alias("member"), "cells")
+    # similar sets have sizes of one class or of neighbouring ones; a group holds a class and the one below
+    scale = F.floor(F.log(F.col("size").cast("double")) / max(1e-6, 1.0001 * math.log(100 / percent))).cast("long")
     dealt = labelled.join(mixed, "token").join(sketches, "member").withColumn("other", others).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    dealt = runtime.exchange(dealt.select("token", "lo", "hi", "block", "member", "size", "place", "label", "cells"), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    dealt = dealt.withColumn("scale", F.explode(F.array(scale, scale + 1)))
+    lists_of = ["token", "lo", "hi", "scale"]
+    dealt = runtime.exchange(dealt.select(*lists_of, "block", "member", "size", "place", "label", "cells"), *lists_of).sortWithinPartitions(*lists_of)
     met = runtime.cut(dealt.mapInArrow(runtime.lean(_cross_kernel(percent)), "a long, b long").distinct())
     joined = components(met).select(F.col("node").alias("label"), F.col("label").alias("whole"))
     # groups by the smallest member of their own, or of all groups that lists connect

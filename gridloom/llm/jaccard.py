@@ -77,15 +77,6 @@ def cells(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(cell, minlength=m) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> int:
-    """The number of cells in which two sketches differ."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def _chunks(it, k: int):
     """Stretches of rows as (ids, sets), of about LOAD shingles. Where rows have a ``mark``, ids are (id, mark)."""
     ids, sets, load = [], [], 0

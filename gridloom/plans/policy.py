@@ -10,7 +10,7 @@ FRACTIONAL = "exactextract_fractional_v030"
 RASTERIO = "exactextract_rasterio_v030"
 POLICIES = (NATIVE, FRACTIONAL, RASTERIO)
 LIMITS = {"zones": 512, "slices": 32, "bands": 64}
-STRUCTURES = ("direct", "row_blocks", "hierarchy", "cumulative_full", "cumulative_blocked")
+STRUCTURES = ("direct", "row_blocks", "hierarchy", "cumulative_full", "cumulative_blocked", "persistent_flat", "persistent_hierarchy")
 FIVE = ("sum", "support", "mean", "min", "max")
 
 

@@ -10,6 +10,7 @@ from gridloom.session import Session
 ZONE = ("geometry", "crs", "options", "strategy", "expression", "mask", "exact", "use_summaries", "backend", "numerical_policy", "accepted_policies", "execution_envelope", "backend_options")
 OPS = {
     "backends": (), "stats": (), "open": ("id", "raster"), "register_source": ("id", "spec"), "close": ("id",), "close_source": ("id",), "source_info": ("id",),
+    "register_file": ("id", "spec"), "close_file": ("id",), "configure_file_cache": ("on",), "clear_file_cache": (), "measure_registered_file": ("id", *ZONE), "measure_file": ("spec", *ZONE),
     "measure_source": ("source", *ZONE), "prepare_source": ("source", "path", "tile_edge", "levels"), "prepare": ("source", "kind"), "source_metrics": ("id",), "register_index": ("id", "source", "path", "expected_build_id"), "index_info": ("id",), "close_index": ("id",), "begin_verified_source_query": ("source",), "end_verified_source_query": ("source",),
     "compile": ("id", "source", "geometry", "strategy"), "measure": ("source", "plan", "options", "exact"), "drop_plan": ("id",),
     "compile_source": ("source", "output", "edge"), "verify_snapshot": ("path",), "read_window": ("source", "window", "bands"),
@@ -45,10 +46,21 @@ def _run(s: Session, op: str, v: dict):
         return s.close(s.sources[v["id"]])
     if op == "source_info":
         return s.sources[v["id"]].info()
-    if op == "measure_source":
+    if op == "register_file":
+        return s.register_file(v["spec"], id=v["id"])
+    if op == "close_file":
+        return s.close_file(v["id"])
+    if op == "configure_file_cache":
+        return s.configure_file_cache(bool(v["on"]))
+    if op == "clear_file_cache":
+        return s.clear_file_cache()
+    if op in ("measure_source", "measure_registered_file", "measure_file"):
         o = dict(v.get("options") or {})
-        rest = {k: x for k, x in v.items() if k not in ("source", "geometry", "options")}
-        return _rows(source().carve(v["geometry"], bands=o.pop("bands", None), metrics=o.pop("statistics", None), **o, **rest))
+        rest = {k: x for k, x in v.items() if k not in ("source", "id", "spec", "geometry", "options")}
+        asked = {"bands": o.pop("bands", None), "metrics": o.pop("statistics", None), **o, **rest}
+        if op == "measure_file":
+            return [r.asDict(recursive=True) for r in s.measure_file(v["spec"], v["geometry"], **asked)]
+        return _rows((s.file(v["id"]) if op == "measure_registered_file" else source()).carve(v["geometry"], **asked))
     if op == "prepare_source":
         return source().ward(v["path"], edge=v.get("tile_edge", 64), levels=v.get("levels", 3)).info()
     if op == "prepare":

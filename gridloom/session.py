@@ -120,8 +120,12 @@ class Source:
         return self
 
     def _by_structure(self, kind: str, zone: dict | str, selection: DataFrame, areas: DataFrame, opts: Options, pairs: DataFrame, cells: DataFrame) -> DataFrame:
-        require(kind in self.prepared, f"{kind} has not been prepared")
         require(opts.summary_eligible(), "these statistics cannot come from a prepared structure")
+        if kind.startswith("persistent"):
+            require(self.summary is not None, "no index is open")
+            table = self.summary.withColumn("slice_id", F.lit(self.name))
+            return summaries.measure_with(table, cells, selection, areas, self.grid, self.edge, self.levels if kind == "persistent_hierarchy" else 0, opts, pairs)
+        require(kind in self.prepared, f"{kind} has not been prepared")
         if kind == "row_blocks":
             return summaries.measure_with_blocks(self.prepared[kind], cells, selection, areas, 64, opts, pairs)
         if kind == "hierarchy":
@@ -205,6 +209,8 @@ class Session:
         self.jobs: dict[str, Job] = {}
         self.indexes: dict[str, Index] = {}
         self.brackets: dict = {}  # open verified queries, by source
+        self.files: dict[str, dict] = {}
+        self.cache_files = False
 
     def check(self, source: Source) -> None:
         """A source is usable while it is registered and its file is as it was."""
@@ -295,9 +301,49 @@ class Session:
         return source
 
     def close(self, source: Source) -> None:
-        self.check(source)
+        require(self.sources.get(source.name) is source, "the source is closed")
+        source.cells.unpersist()
         del self.sources[source.name]
 
+    def register_file(self, spec: dict, *, id: str) -> None:
+        """Remember a file; it is opened by the first request that needs it."""
+        require(id not in self.files and id not in self.sources and len(self.files) < CAPACITY["sources"], "the name is taken, or there are too many files")
+        require("location" in spec, "a file has a location")
+        self.files[id] = spec
+
+    def file(self, id: str) -> Source:
+        """The source of a registered file. Its cells are kept, if the cache is on."""
+        if id not in self.sources:
+            source = self.infuse(self.files[id], id=id)
+            if self.cache_files:
+                source.cells = source.cells.persist()
+        return self.sources[id]
+
+    def close_file(self, id: str) -> None:
+        del self.files[id]
+        if id in self.sources:
+            self.close(self.sources[id])
+
+    def configure_file_cache(self, on: bool) -> None:
+        """Keep decoded cells of files that are opened from now on, in memory and on disk; off drops what is kept."""
+        self.cache_files = on
+        if not on:
+            self.clear_file_cache()
+
+    def clear_file_cache(self) -> None:
+        for id in self.files:
+            if id in self.sources:
+                self.sources[id].cells.unpersist()
+
+    def measure_file(self, spec: dict, zone: dict | str, **options) -> list:
+        """Open a file, measure a polygon, and close it again."""
+        name = f"file {len(self.sources)} once"
+        source = self.infuse(spec, id=name)
+        try:
+            return source.carve(zone, **options).collect()  # a row for each band
+        finally:
+            self.close(source)
+
     def compile_polygon(self, geometry: dict | str, *, source: Source, id: str, strategy: str = "scanline") -> str:
         """Compile a plan once, for use with sources on the same grid."""
         require(id not in self.plans and len(self.plans) < CAPACITY["plans"], "the name is taken, or there are too many plans")
@@ -343,6 +389,13 @@ class Session:
         finally:
             self.jobs.pop(id, None)
 
+    async def cleave_async(self, job: dict, **options):
+        """``cleave``, a page at a time, awaited while Spark works."""
+        pages = self.batch_pages(job, **options)
+        while (page := await asyncio.to_thread(next, pages, None)) is not None:
+            for row in page["rows"]:
+                yield row
+
     def batch_pages(self, job: dict, *, id: str = "batch", max_rows: int = 128, checkpoint: dict | None = None):
         running = self.start_job(job, id=id, checkpoint=checkpoint)
         try:

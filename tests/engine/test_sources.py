@@ -250,3 +250,36 @@ def test_bounded_ranges_and_forest():
     nodes, roots = cover.forest(tiles, 2, 40, 4096, 4)
     got = dict(cover.plan(nodes, roots)["cover"])
     assert got.pop("0/1/1") == "raw" and set(got.values()) == {"summary"} and sum(4 ** int(n[0]) for n in got) == 15
+
+
+def test_files_are_opened_when_they_are_needed(spark, tmp_path):
+    a = (np.arange(2 * 20 * 37).reshape(2, 20, 37) % 97).astype("f4")
+    path = tmp_path / "a.tif"
+    s = Session(spark)
+    ask = lambda **v: answer(s, v)
+    assert ask(op="register_file", id="f", spec={"location": str(path)})["ok"] and not s.sources  # not there yet
+    tiff(path, a)
+    want = [float(a[b].sum()) for b in (0, 1)]
+    whole = square(0, 0, 37, 20)
+    assert ask(op="configure_file_cache", on=True)["ok"]
+    for _ in range(2):
+        assert [r["fractional_sum"] for r in ask(op="measure_registered_file", id="f", geometry=whole)["result"]] == want
+    assert s.sources["f"].cells.is_cached and ask(op="clear_file_cache")["ok"] and not s.sources["f"].cells.is_cached
+    assert ask(op="close_file", id="f")["ok"] and not s.sources and not s.files
+    assert [r["fractional_sum"] for r in ask(op="measure_file", spec={"location": str(path)}, geometry=whole)["result"]] == want and not s.sources
+    assert not ask(op="measure_file", spec={"raster": {}}, geometry=whole)["ok"]
+
+
+def test_persistent_backends_and_async_jobs(session, tmp_path):
+    s = session.sources["t0"]
+    plain = s.carve(ZONE).collect()
+    with pytest.raises(RequestError, match="no index"):
+        s.carve(ZONE, backend="persistent_flat")
+    s.ward(str(tmp_path / "i"), edge=16, levels=2)
+    assert s.carve(ZONE, backend="persistent_flat").collect() == s.carve(ZONE, backend="persistent_hierarchy").collect() == s.carve(ZONE, backend="direct").collect() == plain
+    job = {"zones": [{"id": "z", "geometry": ZONE}], "slices": [{"id": "a", "source": "t0"}, {"id": "b", "source": "t1"}], "crs": "LOCAL"}
+
+    async def rows():
+        return [r async for r in session.cleave_async(job, max_rows=1)]
+
+    assert sums(asyncio.run(rows()))[:2] == sums(plain)
